@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,100 +16,135 @@ from parley.session import cut
 
 CHAIN = ["channel_id", "block_no", "epoch"]
 _FOLD_SCHEMA = (
-    "channel_id string, block_no bigint, epoch bigint, kind string, id string, root_id string, "
-    "centroid array<float>, members bigint, last_ms bigint, authors array<string>, rank bigint"
+    "channel_id string, block_no bigint, epoch bigint, kind int, pos bigint, id string, "
+    "root_id string, vec array<float>, members bigint, last_ms bigint, authors array<string>"
 )
+#: kinds of rows in the fold's input and output: a cluster carried over, a message
+CLUSTER, MESSAGE = 0, 1
+
+
+class ActiveClusters:
+    """Active clusters of one chain; messages are placed in time order."""
+
+    def __init__(self, tau: float, idle_ms: int, author_bonus: float, mention_bonus: float):
+        self.tau, self.idle_ms = tau, idle_ms
+        self.author_bonus, self.mention_bonus = author_bonus, mention_bonus
+        self.roots: list[str] = []
+        self.members: list[int] = []
+        self.people: list[set] = []
+        self.by_author: dict[str, set[int]] = {}
+        self.cent = np.zeros((0, 0))
+        self.last = np.zeros(0, dtype=np.int64)
+
+    def add(self, root: str, centroid: np.ndarray, members: int, last_ms: int, authors) -> int:
+        n = len(self.roots)
+        if n == len(self.last):
+            grown = np.zeros((max(16, 2 * n), len(centroid)))
+            grown[:n] = self.cent[:n] if n else 0
+            self.cent = grown
+            self.last = np.concatenate([self.last, np.zeros(len(grown) - n, dtype=np.int64)])
+        self.cent[n], self.last[n] = centroid, last_ms
+        self.roots.append(root)
+        self.members.append(int(members))
+        self.people.append(set(authors))
+        for a in authors:
+            self.by_author.setdefault(a, set()).add(n)
+        return n
+
+    def _retire(self, now_ms: int) -> None:
+        n = len(self.roots)
+        if not n or now_ms - self.last[:n].min() <= self.idle_ms:
+            return
+        alive = np.flatnonzero(now_ms - self.last[:n] <= self.idle_ms)
+        self.cent[: len(alive)] = self.cent[alive]
+        self.last[: len(alive)] = self.last[alive]
+        self.roots = [self.roots[i] for i in alive]
+        self.members = [self.members[i] for i in alive]
+        self.people = [self.people[i] for i in alive]
+        self.by_author = {}
+        for i, names in enumerate(self.people):
+            for a in names:
+                self.by_author.setdefault(a, set()).add(i)
+
+    def place(self, mid: str, ms: int, author: str, mentions, vec) -> str:
+        """Join the best cluster, the oldest of equal ones, or open a new one."""
+        self._retire(ms)
+        v = np.asarray(vec, dtype=np.float32).astype(np.float64)
+        n = len(self.roots)
+        if n:
+            score = self.cent[:n] @ v
+            for i in self.by_author.get(author, ()):
+                score[i] += self.author_bonus
+            if mentions is not None and len(mentions):
+                for i in set().union(*(self.by_author.get(m, ()) for m in mentions)):
+                    score[i] += self.mention_bonus
+            best = int(np.argmax(score))
+            if score[best] >= self.tau:
+                k = self.members[best]
+                self.cent[best] = ((self.cent[best] * k + v) / (k + 1)).astype(np.float32)
+                self.members[best] = k + 1
+                self.last[best] = ms
+                self.people[best].add(author)
+                self.by_author.setdefault(author, set()).add(best)
+                return self.roots[best]
+        self.add(mid, v, 1, ms, [author])
+        return mid
+
+    def rows(self) -> list[tuple]:
+        """(root, centroid, members, last_ms, authors) of each, oldest first."""
+        return [(r, self.cent[i].astype(np.float32).tolist(), self.members[i], int(self.last[i]),
+                 sorted(self.people[i])) for i, r in enumerate(self.roots)]
+
+
+def _fold(*settings):
+    """Task kernel: a sorted stream of chains, each as carried clusters, then messages.
+
+    Only the clusters of the current chain are held, whatever the length of the
+    chain or the number of chains in the task.
+    """
 
-
-def _fold(tau: float, idle_ms: int, author_bonus: float, mention_bonus: float):
-    """Kernel over one slice of a chain: messages in time order, clusters carried in."""
-
-    def run(key, msgs: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-        msgs = msgs.sort_values(["ms", "id"], kind="stable")
-        carried = carried.sort_values("rank")
-        roots = list(carried["root_id"])
-        members = [int(x) for x in carried["members"]]
-        last = [int(x) for x in carried["last_ms"]]
-        people = [set(a) for a in carried["authors"]]
-        dim = len(msgs["vec"].iloc[0]) if len(msgs) else 0
-        cap = max(64, 2 * len(roots))
-        cent = np.zeros((cap, dim), dtype=np.float64)
-        for i, c in enumerate(carried["centroid"]):
-            cent[i] = np.asarray(c, dtype=np.float32)
-        last_arr = np.zeros(cap, dtype=np.int64)
-        last_arr[: len(last)] = last
-        by_author: dict[str, set[int]] = {}
-        for i, ppl in enumerate(people):
-            for a in ppl:
-                by_author.setdefault(a, set()).add(i)
-        assigned = []
-        for mid, ms, author, mentions, vec in zip(
-            msgs["id"], msgs["ms"], msgs["author_id"], msgs["mentions"], msgs["vec"], strict=True
-        ):
-            n = len(roots)
-            if n and ms - last_arr[:n].min() > idle_ms:
-                alive = np.flatnonzero(ms - last_arr[:n] <= idle_ms)
-                cent[: len(alive)] = cent[alive]
-                last_arr[: len(alive)] = last_arr[alive]
-                roots = [roots[i] for i in alive]
-                members = [members[i] for i in alive]
-                people = [people[i] for i in alive]
-                by_author = {}
-                for i, ppl in enumerate(people):
-                    for a in ppl:
-                        by_author.setdefault(a, set()).add(i)
-                n = len(roots)
-            v = np.asarray(vec, dtype=np.float32).astype(np.float64)
-            best = -1
-            if n:
-                score = cent[:n] @ v
-                known = by_author.get(author)
-                if known:
-                    score[list(known)] += author_bonus
-                if mentions is not None and len(mentions):
-                    named = set().union(*(by_author.get(m, ()) for m in mentions))
-                    if named:
-                        score[list(named)] += mention_bonus
-                best = int(np.argmax(score))  # the oldest of equal scores
-                if score[best] < tau:
-                    best = -1
-            if best >= 0:
-                k = members[best]
-                cent[best] = ((cent[best] * k + v) / (k + 1)).astype(np.float32)
-                members[best] = k + 1
-            else:
-                best = n
-                if n == cap:
-                    cap *= 2
-                    cent = np.vstack([cent, np.zeros_like(cent)])
-                    last_arr = np.concatenate([last_arr, np.zeros_like(last_arr)])
-                cent[n] = v
-                roots.append(mid)
-                members.append(1)
-                people.append(set())
-            last_arr[best] = ms
-            people[best].add(author)
-            by_author.setdefault(author, set()).add(best)
-            assigned.append((mid, roots[best]))
-        head = dict(zip(CHAIN, key, strict=True))
-        rows = [{**head, "kind": "row", "id": m, "root_id": r} for m, r in assigned]
-        rows += [
-            {**head, "kind": "cluster", "root_id": roots[i], "members": members[i],
-             "centroid": cent[i].astype(np.float32), "last_ms": int(last_arr[i]),
-             "authors": sorted(people[i]), "rank": i}
-            for i in range(len(roots))
-        ]
-        cols = [f.split()[0] for f in _FOLD_SCHEMA.split(", ")]
-        out = pd.DataFrame(rows, columns=cols)
-        for c in ("id", "centroid", "authors"):
-            out[c] = out[c].astype(object).where(out[c].notna(), None)
-        for c in ("members", "last_ms", "rank"):
-            out[c] = out[c].astype("Int64")
-        return out
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, keep = None, None, False
+
+        def handed_on() -> list[tuple]:
+            # clusters go out only where another slice of the chain follows
+            if not keep:
+                return []
+            return [(*key, CLUSTER, rank, None, root, vec, n, last, people)
+                    for rank, (root, vec, n, last, people) in enumerate(state.rows())]
+
+        for pdf in frames:
+            out = []
+            for ch, block, epoch, kind, pos, mid, author, mentions, vec, members, last, authors, more in zip(
+                pdf["channel_id"], pdf["block_no"], pdf["epoch"], pdf["kind"], pdf["pos"], pdf["id"],
+                pdf["author_id"], pdf["mentions"], pdf["vec"], pdf["members"], pdf["last_ms"], pdf["authors"], pdf["more"],
+                strict=True,
+            ):
+                if (ch, block, epoch) != key:
+                    if key is not None:
+                        out += handed_on()
+                    key, state, keep = (ch, block, epoch), ActiveClusters(*settings), False
+                if kind == CLUSTER:
+                    state.add(mid, np.asarray(vec, dtype=np.float32), members, int(last), list(authors))
+                else:
+                    keep = bool(more)
+                    out.append((*key, MESSAGE, None, mid, state.place(mid, pos, author, mentions, vec),
+                                None, None, None, None))
+            yield _frame(out)
+        if key is not None and keep:
+            yield _frame(handed_on())
 
     return run
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    names = [f.strip().split()[0] for f in _FOLD_SCHEMA.split(", ")]
+    out = pd.DataFrame(rows, columns=names, dtype=object)
+    for c in ("block_no", "epoch", "kind", "pos", "members", "last_ms"):
+        out[c] = out[c].astype("Int64")
+    return out
+
+
 def subcluster(
     blocks_with_vec: DataFrame,
     tau: float = DEFAULTS["tau"],
@@ -138,25 +175,35 @@ def subcluster(
         F.unix_millis("created_at").alias("ms"), "vec",
     )
     kernel = _fold(tau, int(idle_minutes * 60_000), author_bonus, mention_bonus)
-    sizes = keyed.groupBy(*CHAIN).count()
-    longest = sizes.agg(F.max("count")).first()[0] or 0
-    if longest <= chunk_rows:
-        sliced = keyed.withColumn("slice", F.lit(0).cast("bigint"))
+    longest = keyed.groupBy(*CHAIN).count().agg(F.max("count")).first()[0] or 0
+    steps = max(1, -(-longest // chunk_rows))
+    if steps == 1:
+        sliced = keyed.withColumn("slice", F.lit(0)).withColumn("more", F.lit(False))
     else:
-        sliced = row_index(keyed, CHAIN, ORDER, "_rn")
-        sliced = cut(sliced.withColumn("slice", F.floor((F.col("_rn") - 1) / F.lit(chunk_rows))))
-    carried = keyed.sparkSession.createDataFrame([], _FOLD_SCHEMA)
-    done = None
-    for step in range(max(1, -(-longest // chunk_rows))):
-        rows = sliced.filter(F.col("slice") == step).drop("slice", "created_at", "_rn")
-        alive = carried.filter("kind = 'cluster'")
-        folded = (
-            rows.groupBy(*CHAIN)
-            .cogroup(alive.join(rows.select(*CHAIN).distinct(), CHAIN, "left_semi").groupBy(*CHAIN))
-            .applyInPandas(kernel, _FOLD_SCHEMA)
-        )
-        carried = cut(folded) if longest > chunk_rows else folded
-        part = carried.filter("kind = 'row'").select("channel_id", "block_no", "id", "root_id")
+        sizes = keyed.groupBy(*CHAIN).agg(F.count("*").alias("_n"))
+        numbered = row_index(keyed, CHAIN, ORDER, "_rn").join(sizes, CHAIN)
+        at = F.floor((F.col("_rn") - 1) / F.lit(chunk_rows))
+        sliced = cut(numbered.withColumn("slice", at).withColumn(
+            "more", (at + 1) * chunk_rows < F.col("_n")).drop("_rn", "_n"))
+    nul = F.lit(None)
+    messages = sliced.select(
+        *CHAIN, F.lit(MESSAGE).alias("kind"), F.col("ms").alias("pos"), "id", "author_id", "mentions", "vec",
+        nul.cast("bigint").alias("members"), nul.cast("bigint").alias("last_ms"), nul.cast("array<string>").alias("authors"), "more", "slice")
+    order = [*CHAIN, "kind", "pos", "id"]
+    done, carried = None, None
+    for step in range(steps):
+        rows = messages.filter(F.col("slice") == step).drop("slice")
+        if carried is not None:
+            rows = rows.unionByName(carried)
+        streamed = rows.repartition(*[F.col(c) for c in CHAIN]).sortWithinPartitions(*order)
+        folded = streamed.mapInPandas(kernel, _FOLD_SCHEMA)
+        if steps > 1:
+            folded = cut(folded)
+            carried = folded.filter(F.col("kind") == CLUSTER).select(
+                *CHAIN, "kind", "pos", F.col("root_id").alias("id"), nul.cast("string").alias("author_id"),
+                nul.cast("array<string>").alias("mentions"), "vec", "members", "last_ms", "authors",
+                F.lit(False).alias("more"))
+        part = folded.filter(F.col("kind") == MESSAGE).select("channel_id", "block_no", "id", "root_id")
         done = part if done is None else done.unionByName(part)
     return done
 

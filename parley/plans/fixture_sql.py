@@ -219,7 +219,7 @@ LEFT JOIN (
     "fx_dump": """
 SELECT CAST(event_id AS VARCHAR) AS id, event_type AS channel_id, CAST(user_id AS VARCHAR) AS author_id,
  CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 58 = 1 THEN ' ' || chr(9) || ' ' ELSE props END AS content,
- strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' AS created_at, date_trunc('millisecond', ts) AS at,
+ strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' AS created_at, date_trunc('millisecond', ts) AS at_ts,
  CASE WHEN event_id % 23 = 0 THEN '2024-03-01T00:00:00Z' END AS deleted_at, event_id * 2 + c.copy AS pos
 FROM events, (VALUES (0), (1)) c(copy) WHERE c.copy = 0 OR event_id % 31 = 0""",
     "fx_assigned": "SELECT *, CASE WHEN channel_id IN ('click', 'view') THEN 'g1' ELSE 'g0' END AS guild_id FROM fx_dump",

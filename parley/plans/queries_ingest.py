@@ -50,7 +50,7 @@ def _documents_json(fx):
 
 
 @query("read_batches", f"""
-SELECT id, channel_id, author_id, content, {sql_iso('at')} AS created_at, 'text' AS channel_type FROM fx_dump
+SELECT id, channel_id, author_id, content, {sql_iso('at_ts')} AS created_at, 'text' AS channel_type FROM fx_dump
 WHERE author_id::BIGINT % 7 <> 0""")
 def read_batches(fx):
     good, _ = B.validate_batches(_documents_json(fx))
@@ -58,7 +58,7 @@ def read_batches(fx):
 
 
 @query("quarantine_batches", """
-SELECT 'unknown guild key' AS reason, count(DISTINCT (channel_id, author_id, at::DATE)) AS documents
+SELECT 'unknown guild key' AS reason, count(DISTINCT (channel_id, author_id, at_ts::DATE)) AS documents
 FROM fx_dump WHERE author_id::BIGINT % 7 = 0""")
 def quarantine_batches(fx):
     _, bad = B.validate_batches(_documents_json(fx))
@@ -84,14 +84,14 @@ def clean_dump(fx):
     return S.clean_dump(_assigned(fx)).select("guild_id", "channel_id", "id", "pos", "content")
 
 
-@query("normalize_ts", f"SELECT id, pos, {sql_iso('at')} AS created_at FROM fx_dump")
+@query("normalize_ts", f"SELECT id, pos, {sql_iso('at_ts')} AS created_at FROM fx_dump")
 def normalize_timestamps(fx):
     return fx.dump.select("id", "pos", iso(normalize_ts(F.col("created_at"))).alias("created_at"))
 
 
 @query("write_daily_batches", """
-SELECT guild_id AS guild, channel_id AS channel, at::DATE::VARCHAR AS day, count(*) AS messages, min(created) AS first_at
-FROM (SELECT *, strftime(at, '%Y-%m-%dT%H:%M:%S.%gZ') AS created FROM fx_clean) GROUP BY 1, 2, 3""")
+SELECT guild_id AS guild, channel_id AS channel, at_ts::DATE::VARCHAR AS day, count(*) AS messages, min(created) AS first_at
+FROM (SELECT *, strftime(at_ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS created FROM fx_clean) GROUP BY 1, 2, 3""")
 def write_daily_batches(fx):
     path = work_dir(fx.spark, "daily")
     S.write_daily_batches(S.clean_dump(_assigned(fx)), path)
@@ -101,7 +101,7 @@ def write_daily_batches(fx):
 
 
 @query("dir_segments", """
-SELECT id, CASE WHEN id = 'error' THEN 'error' ELSE 'ch_' || id || '_x' END AS segment, false AS collides FROM fx_channels""")
+SELECT id, CASE WHEN id = 'error' THEN 'error' ELSE '_ch_' || id || '_x' END AS segment, false AS collides FROM fx_channels""")
 def dir_segments(fx):
     names = fx.channels.withColumn("name", F.when(F.col("name").isNotNull(), F.concat(F.lit("..ch/"), F.col("id"), F.lit(" \t x."))))
     return S.assert_no_collision(S.dir_segments(fx.channels, names, "name"))
@@ -109,8 +109,8 @@ def dir_segments(fx):
 
 @query("dump_stats", """
 SELECT (SELECT count(*) FROM fx_dump) AS input_count, count(*) AS output_count, count(DISTINCT guild_id) AS guild_count,
- count(DISTINCT (guild_id, channel_id)) AS channel_count, count(DISTINCT (guild_id, channel_id, at::DATE)) AS day_count,
- count(DISTINCT (guild_id, channel_id, at::DATE)) AS file_count,
+ count(DISTINCT (guild_id, channel_id)) AS channel_count, count(DISTINCT (guild_id, channel_id, at_ts::DATE)) AS day_count,
+ count(DISTINCT (guild_id, channel_id, at_ts::DATE)) AS file_count,
  (SELECT count(*) FROM fx_dump WHERE deleted_at IS NOT NULL) AS skipped_deleted,
  (SELECT count(*) FROM fx_dump WHERE deleted_at IS NULL AND trim(replace(content, chr(9), ' ')) = '') AS skipped_empty,
  (SELECT count(*) - count(DISTINCT id) FROM fx_dump WHERE deleted_at IS NULL AND trim(replace(content, chr(9), ' ')) <> '') AS skipped_duplicate
@@ -144,7 +144,7 @@ def word_counts(fx):
                                         word_count(F.col("text")).cast("bigint").alias("words"))
 
 
-@query("ingest_messages", f"SELECT id, channel_id, author_id, content, {sql_iso('at')} AS created_at, {words('content')}::BIGINT AS words FROM fx_new")
+@query("ingest_messages", f"SELECT id, channel_id, author_id, content, {sql_iso('at_ts')} AS created_at, {words('content')}::BIGINT AS words FROM fx_new")
 def ingest_messages(fx):
     new, _ = I.ingest_messages(fx.stored, fx.batch, "b", NOW)
     return new.select("id", "channel_id", "author_id", "content", iso(F.col("created_at")).alias("created_at"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators.cluster import CHAIN, _fold, thread_discussions
+from parley.operators.cluster import ActiveClusters, thread_discussions
 from parley.operators.ingest import bump_user_counts, ingest_messages, upsert_users
 from parley.schemas import DEFAULTS, STATE
 from parley.sources.batches import validate_batches
@@ -94,9 +95,6 @@ def funnel_stream(messages: DataFrame) -> DataFrame:
     return messages.groupBy("channel_id", "processed").agg(F.count("*").alias("messages"))
 
 
-_STATE_COLS = ["root_id", "centroid", "members", "last_ms", "authors", "rank"]
-
-
 def stream_subclusters(
     messages: DataFrame, tau: float = DEFAULTS["tau"], idle_minutes: float = DEFAULTS["idle_minutes"],
 ) -> DataFrame:
@@ -107,17 +105,17 @@ def stream_subclusters(
     blocks need no marker. State holds only active clusters; the size of a
     micro-batch, set at the source, bounds what one task sees.
     """
-    kernel = _fold(tau, int(idle_minutes * 60_000), DEFAULTS["author_bonus"], DEFAULTS["mention_bonus"])
+    settings = (tau, int(idle_minutes * 60_000), DEFAULTS["author_bonus"], DEFAULTS["mention_bonus"])
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
-        carried = pd.DataFrame(held, columns=_STATE_COLS)
-        out = kernel((key[0], 0, 0), pd.concat(list(frames)), carried)
-        live = out[out["kind"] == "cluster"]
-        state.update((json.dumps([
-            [r.root_id, [float(x) for x in r.centroid], int(r.members), int(r.last_ms), list(r.authors), int(r.rank)]
-            for r in live.itertuples()]),))
-        yield out.loc[out["kind"] == "row", [CHAIN[0], "id", "root_id"]]
+        active = ActiveClusters(*settings)
+        for root, vec, members, last_ms, authors in json.loads(state.get[0]) if state.exists else []:
+            active.add(root, np.asarray(vec, dtype=np.float32), members, last_ms, authors)
+        batch = pd.concat(list(frames)).sort_values(["ms", "id"])
+        roots = [active.place(*row) for row in batch[["id", "ms", "author_id", "mentions", "vec"]].itertuples(
+            index=False, name=None)]
+        state.update((json.dumps(active.rows()),))
+        yield pd.DataFrame({"channel_id": key[0], "id": batch["id"].to_numpy(), "root_id": roots})
 
     rows = messages.select("channel_id", "id", "author_id", "mentions",
                            F.unix_millis("created_at").alias("ms"), "vec")
