@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.operators.graph import NODE_VIEW, all_edges, all_nodes, node_key
 from parley.schemas import NODE_LABELS
+from parley.session import cut
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -32,11 +33,11 @@ def graph_overview(
     d = graph["nodes_discussion"]
     if channel_id is not None:
         d = d.filter(F.col("channel_id") == channel_id)
-    newest = d.orderBy(F.col("started_at").desc(), "id").limit(max(10, math.ceil(limit / 6))).select(
-        node_key("Discussion", F.col("id")).alias("node"), "started_at")
+    newest = cut(d.orderBy(F.col("started_at").desc(), "id").limit(max(10, math.ceil(limit / 6))).select(
+        node_key("Discussion", F.col("id")).alias("node"), "started_at"))
     order = [F.col("started_at").desc(), "node", "type", "other", "src"]
-    near = both_ways(all_edges(graph)).join(newest, "node").orderBy(*order).limit(limit * 4)
-    # at most 4 * limit rows are left here
+    # at most 4 * limit rows are left here, and they are used several times
+    near = cut(both_ways(all_edges(graph)).join(newest, "node").orderBy(*order).limit(limit * 4))
     hops = near.groupBy("other").agg(F.max("started_at").alias("_t"), F.min("node").alias("_n"))
     spare = hops.join(newest, F.col("other") == newest["node"], "left_anti")
     seen = newest.join(near.select("node").distinct(), "node", "left_semi").select("node", F.lit(0).alias("tier"), F.col("started_at").alias("_t"))

@@ -185,7 +185,7 @@ SELECT discussion_id AS id, any_value(conv_id) AS conv_id, any_value(channel_id)
 SELECT 'k' || (conv_id // 10) AS call_id, conv_id * 2 + seg AS seg_no, conv_id,
  list(CASE WHEN turn % 5 <> 0 AND NOT (seg = 1 AND conv_id % 3 = 0) THEN 'v' || conv_id || '-' || turn END) AS message_ids,
  CASE WHEN (conv_id // 10) % 7 <> 0 THEN 'c' || (conv_id % 10 + 1) END AS source_cluster
-FROM (SELECT *, turn % 2 AS seg FROM conversations) GROUP BY conv_id, seg""",
+FROM (SELECT *, turn % 2 AS seg FROM conversations) WHERE conv_id % 11 <> 5 GROUP BY conv_id, seg""",
     "fx_labels": "SELECT DISTINCT 'k' || (conv_id // 10) AS call_id, 'c' || (conv_id % 10 + 1) AS label, 'v' || conv_id AS discussion_id FROM conversations",
     "fx_mapped": """
 SELECT call_id, seg_no, discussion_id, message_id FROM (
@@ -194,11 +194,11 @@ SELECT call_id, seg_no, discussion_id, message_id FROM (
  UNION ALL
  SELECT s.call_id, s.seg_no, l.discussion_id, NULL FROM fx_segments s
  JOIN fx_labels l ON l.call_id = s.call_id AND l.label = s.source_cluster
- WHERE len(list_filter(s.message_ids, x -> x IS NOT NULL)) = 0
+ WHERE len(list_filter(s.message_ids, lambda x: x IS NOT NULL)) = 0
  UNION ALL
  SELECT s.call_id, s.seg_no, l.d, NULL FROM fx_segments s
  JOIN (SELECT call_id, min(discussion_id) AS d FROM fx_labels GROUP BY 1 HAVING count(*) = 1) l ON l.call_id = s.call_id
- WHERE len(list_filter(s.message_ids, x -> x IS NOT NULL)) = 0 AND s.source_cluster IS NULL)""",
+ WHERE len(list_filter(s.message_ids, lambda x: x IS NOT NULL)) = 0 AND s.source_cluster IS NULL)""",
     "fx_partitioned": """
 SELECT p.discussion_id, p.id, p.created_at, coalesce(p.seg, n.seg_no, c.seg_no) AS seg_no FROM (
  SELECT t.discussion_id, t.id, t.created_at, t.turn, m.seg,
@@ -286,3 +286,127 @@ FROM fx_chase c JOIN fx_links l ON l.node = c.cur LEFT JOIN fx_placed p ON p.id
 SELECT p.id, p.channel_id, p.block_no, p.created_at, p.node, p.is_long, p.plain, coalesce(r.disc = r.disc, false) AS old, r.cur,
  coalesce(r.disc, md5(p.channel_id || '|' || r.cur)) AS discussion_id FROM fx_placed p JOIN fx_roots r ON r.node = p.node""",
 }
+
+
+def _allowed(q: str, n: str) -> str:
+    return (f"({q}.channel_ids IS NULL OR list_contains({q}.channel_ids, {n}.channel_id)) AND "
+            f"({q}.discussion_types IS NULL OR list_contains({q}.discussion_types, {n}.discussion_type)) AND "
+            f"({q}.since IS NULL OR {n}.started_at >= {q}.since)")
+
+
+ALLOWED = _allowed("q", "n")
+_TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+
+CTES["fx_labeled"] = """
+SELECT 'topic' AS kind, topic AS label, discussion_id AS id FROM fx_topics UNION ALL SELECT 'entity', key, discussion_id FROM fx_entities"""
+CTES["fx_labelnames"] = f"""
+SELECT kind, label, {_TOKENS.format('name')} AS toks FROM (
+ SELECT 'topic' AS kind, name AS label, name FROM fx_tnodes UNION ALL SELECT 'entity', key, name FROM fx_enodes)"""
+CTES["fx_paths"] = """
+SELECT DISTINCT * FROM (
+ SELECT src AS seed_id, dst AS id, 'continuation' AS via, 1.0::DOUBLE AS weight FROM fx_cont UNION ALL SELECT dst, src, 'continuation', 1.0 FROM fx_cont
+ UNION ALL SELECT a.discussion_id, b.discussion_id, 'shared_entity', 0.8 FROM fx_entities a JOIN fx_entities b ON a.key = b.key
+ UNION ALL SELECT a.discussion_id, b.discussion_id, 'shared_topic', 0.6 FROM fx_topics a JOIN fx_topics b ON a.topic = b.topic
+ UNION ALL SELECT a.discussion_id, b.discussion_id, 'cooccurring_topic', 0.4 FROM fx_topics a
+  JOIN (SELECT a AS x, b AS y FROM fx_tpairs UNION SELECT b, a FROM fx_tpairs) c ON c.x = a.topic JOIN fx_topics b ON b.topic = c.y)
+WHERE seed_id <> id"""
+
+
+def _retrieval(r: str, questions: str) -> dict[str, str]:
+    """Views of one retrieval pass; ``r`` marks the pass."""
+    phrases = _TOKENS.format("t")
+    return {
+        f"fx_hits{r}": f"""
+SELECT v.question_id, v.variant_no, n.id, round(list_cosine_similarity(v.vec, n.embedding), 9) AS similarity
+FROM fx_variants v JOIN {questions} q USING (question_id), fx_nodes n WHERE {ALLOWED}
+QUALIFY row_number() OVER (PARTITION BY v.question_id, v.variant_no ORDER BY round(list_cosine_similarity(v.vec, n.embedding), 9) DESC, n.id) <= 40""",
+        f"fx_anchorlabels{r}": f"""
+SELECT question_id, kind, label, max(score) AS score FROM (
+ SELECT p.question_id, l.kind, l.label, len(p.toks) / len(l.toks) AS score
+ FROM (SELECT question_id, {phrases} AS toks FROM (SELECT question_id, unnest(list_concat(topics, entities)) AS t FROM {questions})) p
+ JOIN fx_labelnames l ON len(p.toks) > 0 AND contains(' ' || array_to_string(l.toks, ' ') || ' ', ' ' || array_to_string(p.toks, ' ') || ' '))
+GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY max(score) DESC, kind, label) <= 60""",
+        f"fx_anchors{r}": f"""
+SELECT a.question_id, n.id, max(a.score) AS label_score, row_number() OVER (PARTITION BY a.question_id ORDER BY max(a.score) DESC, n.started_at DESC, n.id) AS rank
+FROM fx_anchorlabels{r} a JOIN fx_labeled USING (kind, label) JOIN fx_nodes n USING (id) JOIN {questions} q USING (question_id)
+WHERE {ALLOWED} GROUP BY a.question_id, n.id, n.started_at QUALIFY rank <= 30""",
+        f"fx_cands{r}": f"""
+SELECT question_id, id, max(similarity) AS vec_sim, bool_or(source = 'anchor') AS anchor_hit, list_sort(list(DISTINCT source)) AS sources FROM (
+ SELECT question_id, id, similarity, 'vector' AS source FROM fx_hits{r}
+ UNION ALL SELECT a.question_id, a.id, round(list_cosine_similarity(q.vec, n.embedding), 9), 'anchor' FROM fx_anchors{r} a
+ JOIN {questions} q USING (question_id) JOIN fx_nodes n USING (id)) GROUP BY 1, 2""",
+        f"fx_seeds{r}": f"""
+SELECT question_id, id AS seed_id, round(vec_sim + 0.6::DOUBLE * anchor_hit::INT, 9) AS prelim, row_number() OVER (PARTITION BY question_id
+ ORDER BY round(vec_sim + 0.6::DOUBLE * anchor_hit::INT, 9) DESC, id) AS rank FROM fx_cands{r} QUALIFY rank <= 8""",
+        f"fx_expand{r}": f"""
+SELECT s.question_id, s.seed_id, p.via, n.id, p.weight, row_number() OVER (PARTITION BY s.question_id ORDER BY p.weight DESC, n.started_at DESC, n.id, s.seed_id) AS rank
+FROM fx_seeds{r} s JOIN fx_paths p USING (seed_id) JOIN fx_nodes n ON n.id = p.id JOIN {questions} q USING (question_id)
+WHERE {ALLOWED} QUALIFY row_number() OVER (PARTITION BY s.question_id ORDER BY p.weight DESC, n.started_at DESC, n.id, s.seed_id) <= 40""",
+        f"fx_scored{r}": f"""
+SELECT question_id, id, max(vec_sim) AS vec_sim, bool_or(anchor_hit) AS anchor_hit, max(expansion_score) AS expansion_score, max(via) AS via,
+ list_sort(list_distinct(flatten(list(sources)))) AS sources FROM (
+ SELECT question_id, id, vec_sim, anchor_hit, sources, 0.0::DOUBLE AS expansion_score, NULL::VARCHAR AS via FROM fx_cands{r}
+ UNION ALL SELECT e.question_id, e.id, round(list_cosine_similarity(q.vec, n.embedding), 9), false, ['expansion'], e.w, e.via
+ FROM (SELECT question_id, id, max(weight) AS w, arg_max(via, weight) AS via FROM fx_expand{r} GROUP BY 1, 2) e
+ JOIN {questions} q USING (question_id) JOIN fx_nodes n USING (id)) GROUP BY 1, 2""",
+        f"fx_ranked{r}": f"""
+SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM (
+ SELECT c.*, n.title, n.summary, n.channel_id, n.discussion_type, n.sentiment, n.resolved, n.started_at, y.recency, y.preference,
+  round(c.vec_sim + 0.6::DOUBLE * c.anchor_hit::INT + 0.4::DOUBLE * c.expansion_score + 0.15::DOUBLE * y.recency + y.preference, 9) AS score
+ FROM fx_scored{r} c JOIN fx_nodes n USING (id) JOIN {questions} q USING (question_id),
+ LATERAL (SELECT pow(0.5::DOUBLE, greatest(0.0, (epoch_ms(TIMESTAMP '2024-02-01') - epoch_ms(n.started_at)) / 86400000.0::DOUBLE) / 120.0::DOUBLE) AS recency,
+  CASE WHEN list_contains(q.preferred_types, n.discussion_type) THEN 0.15::DOUBLE ELSE 0.0 END +
+  CASE WHEN q.intent = 'troubleshooting' AND n.resolved THEN 0.05::DOUBLE ELSE 0.0 END AS preference) y)
+WHERE score >= 0.15""",
+    }
+
+
+CTES |= _retrieval("", "fx_questions")
+CTES["fx_rquestions"] = """
+SELECT * REPLACE (NULL::VARCHAR[] AS discussion_types, NULL::TIMESTAMP AS since) FROM fx_questions
+WHERE (discussion_types IS NOT NULL OR since IS NOT NULL) AND question_id NOT IN (SELECT question_id FROM fx_ranked)"""
+CTES |= _retrieval("_r", "fx_rquestions")
+CTES["fx_all"] = "SELECT *, false AS relaxed FROM fx_ranked UNION ALL SELECT *, true FROM fx_ranked_r"
+CTES["fx_evid"] = """
+SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS evidence_rank FROM (
+ SELECT a.*, row_number() OVER (PARTITION BY a.question_id ORDER BY
+  CASE WHEN q.intent = 'opinion' AND a.sentiment IN ('negative', 'positive') AND a.sr = 1 THEN 0 ELSE 1 END, a.rank) AS o
+ FROM (SELECT *, row_number() OVER (PARTITION BY question_id, sentiment ORDER BY rank) AS sr FROM fx_all) a JOIN fx_questions q USING (question_id))
+WHERE o <= 10"""
+CTES["fx_people"] = """
+SELECT discussion_id AS id, list({'n': name, 'c': message_count} ORDER BY rn) AS people FROM (
+ SELECT *, row_number() OVER (PARTITION BY discussion_id ORDER BY message_count DESC, name) AS rn FROM (
+  SELECT discussion_id, coalesce(display_name, username, author_id) AS name, message_count FROM fx_parts)) WHERE rn <= 8 GROUP BY 1"""
+CTES["fx_cores"] = """
+SELECT n.id, n.title, c.name AS channel_name, n.topics, e.ents, p.people, n.message_count, n.participant_count FROM fx_nodes n
+LEFT JOIN fx_channels c ON c.id = n.channel_id LEFT JOIN fx_people p ON p.id = n.id
+LEFT JOIN (SELECT discussion_id, list_sort(list(DISTINCT k.name)) AS ents FROM fx_entities x JOIN fx_enodes k ON k.key = x.key GROUP BY 1) e ON e.discussion_id = n.id"""
+CTES["fx_samples"] = f"""
+SELECT m.discussion_id, m.id, row_number() OVER (PARTITION BY m.discussion_id ORDER BY m.created_at, m.id) AS rn,
+ '  [' || {iso('m.created_at')} || '] ' || coalesce(u.display_name, u.username, m.author_id) || ': ' ||
+ CASE WHEN length(x.t) > 400 THEN substr(x.t, 1, 400) || '…' ELSE x.t END AS line
+FROM fx_members m JOIN (SELECT id, {one_line('content')} AS t FROM fx_messages) x ON x.id = m.id LEFT JOIN fx_users u ON u.id = m.author_id
+WHERE m.discussion_id IN (SELECT id FROM fx_evid WHERE evidence_rank <= 4) QUALIFY rn <= 40"""
+CTES["fx_blocktext"] = f"""
+SELECT b.*, ceil(length(lean) / 3.4)::BIGINT AS lean_tokens, ceil(length(full_text) / 3.4)::BIGINT AS full_tokens FROM (
+ SELECT z.*, CASE WHEN z.evidence_rank <= 4 AND s.raw IS NOT NULL THEN lean || chr(10) || 'ukázky zpráv:' || chr(10) || s.raw ELSE lean END AS full_text FROM (
+  SELECT v.question_id, v.id, v.evidence_rank, v.title, v.discussion_type, v.sentiment, v.started_at, v.score, c.channel_name, concat_ws(chr(10),
+   '[D' || v.evidence_rank || '] "' || v.title || '"',
+   'kanál: ' || coalesce('#' || c.channel_name, '?') || ' · začátek: ' || {iso('v.started_at')} || ' · typ: ' || v.discussion_type || ' · sentiment: ' || v.sentiment ||
+   ' · vyřešeno: ' || CASE WHEN v.resolved THEN 'ano' WHEN NOT v.resolved THEN 'ne' ELSE '–' END,
+   'účastníci: ' || array_to_string(list_transform(c.people, lambda p: p.n || ' (' || p.c || ')'), ', '),
+   CASE WHEN v.summary <> '' THEN 'shrnutí: ' || v.summary END,
+   'klíčové body:' || chr(10) || array_to_string(list_transform(e.key_points, lambda k: '- ' || k), chr(10)),
+   'témata: ' || array_to_string(c.topics, ', '), 'entity: ' || array_to_string(c.ents, ', ')) AS lean
+  FROM fx_evid v JOIN fx_cores c USING (id) JOIN fx_enrichment e ON e.discussion_id = v.id) z
+ LEFT JOIN (SELECT discussion_id, string_agg(line, chr(10) ORDER BY rn) AS raw FROM fx_samples GROUP BY 1) s ON s.discussion_id = z.id) b"""
+CTES["fx_fold"] = """
+SELECT question_id, evidence_rank, full_tokens <= 12000 AS with_raw, CASE WHEN full_tokens <= 12000 THEN full_tokens ELSE lean_tokens END AS used
+FROM fx_blocktext WHERE evidence_rank = 1
+UNION ALL
+SELECT b.question_id, b.evidence_rank, f.used + b.full_tokens <= 12000, f.used + CASE WHEN f.used + b.full_tokens <= 12000 THEN b.full_tokens ELSE b.lean_tokens END
+FROM fx_fold f JOIN fx_blocktext b ON b.question_id = f.question_id AND b.evidence_rank = f.evidence_rank + 1 WHERE f.used + b.lean_tokens <= 12000"""
+CTES["fx_packed"] = """
+SELECT b.*, f.with_raw, CASE WHEN f.with_raw THEN b.full_text ELSE b.lean END AS text FROM fx_blocktext b JOIN fx_fold f USING (question_id, evidence_rank)"""
+CTES["fx_drafts"] = """
+SELECT question_id, string_agg('[D' || evidence_rank || ']', ' ' ORDER BY evidence_rank) AS answer, count(*) AS items FROM fx_packed GROUP BY 1"""

@@ -168,7 +168,7 @@ def resolve_outcomes(fx):
 
 
 @query("embedding_text", f"""
-SELECT discussion_id, array_to_string(list_filter([{sql_trim('title')}, {sql_trim('summary')}, {sql_trim("array_to_string(topics, ', ')")}], x -> x <> ''), '. ') AS text
+SELECT discussion_id, array_to_string(list_filter([{sql_trim('title')}, {sql_trim('summary')}, {sql_trim("array_to_string(topics, ', ')")}], lambda x: x <> ''), '. ') AS text
 FROM fx_enrichment""")
 def embedding_text(fx):
     return fx.enrichment.select("discussion_id", E.embedding_text(F.col("title"), F.col("summary"), F.col("topics")).alias("text"))
@@ -238,7 +238,7 @@ def _split(fx):
 
 @query("apply_split", _OUTCOMES + """
 SELECT s.id, CASE WHEN o.discussion_id IS NULL THEN 'clustering' ELSE 'split' END AS status, CASE WHEN o.discussion_id IS NULL THEN s.messages ELSE 0 END AS message_count,
- NULL AS parent_discussion_id FROM fx_sized s LEFT JOIN (SELECT DISTINCT discussion_id FROM outcome WHERE kind = 'split') o ON o.discussion_id = s.id
+ NULL::VARCHAR AS parent_discussion_id FROM fx_sized s LEFT JOIN (SELECT DISTINCT discussion_id FROM outcome WHERE kind = 'split') o ON o.discussion_id = s.id
 UNION ALL SELECT md5(discussion_id || '|' || seg_no), 'enriched', messages, discussion_id FROM outcome WHERE kind = 'split'""")
 def apply_split(fx):
     return _split(fx)["discussions"].select("id", "status", "message_count", "parent_discussion_id")
@@ -253,7 +253,7 @@ def apply_split_messages(fx):
 
 @query("enrichment_view", """
 WITH v AS (
- SELECT d.id, d.status, NULL AS parent_discussion_id, true AS split, k.id AS segment_id, row_number() OVER (PARTITION BY d.id ORDER BY k.block_start_at, k.id) AS segment_no
+ SELECT d.id, d.status, NULL::VARCHAR AS parent_discussion_id, true AS split, k.id AS segment_id, row_number() OVER (PARTITION BY d.id ORDER BY k.block_start_at, k.id) AS segment_no
  FROM fx_discussions d JOIN fx_discussions k ON k.parent_discussion_id = d.id WHERE d.status = 'split'
  UNION ALL SELECT d.id, d.status, d.parent_discussion_id, false, d.id, 1 FROM fx_discussions d JOIN fx_enrichment e ON e.discussion_id = d.id WHERE d.status <> 'split')
 SELECT v.*, e.title, e.sentiment, e.sentiment_score, e.resolved, coalesce(c.n, 0) AS messages FROM v LEFT JOIN fx_enrichment e ON e.discussion_id = v.segment_id

@@ -187,18 +187,18 @@ kept AS (SELECT node FROM pool ORDER BY tier, t DESC, node LIMIT 400)
 
 @query("graph_overview", _OVERVIEW + "SELECT DISTINCT type, src, dst FROM near WHERE src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept)")
 def graph_overview(fx):
-    return R.graph_overview(fx.graph)[1]
+    return R.graph_overview(fx.stored_graph)[1]
 
 
 @query("graph_overview_nodes", _OVERVIEW + "SELECT node, label, caption FROM fx_allnodes WHERE node IN (SELECT node FROM kept)")
 def graph_overview_nodes(fx):
-    return R.graph_overview(fx.graph)[0].select("node", "label", "caption")
+    return R.graph_overview(fx.stored_graph)[0].select("node", "label", "caption")
 
 
 @query("neighbors", "SELECT node, other, type, src, dst FROM fx_hops QUALIFY row_number() OVER (PARTITION BY node ORDER BY type, other, src) <= 40")
 def neighbors(fx):
     """Neighbours of every node."""
-    return R.neighbors(fx.graph, G.all_nodes(fx.graph)).drop("rn")
+    return R.neighbors(fx.stored_graph, G.all_nodes(fx.stored_graph)).drop("rn")
 
 
 @query("search_nodes", """
@@ -208,12 +208,12 @@ SELECT node, label, matched FROM (
  UNION ALL SELECT DISTINCT 'Guild:' || guild_id, 'Guild', 'Guild 0' FROM fx_channels)
 WHERE contains(lower(matched), 'l') ORDER BY label, node LIMIT 50""")
 def search_nodes(fx):
-    return R.search_nodes(fx.graph, " L ", 50)
+    return R.search_nodes(fx.stored_graph, " L ", 50)
 
 
 @query("node_by_domain_id", "SELECT label, domain_id, node FROM fx_allnodes WHERE label IN ('Topic', 'Channel')")
 def node_by_domain_id(fx):
-    nodes = G.all_nodes(fx.graph)
+    nodes = G.all_nodes(fx.stored_graph)
     wanted = nodes.filter("label in ('Topic', 'Channel')").select("label", "domain_id").unionByName(
         nodes.select(F.lit("Robot").alias("label"), "domain_id"))
     return R.node_by_domain_id(nodes, wanted)
@@ -221,21 +221,21 @@ def node_by_domain_id(fx):
 
 @query("degrees", "SELECT node, count(*) AS degree FROM fx_hops GROUP BY 1")
 def degrees(fx):
-    return R.degrees(G.all_edges(fx.graph))
+    return R.degrees(G.all_edges(fx.stored_graph))
 
 
 @query("captions", "SELECT node, label, caption FROM fx_allnodes")
 def captions(fx):
-    return G.all_nodes(fx.graph).select("node", "label", "caption")
+    return G.all_nodes(fx.stored_graph).select("node", "label", "caption")
 
 
 @query("label_vocab", """
 SELECT * FROM (SELECT 'topic' AS kind, name, discussion_count AS uses FROM fx_tnodes ORDER BY uses DESC, name LIMIT 10)
 UNION ALL SELECT * FROM (SELECT 'entity', name, mention_count AS uses FROM fx_enodes ORDER BY uses DESC, name LIMIT 10)""")
 def label_vocab(fx):
-    return R.label_vocab(fx.graph, 10)
+    return R.label_vocab(fx.stored_graph, 10)
 
 
 @query("node_size", "SELECT node, round(4 + 2 * sqrt(count(*)), 6) AS size FROM fx_hops GROUP BY 1")
 def node_sizes(fx):
-    return R.degrees(G.all_edges(fx.graph)).select("node", F.round(node_size(F.col("degree")), 6).alias("size"))
+    return R.degrees(G.all_edges(fx.stored_graph)).select("node", F.round(node_size(F.col("degree")), 6).alias("size"))

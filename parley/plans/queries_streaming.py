@@ -1 +1,136 @@
-"""Queries."""
+"""Streaming and staged-run queries. Each one drives a stream over the given tables to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.functions.models import rule_based
+from parley.functions.text import iso
+from parley.functions.vectors import hashing_embedder
+from parley.plans.fixture_sql import iso as sql_iso
+from parley.plans.fixtures import DIM, GAP, IDLE, NOW, TAU, WORD_LIMIT
+from parley.plans.queries_ingest import work_dir
+from parley.plans.registry import query
+from parley.plans.run import default_stages, load_graph, staged_run
+from parley.session import cut
+from parley.sources.state import load_state, save_state
+from parley.streaming import incremental as K
+
+
+def _files(fx, df, name: str, parts: int = 3) -> str:
+    """Rows written as files in time order, to arrive one after the other."""
+    path = work_dir(fx.spark, name)
+    df.repartitionByRange(parts, "created_at").sortWithinPartitions("created_at", "id").write.parquet(path)
+    return path
+
+
+def _stream(fx, df, name: str):
+    """The rows as a stream of one file per micro-batch, in time order."""
+    path = _files(fx, df, name)
+    # files get their names, and so their order, from the range partition
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+
+
+def _drain(fx, df, name: str, mode: str = "append"):
+    """Run a stream to its end and return what the sink holds."""
+    out = work_dir(fx.spark, f"{name}-out")
+    q = df.writeStream.outputMode(mode).format("parquet").option("path", out).option(
+        "checkpointLocation", f"{out}-cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return fx.spark.read.schema(df.schema).parquet(out)
+
+
+@query("stream_batches", """
+SELECT id, min(author_id) AS author_id, count(*) AS n FROM (SELECT DISTINCT id, author_id FROM fx_dump WHERE author_id::BIGINT % 7 <> 0) GROUP BY 1""")
+def stream_batches(fx):
+    """Batch documents arriving as files, some invalid: every valid message once."""
+    from parley.plans.queries_ingest import _documents_json
+
+    path = work_dir(fx.spark, "docs")
+    docs = _documents_json(fx).select("value").withColumn("_p", F.pmod(F.xxhash64("value"), F.lit(4)))
+    docs.repartition(4, "_p").select("value").write.text(path)
+    folder = work_dir(fx.spark, "ingested")
+    # documents are lines of a few files here, so that the test data makes few files
+    stream = fx.spark.readStream.format("text").option("maxFilesPerTrigger", 2).load(path).select(
+        F.concat(F.input_file_name(), F.md5("value")).alias("doc"), "value")
+    K.stream_ingest(stream, folder, f"{folder}-cp", lambda: NOW).trigger(availableNow=True).start().awaitTermination()
+    got = fx.spark.read.parquet(f"{folder}/messages")
+    return got.groupBy("id").agg(F.min("author_id").alias("author_id"), F.count("*").alias("n"))
+
+
+@query("dedupe_within", "SELECT id, count(DISTINCT id) AS n FROM fx_dump GROUP BY 1")
+def dedupe_within(fx):
+    rows = fx.dump.select("id", F.to_timestamp("created_at").alias("created_at"))
+    return _drain(fx, K.dedupe_within(_stream(fx, rows, "dup")), "dup").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("closed_sessions", f"""
+WITH g AS (SELECT *, CASE WHEN epoch_ms(created_at) - epoch_ms(lag(created_at) OVER (PARTITION BY channel_id ORDER BY created_at, id)) > 1800000 THEN 1 ELSE 0 END AS nb FROM fx_slim),
+b AS (SELECT *, sum(nb) OVER (PARTITION BY channel_id ORDER BY created_at, id) AS b FROM g)
+SELECT channel_id, {sql_iso('min(created_at)')} AS start_at, {sql_iso('max(created_at)')} AS end_at, count(*) AS messages FROM b GROUP BY channel_id, b
+HAVING max(created_at) + INTERVAL 30 MINUTE <= (SELECT max(created_at) FROM fx_slim) - INTERVAL 1 HOUR""")
+def closed_sessions(fx):
+    rows = fx.slim_messages.select("id", "channel_id", "created_at")
+    out = _drain(fx, K.closed_sessions(_stream(fx, rows, "sess")), "sess")
+    return out.select("channel_id", iso(F.col("start_at")).alias("start_at"), iso(F.col("end_at")).alias("end_at"), "messages")
+
+
+@query("funnel_stream", "SELECT channel_id, processed, count(*) AS messages FROM fx_slim GROUP BY 1, 2")
+def funnel_stream(fx):
+    rows = fx.slim_messages.select("id", "channel_id", "created_at", "processed")
+    folder = work_dir(fx.spark, "tick")
+    tick = K.funnel_stream(_stream(fx, rows, "tick"))
+
+    def keep(df, epoch):
+        df.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+    tick.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}-cp").trigger(
+        availableNow=True).start().awaitTermination()
+    ticks = fx.spark.read.parquet(folder)
+    last = ticks.agg(F.max("epoch")).first()[0]
+    return ticks.filter(F.col("epoch") == last).drop("epoch")
+
+
+@query("stream_subclusters")
+def stream_subclusters(fx):
+    """Online clustering of the message stream, state kept between micro-batches."""
+    rows = fx.messages.filter(f"word_count >= {WORD_LIMIT}").select(
+        "id", "channel_id", "author_id", "mentions", "created_at").join(fx.vectors, "id")
+    return _drain(fx, K.stream_subclusters(_stream(fx, rows, "sub"), TAU, IDLE), "sub")
+
+
+@query("extend_threads", "SELECT channel_id, thread_id, count(*) AS message_count FROM fx_slim WHERE thread_id IS NOT NULL GROUP BY 1, 2")
+def extend_threads(fx):
+    """Thread messages arriving in two halves extend the same discussions."""
+    rows = fx.slim_messages.filter("thread_id is not null")
+    nul = F.lit(None).cast("string")
+    known = rows.limit(0).select(nul.alias("id"), "channel_id", "thread_id", F.col("created_at").alias("block_start_at"),
+                                 F.col("created_at").alias("block_end_at"), F.lit(0).cast("bigint").alias("message_count"),
+                                 nul.alias("parent_discussion_id"))
+    half = F.col("created_at") < F.expr("timestamp '2024-01-15'")
+    for part in (rows.filter(half), rows.filter(~half)):
+        known = cut(K.extend_threads(part, known))
+    return known.select("channel_id", "thread_id", "message_count")
+
+
+@query("staged_run", """
+SELECT 'messages' AS what, count(*) AS n FROM fx_slim UNION ALL SELECT 'raw', count(*) FROM fx_blocks WHERE NOT closed""")
+def staged_run_all(fx):
+    """Cluster, enrich and write the graph over the whole message table, one snapshot each.
+
+    Afterwards only messages of open blocks are still raw.
+    """
+    spark, folder = fx.spark, work_dir(fx.spark, "run")
+    # every message is raw at the start, except those the fixture has written before
+    msgs = fx.messages.withColumn("batch_id", F.lit("b")).withColumn(
+        "processed", F.when(F.col("processed") == 0, 0).otherwise(3)).withColumn("discussion_id", F.lit(None).cast("string"))
+    msgs = msgs.select("id", "channel_id", "guild_id", "author_id", "content", "created_at", "reply_to_message_id", "thread_id",
+                       "mentions", "attachments_count", "word_count", "batch_id", "ingested_at", "processed", "discussion_id")
+    save_state({"messages": msgs, "users": fx.users, "channels": fx.channels, "guilds": fx.guilds}, folder, "ingest")
+    stages = default_stages(lambda m: fx.vectors, rule_based, hashing_embedder(DIM), NOW, DIM,
+                            gap_minutes=GAP, word_limit=WORD_LIMIT, tau=TAU, idle_minutes=IDLE)
+    staged_run(spark, folder, stages)
+    state = load_state(spark, folder)
+    one = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "n")
+    load_graph(state)
+    return one(state["messages"], "messages").unionByName(one(state["messages"].filter("processed = 0"), "raw"))
