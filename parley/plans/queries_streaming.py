@@ -17,18 +17,17 @@ from parley.sources.state import load_state, save_state
 from parley.streaming import incremental as K
 
 
-def _files(fx, df, name: str, parts: int = 3) -> str:
-    """Rows written as files in time order, to arrive one after the other."""
-    path = work_dir(fx.spark, name)
-    df.repartitionByRange(parts, "created_at").sortWithinPartitions("created_at", "id").write.parquet(path)
-    return path
-
+def _stream(fx, df, name: str, parts: int = 3):
+    """The rows as a stream that gets one time span per micro-batch.
 
-def _stream(fx, df, name: str):
-    """The rows as a stream of one file per micro-batch, in time order."""
-    path = _files(fx, df, name)
-    # files get their names, and so their order, from the range partition
-    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+    A file stream takes files by age, so the spans are written one after the other.
+    """
+    path = work_dir(fx.spark, name)
+    lo, hi = df.agg(F.min(F.unix_millis("created_at")), F.max(F.unix_millis("created_at"))).first()
+    span = F.floor((F.unix_millis("created_at") - lo) * parts / F.lit(hi - lo + 1))
+    for i in range(parts):
+        df.filter(span == i).coalesce(1).write.mode("append").parquet(path)
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _drain(fx, df, name: str, mode: str = "append"):
