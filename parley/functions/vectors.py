@@ -35,6 +35,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def unit(a: Column) -> Column:
+    """The vector scaled to unit length, in double precision; all zeros stay zeros."""
+    norm = F.sqrt(_fold(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
+    return F.transform(a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+
+
+def unit_dot(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of unit length and equal dimension."""
+    return _fold(F.zip_with(a, b, lambda x, y: x * y))
+
+
 def unit_scale(similarity: Column) -> Column:
     """Cosine moved to 0..1."""
     return (similarity + 1) / 2

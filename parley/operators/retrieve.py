@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.scores import recency, via_weight
 from parley.functions.text import trim_ws
-from parley.functions.vectors import cosine
+from parley.functions.vectors import unit, unit_dot
 from parley.operators.ingest import as_ts
 from parley.schemas import DEFAULTS
 
@@ -176,17 +176,32 @@ def label_edges(graph: dict[str, DataFrame]) -> DataFrame:
     return t.unionByName(e)
 
 
-def best_per_cell(edges: DataFrame, nodes: DataFrame, keys: list[str], m: int) -> DataFrame:
-    """The m newest discussions per (keys, channel, type).
+def filter_mode(questions: DataFrame) -> DataFrame:
+    """Add ``mode``: which of the channel (2) and type (1) filters a question sets."""
+    mode = F.when(F.col("channel_ids").isNotNull(), 2).otherwise(0) + F.when(
+        F.col("discussion_types").isNotNull(), 1).otherwise(0)
+    return questions.withColumn("mode", mode)
 
-    A question's filter admits whole channels and types and a newest-first suffix of
-    time, so its m newest admitted discussions of a key are always among these. A
-    label used by most discussions thus costs m rows per cell, not its full list.
+
+def best_lists(edges: DataFrame, nodes: DataFrame, keys: list[str], m: int, modes: list[int]) -> DataFrame:
+    """The m newest discussions per key, for each mode of filtering in use.
+
+    Without filters that is m per key; with a channel or type filter m per key and
+    channel or type. A filter admits whole channels and types and a newest-first
+    suffix of time, so the m newest admitted discussions of a key are always among
+    these. A label used by most discussions thus costs m rows, not its full list,
+    and the cut by row number starts before the shuffle.
     """
     attrs = nodes.select("id", "channel_id", "discussion_type", "started_at")
-    w = Window.partitionBy(*keys, "channel_id", "discussion_type").orderBy(*_newest())
-    return edges.join(attrs, "id").withColumn("_r", F.row_number().over(w)).filter(
-        F.col("_r") <= m).drop("_r")
+    rows = edges.join(attrs, "id").withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    cells = [F.when(F.col("mode") >= 2, F.col("channel_id")), F.when(F.col("mode") % 2 == 1, F.col("discussion_type"))]
+    w = Window.partitionBy(*keys, "mode", *cells).orderBy(*_newest())
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r")
+
+
+def _modes(questions: DataFrame) -> list[int]:
+    """The filter modes in use: at most four values."""
+    return sorted(r["mode"] for r in filter_mode(questions).select("mode").distinct().collect()) or [0]
 
 
 def anchor_labels(questions: DataFrame, graph: dict[str, DataFrame], limit: int) -> DataFrame:
@@ -227,10 +242,10 @@ def anchor_hits(
     limit = max(1, limit)
     labels = anchor_labels(questions, graph, limit)
     used = labels.select("kind", "label").distinct()
-    lists = best_per_cell(label_edges(graph).join(used, ["kind", "label"], "left_semi"),
-                          graph["nodes_discussion"], ["kind", "label"], limit)
-    rows = hard_filter(labels.join(lists, ["kind", "label"]).join(
-        questions.select("question_id", *FILTERS), "question_id"))
+    lists = best_lists(label_edges(graph).join(used, ["kind", "label"], "left_semi"),
+                       graph["nodes_discussion"], ["kind", "label"], limit, _modes(questions))
+    asked = filter_mode(questions.select("question_id", *FILTERS))
+    rows = hard_filter(labels.join(asked, "question_id").join(lists, ["kind", "label", "mode"]))
     best = rows.groupBy("question_id", "id").agg(
         F.max("score").alias("label_score"), F.max("started_at").alias("started_at"))
     w = Window.partitionBy("question_id").orderBy(F.col("label_score").desc(), *_newest())
@@ -241,11 +256,15 @@ def anchor_hits(
 
 
 def _similarity(rows: DataFrame, questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add the cosine between question and discussion to (question_id, id) rows."""
-    sim = F.when(F.col("embedding").isNotNull(), F.round(cosine(F.col("_qv"), F.col("embedding")), DIGITS))
-    return rows.join(questions.select("question_id", F.col("vec").alias("_qv")), "question_id").join(
-        nodes.select("id", "embedding"), "id").withColumn(
-        "similarity", F.coalesce(sim, F.lit(0.0))).drop("_qv", "embedding")
+    """Add the cosine between question and discussion to (question_id, id) rows.
+
+    Both sides are scaled to unit length once, before they meet.
+    """
+    q = questions.select("question_id", unit(F.col("vec")).alias("_qv"))
+    d = nodes.select("id", unit(F.col("embedding")).alias("_dv"))
+    sim = F.round(unit_dot(F.col("_qv"), F.col("_dv")), DIGITS)
+    return rows.join(q, "question_id").join(d, "id").withColumn(
+        "similarity", F.coalesce(sim, F.lit(0.0))).drop("_qv", "_dv")
 
 
 def merge_candidates(
@@ -283,6 +302,7 @@ def expand(
     question's hard filters hold here as well, unless ``filter_expansion`` is off.
     """
     m = total + 1  # a seed may meet itself once in each list
+    modes = _modes(questions) if filter_expansion else [0]
     nodes = graph["nodes_discussion"]
     wanted = seeds.select(F.col("seed_id").alias("id")).distinct()
     topics = graph["edges_discusses"].select(F.col("dst").alias("topic"), F.col("src").alias("id"))
@@ -294,30 +314,32 @@ def expand(
     links = c.select(F.col("src").alias("seed_id"), F.col("dst").alias("id")).unionByName(
         c.select(F.col("dst").alias("seed_id"), F.col("src").alias("id"))).distinct()
     links = links.join(wanted.withColumnRenamed("id", "seed_id"), "seed_id", "left_semi")
-    cont = best_per_cell(links, nodes, ["seed_id"], m)
+    cont = best_lists(links, nodes, ["seed_id"], m, modes)
 
-    topic_lists = best_per_cell(topics, nodes, ["topic"], m)
-    shared_t = of_topic.join(topic_lists, "topic")
+    topic_lists = best_lists(topics, nodes, ["topic"], m, modes)
     used = of_entity.select("entity").distinct()
-    shared_e = of_entity.join(
-        best_per_cell(entities.join(used, "entity", "left_semi"), nodes, ["entity"], m), "entity")
+    entity_lists = best_lists(entities.join(used, "entity", "left_semi"), nodes, ["entity"], m, modes)
 
     co = graph["edges_topic_cooccurs"].select("src", "dst")
     near = co.select(F.col("src").alias("from_topic"), F.col("dst").alias("topic")).unionByName(
         co.select(F.col("dst").alias("from_topic"), F.col("src").alias("topic"))).join(
         of_topic.select(F.col("topic").alias("from_topic")).distinct(), "from_topic", "left_semi")
-    reach = near.join(topic_lists, "topic").select("from_topic", "id").distinct()
-    related = of_topic.withColumnRenamed("topic", "from_topic").join(
-        best_per_cell(reach, nodes, ["from_topic"], m), "from_topic")
+    reach = near.join(topic_lists.select("topic", "id").distinct(), "topic").select("from_topic", "id").distinct()
+    related = best_lists(reach, nodes, ["from_topic"], m, modes)
 
-    cols = ["seed_id", "id", "channel_id", "discussion_type", "started_at"]
+    cols = ["seed_id", "id", "channel_id", "discussion_type", "started_at", "mode"]
     paths = None
-    for via, rows in (("continuation", cont), ("shared_topic", shared_t), ("shared_entity", shared_e),
-                      ("cooccurring_topic", related)):
+    for via, rows in (
+        ("continuation", cont), ("shared_topic", of_topic.join(topic_lists, "topic")),
+        ("shared_entity", of_entity.join(entity_lists, "entity")),
+        ("cooccurring_topic", of_topic.withColumnRenamed("topic", "from_topic").join(related, "from_topic")),
+    ):
         part = rows.select(*cols, F.lit(via).alias("via")).distinct()
         paths = part if paths is None else paths.unionByName(part)
-    hops = seeds.select("question_id", "seed_id").join(paths.filter("id <> seed_id"), "seed_id").join(
-        questions.select("question_id", *FILTERS), "question_id")
+    asked = filter_mode(questions.select("question_id", *FILTERS)) if filter_expansion else questions.select(
+        "question_id", *FILTERS, F.lit(0).alias("mode"))
+    hops = seeds.select("question_id", "seed_id").join(asked, "question_id").join(
+        paths.filter("id <> seed_id"), ["seed_id", "mode"])
     if filter_expansion:
         hops = hard_filter(hops)
     hops = hops.withColumn("weight", via_weight(F.col("via")))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions.text import word_count
+from parley.session import cut
 
 NOW = "2024-02-01 00:00:00"
 GAP = 30
@@ -27,6 +28,19 @@ _INTENTS = "array('opinion', 'troubleshooting', 'factual', 'summary', 'person-ac
 _SENTIMENTS = "array('positive', 'neutral', 'negative', 'mixed')"
 
 
+class Stored(dict):
+    """Tables that are written out when first read, and then read from there."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        super().__init__(tables)
+        self._written: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._written:
+            self._written[name] = cut(super().__getitem__(name))
+        return self._written[name]
+
+
 class Fx:
     """Fixture views for one data folder."""
 
@@ -200,13 +214,9 @@ class Fx:
         return build_graph(self.facts, self.channels, self.guilds)
 
     @cached_property
-    def stored_graph(self) -> dict[str, DataFrame]:
-        """Graph tables as a writer leaves them: stored, for the read queries."""
-        from parley.operators.graph import build_graph
-        from parley.session import cut
-
-        facts = {name: cut(df) for name, df in self.facts.items()}
-        return {name: cut(df) for name, df in build_graph(facts, self.channels, self.guilds).items()}
+    def stored_graph(self) -> Stored:
+        """Graph tables as a writer leaves them, for the read queries."""
+        return Stored(self.graph)
 
     @cached_property
     def nodes(self) -> DataFrame:

@@ -14,6 +14,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
@@ -40,10 +43,14 @@ def rows(pdf: pd.DataFrame) -> list[tuple]:
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> str:
     """'' when equal, else what differs."""
     df = fn(spark, sf_dir)
+    began = time.time()
     got = df.toPandas()
+    TIMES["collect"] = time.time() - began
     if sql is None:
         return "" if len(got) else "no rows"
+    began = time.time()
     want = con.execute(sql).fetch_df() if hasattr(con, "fetch_df") else con.execute(sql).df()
+    TIMES["sql"] = time.time() - began
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} vs {sorted(want.columns)}"
     a, b = rows(got), rows(want)
@@ -72,7 +79,7 @@ def main() -> None:
         except Exception as e:  # noqa: BLE001
             diff = "ERROR " + str(e)[:500] + ("\n" + traceback.format_exc()[-700:] if os.environ.get("TB") else "")
         bad += bool(diff)
-        print(f"{'ok  ' if not diff else 'BAD '} {n} {time.time() - t:.1f}s {'' if n in ORACLES else '(rows only)'} {diff}", flush=True)
+        print(f"{'ok  ' if not diff else 'BAD '} {n} {time.time() - t:.1f}s (collect {TIMES.get('collect', 0):.1f}, sql {TIMES.get('sql', 0):.1f}) {'' if n in ORACLES else '(rows only)'} {diff}", flush=True)
     print(f"{len(picked)} queries, {bad} bad")
 
 
