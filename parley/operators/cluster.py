@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parley.operators.ordered import chase, row_index, scan
 from parley.operators.segment import ORDER, gap_runs
 from parley.schemas import DEFAULTS
-from parley.session import cut
+from parley.session import cut, cut_by
 
 CHAIN = ["channel_id", "block_no", "epoch"]
 _FOLD_SCHEMA = (
@@ -183,8 +183,9 @@ def subcluster(
         sizes = keyed.groupBy(*CHAIN).agg(F.count("*").alias("_n"))
         numbered = row_index(keyed, CHAIN, ORDER, "_rn").join(sizes, CHAIN)
         at = F.floor((F.col("_rn") - 1) / F.lit(chunk_rows))
-        sliced = cut(numbered.withColumn("slice", at).withColumn(
-            "more", (at + 1) * chunk_rows < F.col("_n")).drop("_rn", "_n"))
+        # one folder per slice, so that a step reads its own slice only
+        sliced = cut_by(numbered.withColumn("slice", at).withColumn(
+            "more", (at + 1) * chunk_rows < F.col("_n")).drop("_rn", "_n"), "slice")
     nul = F.lit(None)
     messages = sliced.select(
         *CHAIN, F.lit(MESSAGE).alias("kind"), F.col("ms").alias("pos"), "id", "author_id", "mentions", "vec",

@@ -113,17 +113,21 @@ def chase(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     (node, root) where root has no link. A chain of depth d needs log2(d) joins.
     """
     current = cut(links.select("node", F.col("next").alias("root")))
+    table, done = current, None
     for _ in range(max_rounds):
-        hop = current.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        hop = table.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         stepped = cut(
             current.join(hop, F.col("root") == F.col("_n"), "left").select(
                 "node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("_moved")
             )
         )
-        # a node that did not move has reached its root
-        if stepped.filter("_moved").isEmpty():
-            return stepped.select("node", "root")
-        current = stepped.select("node", "root")
+        # a node that did not move has reached its root and leaves the work
+        still = stepped.filter(~F.col("_moved")).select("node", "root")
+        done = still if done is None else done.unionByName(still)
+        current = stepped.filter("_moved").select("node", "root")
+        if current.isEmpty():
+            return done
+        table = done.unionByName(current)
     raise RuntimeError("links contain a cycle")
 
 

@@ -19,6 +19,7 @@ from parley.functions.text import trim_ws
 from parley.functions.vectors import unit, unit_dot
 from parley.operators.ingest import as_ts
 from parley.schemas import DEFAULTS
+from parley.session import cut
 
 FILTERS = ["channel_ids", "discussion_types", "since"]
 #: similarities and scores that differ by less than this are ties, broken by id
@@ -137,8 +138,8 @@ def vector_topk(
     More variants mean more passes, never a larger broadcast.
     Returns question_id, variant_no, id, similarity, rank.
     """
-    v = variants.select("question_id", "variant_no", "vec", "channel_ids", "discussion_types",
-                        F.unix_millis("since").alias("since"))
+    v = cut(variants.select("question_id", "variant_no", "vec", "channel_ids", "discussion_types",
+                            F.unix_millis("since").alias("since")))
     qtype = v.schema["question_id"].dataType.simpleString()
     schema = f"question_id {qtype}, variant_no int, id string, similarity double"
     d = discussions.filter("embedding is not null").select(
@@ -424,8 +425,6 @@ def retrieve(
     questions: DataFrame, variants: DataFrame, graph: dict[str, DataFrame], now, params: dict | None = None
 ) -> DataFrame:
     """Vector search, anchors, expansion and ranking for all questions: ranked candidates."""
-    from parley.session import cut
-
     p = {**DEFAULTS, **(params or {})}
     nodes = graph["nodes_discussion"]
     asked = variants.join(questions.select("question_id", *FILTERS), "question_id")
@@ -444,8 +443,7 @@ def with_relaxation(
 
     The retry keeps the channels and drops the other filters. ``relaxed`` marks it.
     """
-    from parley.session import cut
-
+    questions, variants = cut(questions), cut(variants)
     ranked = cut(retrieve(questions, variants, graph, now, params))
     tight = questions.filter("discussion_types is not null or since is not null")
     again = tight.join(ranked.select("question_id").distinct(), "question_id", "left_anti")

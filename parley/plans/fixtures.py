@@ -228,7 +228,7 @@ class Fx:
     def questions(self) -> DataFrame:
         docs = self.table("documents").select("doc_id", "source")
         e = self.table("embeddings").withColumn("doc_id", F.expr(f"vec_id % {self.nd}")).join(docs, "doc_id")
-        return e.select(
+        return cut(e.select(
             F.col("vec_id").alias("question_id"),
             F.expr("concat('What about topic ', label, ' in case ', vec_id, '?')").alias("question"),
             F.expr("array(concat(' what about TOPIC ', label, ' in case ', vec_id, '? '), concat('topic ', label), "
@@ -241,7 +241,7 @@ class Fx:
             .alias("channel_ids"),
             F.expr("case when vec_id % 4 = 2 then array('announcement') end").alias("discussion_types"),
             F.expr("case when vec_id % 10 = 3 then timestamp '2030-01-01' end").alias("since"),
-            F.expr("case when vec_id % 2 = 0 then 'cs' else 'en' end").alias("answer_language"))
+            F.expr("case when vec_id % 2 = 0 then 'cs' else 'en' end").alias("answer_language")))
 
     @cached_property
     def variants(self) -> DataFrame:
