@@ -1,5 +1,7 @@
 """Registered queries against their SQL on the smallest data; ``compare.py`` runs all of them."""
 
+import re
+
 import pytest
 
 from parley.plans import ORACLES, QUERIES
@@ -28,4 +30,4 @@ def test_query_equals_sql(spark, con, name):
 
 def test_registry_is_whole():
     assert set(ORACLES) <= set(QUERIES)
-    assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
+    assert not [n for n in QUERIES if "pipeline" in n or re.match(r"op\d+_", n)]
