@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parley.llm.common import fold, text_of
 from parley.llm.registry import query, table
@@ -166,7 +167,7 @@ def score_quality(docs: DataFrame, model: PuModel, text_col: str = "text", out_c
     features. Rows keep all their columns; ``out_col`` replaces a column of that name.
     """
     kept = docs.drop(out_col)
-    schema = kept.schema.add(out_col, "double")
+    schema = StructType([*kept.schema.fields, StructField(out_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
