@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,16 +25,20 @@ ROWS_PER_LANG = 400
 LANGUAGES = 512
 #: Words of up to so many letters are scored many at a time; longer ones one by one, with rescaling.
 BATCHED = 32
-#: Distinct words a task remembers.
-REMEMBERED = 200_000
+#: Numbers a task remembers: distinct words times languages.
+REMEMBERED = 2_000_000
 UNKNOWN = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
+_ALNUM = re.compile(r"[^\W\d_]+")  # letters and a few more, quickly
 
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters, each marked as the start of a word like the vocabulary's pieces."""
-    return ["▁" + w for w in _LETTERS.findall(unicodedata.normalize("NFC", text).lower())]
+    runs = _ALNUM.findall(unicodedata.normalize("NFC", text).lower())
+    if not all(map(str.isalpha, runs)):  # signs such as roman numbers are no letters
+        runs = [w for r in runs for w in ([r] if r.isalpha() else _LETTERS.findall(r))]
+    return ["▁" + w for w in runs]
 
 
 @lru_cache(maxsize=2)
@@ -63,22 +68,59 @@ class Lattice(NamedTuple):
         return int(self.length.max(initial=0)) + 1
 
 
-def lattice(words: list[str], vocab: dict[str, int], longest: int) -> Lattice:
-    word, start, end, piece = [], [], [], []
-    get = vocab.get
-    for w, text in enumerate(words):
-        n = len(text)
-        for i in range(n):
-            known = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if (p := get(text[i:j])) is not None:
-                    word.append(w), start.append(i), end.append(j), piece.append(p)
-                    known |= j == i + 1
-            if not known:  # a single letter outside the vocabulary is an unknown piece
-                word.append(w), start.append(i), end.append(i + 1), piece.append(0)
-    a = [np.array(x, np.int64) for x in (word, start, end, piece)]
-    order = np.argsort(a[2], kind="stable")
-    return Lattice(len(words), np.fromiter(map(len, words), np.int64, len(words)), *(x[order] for x in a))
+class Trie(NamedTuple):
+    """Pieces as a sorted transition table: (node, letter) -> node, and the piece that ends in a node."""
+
+    key: np.ndarray
+    target: np.ndarray
+    piece: np.ndarray
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The next nodes; -1 where no piece goes on like that."""
+        key = (node << 21) | letter
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.target[at], -1)
+
+
+@lru_cache(maxsize=2)
+def trie(path: str) -> Trie:
+    vocab = vocabulary(path)
+    nodes: dict[tuple[int, int], int] = {}
+    piece = {}
+    for text, p in vocab.items():
+        node = 0
+        for letter in map(ord, text):
+            node = nodes.setdefault((node, letter), len(nodes) + 1)
+        piece[node] = p
+    key = np.array([(a << 21) | c for a, c in nodes], np.int64)
+    order = np.argsort(key)
+    ends = np.full(len(nodes) + 1, -1, np.int64)
+    ends[list(piece)] = list(piece.values())
+    return Trie(key[order], np.fromiter(nodes.values(), np.int64, len(nodes))[order], ends)
+
+
+def lattice(words: list[str], pieces: Trie) -> Lattice:
+    """Walk the trie from every letter of every word at once."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    if not len(words):
+        return Lattice(0, length, *[np.zeros(0, np.int64)] * 4)
+    letters = np.array(words).view(np.uint32).reshape(len(words), -1).astype(np.int64)
+    word, start = np.nonzero(np.arange(letters.shape[1]) < length[:, None])
+    node, size, found = np.zeros(len(word), np.int64), 0, []
+    while len(word):
+        inside = start + size < length[word]
+        word, start, node = word[inside], start[inside], node[inside]
+        node = pieces.step(node, letters[word, start + size])
+        size += 1
+        ends = np.where(node >= 0, pieces.piece[node], -1)
+        if size == 1:  # a single letter outside the vocabulary is an unknown piece
+            ends = np.maximum(ends, 0)
+        hit = ends >= 0
+        found.append((word[hit], start[hit], start[hit] + size, ends[hit]))
+        word, start, node = word[node >= 0], start[node >= 0], node[node >= 0]
+    edges = [np.concatenate(x) for x in zip(*found, strict=True)]
+    order = np.argsort(edges[2], kind="stable")
+    return Lattice(len(words), length, *(x[order] for x in edges))
 
 
 def forward(grid: Lattice, prob: np.ndarray) -> np.ndarray:
@@ -135,13 +177,12 @@ def fit_pieces(counts: dict[str, dict[str, int]], path: str, rounds: int = 6, sm
     by its expected number over all segmentations, plus ``smooth`` for pieces never met.
     """
     vocab = vocabulary(path)
-    longest = max(map(len, vocab))
     langs = sorted(counts)
     prob = np.zeros((len(vocab) + 1, len(langs)))
     for k, lang in enumerate(langs):
         words = sorted(w for w in counts[lang] if len(w) <= BATCHED)
         n = np.array([counts[lang][w] for w in words], float)
-        grid = lattice(words, vocab, longest)
+        grid = lattice(words, trie(path))
         expected = np.bincount(grid.piece, n[grid.word], len(vocab) + 1)
         p = (expected + smooth) / (expected + smooth).sum()
         for _ in range(rounds):
@@ -174,7 +215,7 @@ class Scorer:
         for at in range(0, len(short), 8192):
             some = short[at: at + 8192]
             some.sort(key=len)
-            grid = lattice(some, self.vocab, self.longest)
+            grid = lattice(some, trie(self.model.path))
             whole = forward(grid, self.model.prob)[grid.length, np.arange(len(some))]
             self.table[n: n + len(some)] = np.log(whole)
             self.row.update(zip(some, range(n, n + len(some)), strict=True))
@@ -189,7 +230,7 @@ class Scorer:
         for at in range(0, len(texts), 256):
             rows = [words_of(t) for t in texts[at: at + 256]]
             new = {w for ws in rows for w in ws if w not in self.row}
-            if len(self.row) + len(new) > REMEMBERED:
+            if (len(self.row) + len(new)) * len(self.model.langs) > REMEMBERED:
                 self.clear()
                 new = {w for ws in rows for w in ws}
             self.learn(sorted(new))
