@@ -36,3 +36,24 @@ def in_bitmap(df: DataFrame, column: str, bitmap: DataFrame, bits: int) -> DataF
     return (df.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket", "left")
             .withColumns({"_byte": byte, "_shift": (bit % 8).cast("int")})
             .withColumn("_hit", hit).drop("_bucket", "_bitmap", "_byte", "_shift"))
+
+
+def without(docs: DataFrame, keys: dict[str, Column], dropped: DataFrame, repeated: DataFrame | None = None,
+            bits: int = 1 << 25) -> DataFrame:
+    """``docs`` less the rows whose keys are in ``dropped``; of keys in ``repeated`` one row stays.
+
+    ``keys`` names expressions over ``docs``; the other two hold columns of those names. A bitmap
+    of bounded size lets rows that are certainly not concerned pass where they lie. Only rows
+    that may be are shuffled and compared.
+    """
+    names = list(keys)
+    concerned = dropped.select(*names) if repeated is None else dropped.select(*names).unionByName(repeated.select(*names))
+    bitmap = key_bitmap(concerned.select(F.xxhash64(*names).alias("_key")), "_key", bits)
+    marked = in_bitmap(docs.withColumns({f"_k_{n}": c for n, c in keys.items()}).withColumn(
+        "_key", F.xxhash64(*(F.col(f"_k_{n}") for n in names))), "_key", bitmap, bits)
+    same = [F.col(f"_k_{n}").eqNullSafe(F.col(f"_d_{n}")) for n in names]
+    doubtful = marked.where("_hit").join(
+        dropped.select(*(F.col(n).alias(f"_d_{n}") for n in names)).distinct(), same, "left_anti")
+    if repeated is not None:
+        doubtful = doubtful.dropDuplicates([f"_k_{n}" for n in names])
+    return marked.where("not _hit").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
