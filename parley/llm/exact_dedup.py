@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import in_bitmap, key_bitmap, text_of
+from parley.llm.common import in_bitmap, key_bitmap, text_of, without
 from parley.llm.registry import query, table
 from parley.session import cut
 
@@ -64,13 +64,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. Of repeated rows of one id one stays."""
-    sha, chars = F.sha2(normalised(text_col), 256), F.length(text_of(text_col))
-    kept = exact_dedup(docs, id_col, text_col, carry={"_sha": sha, "_n": chars}).where("kept").select(
-        F.col(id_col).alias("_kid"), F.col("_sha").alias("_ksha"), F.col("_n").alias("_kn")).distinct()
-    marked = docs.withColumns({"_sha": sha, "_n": chars}).dropDuplicates([id_col, "_sha", "_n"])
-    return marked.join(kept, marked[id_col].eqNullSafe(kept["_kid"]) & (F.col("_sha") == F.col("_ksha"))
-                       & (F.col("_n") == F.col("_kn")), "left_semi").select(*docs.columns)
+    """The rows that stay, with all their columns; of rows that repeat id and text one stays."""
+    keys = {"id": F.col(id_col), "sha": F.sha2(normalised(text_col), 256), "n": F.length(text_of(text_col))}
+    decided = cut(exact_dedup(docs, id_col, text_col, carry={"sha": keys["sha"], "n": keys["n"]}).where("group_size > 1")
+                  .select(F.col(id_col).alias("id"), "sha", "n", "kept"))
+    repeated = decided.where("kept").groupBy("id", "sha", "n").count().where("count > 1")
+    return without(docs, keys, decided.where("not kept"), repeated)
 
 
 SQL = r"""

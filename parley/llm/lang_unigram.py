@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -226,7 +227,8 @@ class Scorer:
                 self.row[w] = n
                 n += 1
 
-    def predict(self, texts: list[str]) -> Iterator[tuple[str, float]]:
+    def predict(self, texts: list[str]) -> Iterator[tuple[str, float, float]]:
+        """Language, its share of the probability, and its log probability per letter."""
         for at in range(0, len(texts), 256):
             rows = [words_of(t) for t in texts[at: at + 256]]
             new = {w for ws in rows for w in ws if w not in self.row}
@@ -236,11 +238,24 @@ class Scorer:
             self.learn(sorted(new))
             for ws in rows:
                 if not ws or not self.model.langs:
-                    yield UNKNOWN, 0.0
+                    yield UNKNOWN, 0.0, 0.0
                     continue
                 logp = self.table[np.fromiter(map(self.row.__getitem__, ws), np.int64, len(ws))].sum(0)
                 odds = np.exp(logp - logp.max())
-                yield self.model.langs[int(logp.argmax())], float(odds.max() / odds.sum())
+                yield self.model.langs[int(logp.argmax())], float(odds.max() / odds.sum()), float(logp.max() / sum(map(len, ws)))
+
+
+@lru_cache(maxsize=1)
+def _scorer(digest: str, path: str) -> list[Scorer]:
+    """A place for the scorer of the last model: words stay known from task to task."""
+    return []
+
+
+def scorer(model: LangModel) -> Scorer:
+    place = _scorer(hashlib.sha256(repr(model.langs).encode() + model.prob.tobytes()).hexdigest(), model.path)
+    if not place:
+        place.append(Scorer(model))
+    return place[0]
 
 
 def word_counts(texts: DataFrame, lang_col: str, text_col: str) -> dict[str, dict[str, int]]:
@@ -274,23 +289,23 @@ def train(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
 
 
 def identify(docs: DataFrame, model: LangModel, text_col: str = "text", lang_col: str = "lang_pred",
-             score_col: str = "lang_score") -> DataFrame:
-    """``docs`` with the likeliest language and its share of the probability of all languages.
+             score_col: str = "lang_score", fit_col: str = "lang_fit") -> DataFrame:
+    """``docs`` with the likeliest language, its share of the probability of all languages, and its fit.
 
-    Only the whole text is read. Without a letter, or a null text, the language is ``und`` and
-    the score 0. All columns stay; ones of the new names are replaced.
+    The fit is the log probability per letter: far lower for text in no learned language. Only
+    the whole text is read. Without a letter, or a null text, the language is ``und``, the others 0. All columns stay; ones of the new names are replaced.
     """
-    kept = docs.drop(lang_col, score_col)
-    schema = StructType([*kept.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
+    kept = docs.drop(lang_col, score_col, fit_col)
+    schema = StructType([*kept.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType()), StructField(fit_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        known = scorer(model)
         for b in batches:
             texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            found = list(scorer.predict(texts))
+            found = list(known.predict(texts))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*b.schema.names, lang_col, score_col])
+                [*b.columns, pa.array([f[0] for f in found], pa.string()), *(pa.array([f[k] for f in found], pa.float64()) for k in (1, 2))],
+                [*b.schema.names, lang_col, score_col, fit_col])
 
     return kept.mapInArrow(run, schema)
 
@@ -305,4 +320,4 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), lang_model(docs), score_col="score")
-    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "lang_fit")
