@@ -49,11 +49,12 @@ def without(docs: DataFrame, keys: dict[str, Column], dropped: DataFrame, repeat
     names = list(keys)
     concerned = dropped.select(*names) if repeated is None else dropped.select(*names).unionByName(repeated.select(*names))
     bitmap = key_bitmap(concerned.select(F.xxhash64(*names).alias("_key")), "_key", bits)
-    marked = in_bitmap(docs.withColumns({f"_k_{n}": c for n, c in keys.items()}).withColumn(
-        "_key", F.xxhash64(*(F.col(f"_k_{n}") for n in names))), "_key", bitmap, bits)
+    # the row travels as one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(f"_k_{n}") for n, c in keys.items()))
+    marked = in_bitmap(rows.withColumn("_key", F.xxhash64(*(F.col(f"_k_{n}") for n in names))), "_key", bitmap, bits)
     same = [F.col(f"_k_{n}").eqNullSafe(F.col(f"_d_{n}")) for n in names]
     doubtful = marked.where("_hit").join(
         dropped.select(*(F.col(n).alias(f"_d_{n}") for n in names)).distinct(), same, "left_anti")
     if repeated is not None:
         doubtful = doubtful.dropDuplicates([f"_k_{n}" for n in names])
-    return marked.where("not _hit").select(*docs.columns).unionByName(doubtful.select(*docs.columns))
+    return marked.where("not _hit").select("_row.*").unionByName(doubtful.select("_row.*"))
