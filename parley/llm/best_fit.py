@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,11 +22,16 @@ from parley.session import cut
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", _row long, sequence_id long, offset long, _part long, _open boolean, _gap long"
 #: Distinct white-space-free chunks a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: The tokenizer's own pattern of pre-tokens (fixed value), with the lower-case letters, numbers
+#: and white space of Latin-1 spelled out.
+_PRE_TOKENS = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    r"|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
 class ChunkEncoder:
-    """Token ids of texts by the tokenizers library, asked once per distinct chunk.
+    """Token ids of texts by the tokenizers library, asked once per distinct pre-token.
 
     The tokenizer drops white space and no token crosses it, so ids of a text are the ids of
     its chunks between ASCII white space, in order. Ids are kept as little-endian bytes.
@@ -37,32 +44,62 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that close a pre-token
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
         for text in texts:
-            chunks = text.encode("utf-8", "replace").split()
+            plain = _is_plain(text)
+            chunks = (text.lower() if plain else text).encode("utf-8", "replace").split()
             found = list(map(known.get, chunks))
             if None in found:
-                missing = list({c for c, ids in zip(chunks, found, strict=True) if ids is None})
-                if len(known) + len(missing) > REMEMBERED:
-                    known.clear()
-                    missing = list(set(chunks))
-                encoded = self.tokenizer.encode_batch([c.decode() for c in missing], add_special_tokens=False)
-                known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(missing, encoded, strict=True))
+                self._learn({c for c, ids in zip(chunks, found, strict=True) if ids is None}, chunks, plain)
                 found = list(map(known.__getitem__, chunks))
             yield b"".join(found)
 
+    def _learn(self, missing: set[bytes], chunks: list[bytes], plain: bool) -> None:
+        known = self.known
+        if len(known) + len(missing) > REMEMBERED:
+            known.clear()
+            missing = set(chunks)
+        if not plain:
+            some = list(missing)
+            encoded = self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False)
+            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, encoded, strict=True))
+            return
+        parts = {c: [p.encode() for p in _PRE_TOKENS.findall(c.decode())] for c in missing}
+        new = list({p for ps in parts.values() for p in ps if p not in known})
+        # one call for all: every pre-token ends with a token that says so
+        ids = np.array(self.tokenizer.encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
+        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        data = ids.tobytes()
+        known.update((p, data[i:j]) for p, i, j in zip(new, cuts[:-1], cuts[1:], strict=True))
+        known.update((c, b"".join(map(known.__getitem__, ps))) for c, ps in parts.items())
+
+
+@lru_cache(maxsize=2)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path)
+
+
+def _is_plain(text: str) -> bool:
+    """Latin-1 alone and no special token: lower-casing first and cutting pre-tokens here is then exact."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
+
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """The pieces of every document: its ids and ``end_id``, cut only where longer than ``capacity``."""
     end = np.array([end_id], "<u4").tobytes()
-    encoders: dict[str, ChunkEncoder] = {}
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoders.get(tokenizer_path) or encoders.setdefault(tokenizer_path, ChunkEncoder(tokenizer_path))
+        encoder = chunk_encoder(tokenizer_path)
         for batch in batches:
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
