@@ -84,8 +84,10 @@ def used_refs(refs: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(joined, F.lit(r"D\d+"), F.lit(0)))
 
 
-def clip(c: Column, limit: int = 200_000) -> Column:
-    """Long logged text cut at ``limit`` characters, with a note of its full length."""
+def clip(c: Column, limit: int | None = None) -> Column:
+    """Logged text, whole; a ``limit`` cuts it there, with a note of its full length."""
+    if limit is None:
+        return c
     note = F.concat(
         F.lit("\n… [zkráceno, "), F.length(c).cast("string"), F.lit(" znaků]")
     )

@@ -9,18 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.ordered import chase, row_index, scan
+from parley.operators.ordered import chase, scan
 from parley.operators.segment import ORDER, gap_runs
 from parley.schemas import DEFAULTS
-from parley.session import cut, cut_by
+from parley.session import cut
 
 CHAIN = ["channel_id", "block_no", "epoch"]
-_FOLD_SCHEMA = (
-    "channel_id string, block_no bigint, epoch bigint, kind int, pos bigint, id string, "
-    "root_id string, vec array<float>, members bigint, last_ms bigint, authors array<string>"
-)
-#: kinds of rows in the fold's input and output: a cluster carried over, a message
-CLUSTER, MESSAGE = 0, 1
+_FOLD_SCHEMA = "channel_id string, block_no bigint, id string, root_id string"
 
 
 class ActiveClusters:
@@ -97,61 +92,34 @@ class ActiveClusters:
 
 
 def _fold(*settings):
-    """Task kernel: a sorted stream of chains, each as carried clusters, then messages.
+    """Task kernel: a sorted stream of chains of messages.
 
     Only the clusters of the current chain are held, whatever the length of the
     chain or the number of chains in the task.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, keep = None, None, False
-
-        def handed_on() -> list[tuple]:
-            # clusters go out only where another slice of the chain follows
-            if not keep:
-                return []
-            return [(*key, CLUSTER, rank, None, root, vec, n, last, people)
-                    for rank, (root, vec, n, last, people) in enumerate(state.rows())]
-
+        key, state = None, None
         for pdf in frames:
             out = []
-            for ch, block, epoch, kind, pos, mid, author, mentions, vec, members, last, authors, more in zip(
-                pdf["channel_id"], pdf["block_no"], pdf["epoch"], pdf["kind"], pdf["pos"], pdf["id"],
-                pdf["author_id"], pdf["mentions"], pdf["vec"], pdf["members"], pdf["last_ms"], pdf["authors"], pdf["more"],
-                strict=True,
+            for ch, block, epoch, ms, mid, author, mentions, vec in zip(
+                pdf["channel_id"], pdf["block_no"], pdf["epoch"], pdf["ms"], pdf["id"], pdf["author_id"],
+                pdf["mentions"], pdf["vec"], strict=True,
             ):
                 if (ch, block, epoch) != key:
-                    if key is not None:
-                        out += handed_on()
-                    key, state, keep = (ch, block, epoch), ActiveClusters(*settings), False
-                if kind == CLUSTER:
-                    state.add(mid, np.asarray(vec, dtype=np.float32), members, int(last), list(authors))
-                else:
-                    keep = bool(more)
-                    out.append((*key, MESSAGE, None, mid, state.place(mid, pos, author, mentions, vec),
-                                None, None, None, None))
-            yield _frame(out)
-        if key is not None and keep:
-            yield _frame(handed_on())
+                    key, state = (ch, block, epoch), ActiveClusters(*settings)
+                out.append((ch, block, mid, state.place(mid, ms, author, mentions, vec)))
+            yield pd.DataFrame(out, columns=["channel_id", "block_no", "id", "root_id"])
 
     return run
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [f.strip().split()[0] for f in _FOLD_SCHEMA.split(", ")]
-    out = pd.DataFrame(rows, columns=names, dtype=object)
-    for c in ("block_no", "epoch", "kind", "pos", "members", "last_ms"):
-        out[c] = out[c].astype("Int64")
-    return out
-
-
 def subcluster(
     blocks_with_vec: DataFrame,
     tau: float = DEFAULTS["tau"],
     idle_minutes: float = DEFAULTS["idle_minutes"],
     author_bonus: float = DEFAULTS["author_bonus"],
     mention_bonus: float = DEFAULTS["mention_bonus"],
-    chunk_rows: int = 20_000,
 ) -> DataFrame:
     """Assign each long message to an online sub-cluster of its block.
 
@@ -162,51 +130,17 @@ def subcluster(
 
     The fold is sequential by definition, but a silence longer than
     ``idle_minutes`` retires every cluster, so a block falls into independent
-    epochs. An epoch longer than ``chunk_rows`` runs slice by slice: all first
-    slices in parallel, then all second slices, each starting from the clusters
-    its predecessor left. No task ever holds more than one slice.
+    epochs, which run in parallel. A task streams sorted rows and holds the active
+    clusters of one epoch only, whatever the length of the epoch.
 
     Returns channel_id, block_no, id, root_id (first message of the cluster).
     """
     keyed = gap_runs(
         blocks_with_vec, ["channel_id", "block_no"], int(idle_minutes * 60_000), "epoch"
-    ).select(
-        *CHAIN, "id", "author_id", "mentions", "created_at",
-        F.unix_millis("created_at").alias("ms"), "vec",
-    )
+    ).select(*CHAIN, F.unix_millis("created_at").alias("ms"), "id", "author_id", "mentions", "vec")
     kernel = _fold(tau, int(idle_minutes * 60_000), author_bonus, mention_bonus)
-    longest = keyed.groupBy(*CHAIN).count().agg(F.max("count")).first()[0] or 0
-    steps = max(1, -(-longest // chunk_rows))
-    if steps == 1:
-        sliced = keyed.withColumn("slice", F.lit(0)).withColumn("more", F.lit(False))
-    else:
-        sizes = keyed.groupBy(*CHAIN).agg(F.count("*").alias("_n"))
-        numbered = row_index(keyed, CHAIN, ORDER, "_rn").join(sizes, CHAIN)
-        at = F.floor((F.col("_rn") - 1) / F.lit(chunk_rows))
-        # one folder per slice, so that a step reads its own slice only
-        sliced = cut_by(numbered.withColumn("slice", at).withColumn(
-            "more", (at + 1) * chunk_rows < F.col("_n")).drop("_rn", "_n"), "slice")
-    nul = F.lit(None)
-    messages = sliced.select(
-        *CHAIN, F.lit(MESSAGE).alias("kind"), F.col("ms").alias("pos"), "id", "author_id", "mentions", "vec",
-        nul.cast("bigint").alias("members"), nul.cast("bigint").alias("last_ms"), nul.cast("array<string>").alias("authors"), "more", "slice")
-    order = [*CHAIN, "kind", "pos", "id"]
-    done, carried = None, None
-    for step in range(steps):
-        rows = messages.filter(F.col("slice") == step).drop("slice")
-        if carried is not None:
-            rows = rows.unionByName(carried)
-        streamed = rows.repartition(*[F.col(c) for c in CHAIN]).sortWithinPartitions(*order)
-        folded = streamed.mapInPandas(kernel, _FOLD_SCHEMA)
-        if steps > 1:
-            folded = cut(folded)
-            carried = folded.filter(F.col("kind") == CLUSTER).select(
-                *CHAIN, "kind", "pos", F.col("root_id").alias("id"), nul.cast("string").alias("author_id"),
-                nul.cast("array<string>").alias("mentions"), "vec", "members", "last_ms", "authors",
-                F.lit(False).alias("more"))
-        part = folded.filter(F.col("kind") == MESSAGE).select("channel_id", "block_no", "id", "root_id")
-        done = part if done is None else done.unionByName(part)
-    return done
+    streamed = keyed.repartition(*[F.col(c) for c in CHAIN]).sortWithinPartitions(*CHAIN, "ms", "id")
+    return streamed.mapInPandas(kernel, _FOLD_SCHEMA)
 
 
 def centroids(members: DataFrame, dim: int, key: str = "root_id") -> DataFrame:
@@ -501,8 +435,10 @@ def cluster_channels(
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Run segmentation and clustering over all channels and write the state.
 
-    ``vectors`` holds (id, vec) of the long messages. Where ``max_messages`` cuts
-    a channel, its last block may be incomplete and waits for the next run.
+    ``vectors`` holds (id, vec) of the long messages. ``max_messages`` bounds what one
+    run takes of a channel. A block that it cuts is processed as far as taken, and the
+    rest in later runs: closed or open is judged by the newest message of the channel,
+    taken or not, so a channel is always emptied in a bounded number of runs.
     """
     from parley.operators.segment import (
         channel_max, closed_blocks, long_messages, scan_unprocessed, split_threads, time_blocks,
@@ -511,9 +447,7 @@ def cluster_channels(
     messages = state["messages"]
     scanned = scan_unprocessed(messages, max_messages)
     main, threads = split_threads(scanned)
-    maxima = channel_max(messages if max_messages is None else scanned.unionByName(
-        messages.filter("processed <> 0")))
-    blocks = cut(closed_blocks(time_blocks(main, gap_minutes), maxima, gap_minutes))
+    blocks = cut(closed_blocks(time_blocks(main, gap_minutes), channel_max(messages), gap_minutes))
     replies = cut(resolve_replies(blocks, messages))
     longs = long_messages(blocks.filter("closed"), word_limit)
     found = subcluster(longs.join(vectors, "id"), tau, idle_minutes)

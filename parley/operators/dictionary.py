@@ -10,19 +10,46 @@ from pyspark.sql import functions as F
 from parley.operators.ingest import as_ts
 
 
-def payload_rows(payload: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Parse one JSON object per row, keeping which keys it carries.
+# fixed values: the fields that a section of a payload may carry beside its id
+SECTIONS = {"guilds": ["name"], "channels": ["name", "type"], "users": ["username", "display_name"]}
+
+
+def validate_payload(payload: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Entries of a payload (json, optionally pos), and the rejected ones with a reason.
 
-    Returns id, the field values and ``has_<field>``: an absent key means keep, a
-    null clears, a value sets.
+    Rejected: what is no JSON object, has no id, has a key that is neither the id nor one of
+    ``fields``, or a value that is neither a string nor null.
     """
-    parsed = F.from_json("json", "map<string,string>")
-    m = payload.select(parsed.alias("m"))
-    return m.select(
-        F.col("m")["id"].alias("id"),
+    order = F.col("pos") if "pos" in payload.columns else F.monotonically_increasing_id()
+    v = F.try_parse_json("json")
+    wrong: Column = F.lit(False)
+    for f in ("id", *fields):
+        kind = F.schema_of_variant(F.try_variant_get("_v", f"$.{f}", "variant"))
+        wrong = wrong | (F.try_variant_get("_v", f"$.{f}", "variant").isNotNull() & ~kind.isin("STRING", "VOID"))
+    keys = F.map_keys(F.from_json("json", "map<string,string>"))
+    rows = payload.withColumns({"_pos": order, "_v": v, "_keys": keys}).withColumn("reason", F.when(
+        F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), F.lit("not a JSON object")).when(
+        F.coalesce(F.try_variant_get("_v", "$.id", "string"), F.lit("")) == "", F.lit("entry without an id")).when(
+        F.size(F.array_except("_keys", F.array(*[F.lit(f) for f in ("id", *fields)]))) > 0, F.lit("unknown key")).when(
+        wrong, F.lit("value is not a string")))
+    m = F.from_json("json", "map<string,string>")
+    good = rows.filter("reason is null").select("_pos", m.alias("m")).select(
+        F.col("m")["id"].alias("id"), "_pos",
         *[F.col("m")[f].alias(f) for f in fields],
-        *[F.coalesce(F.map_contains_key("m", f), F.lit(False)).alias(f"has_{f}") for f in fields],
-    )
+        *[F.coalesce(F.map_contains_key("m", f), F.lit(False)).alias(f"has_{f}") for f in fields])
+    return good, rows.filter("reason is not null").select("json", "reason")
+
+
+def payload_rows(payload: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """One row per id of the valid entries, keeping which keys it carries.
+
+    Returns id, the field values, ``has_<field>`` (an absent key means keep, a null clears, a
+    value sets) and ``entries``. Of repeated ids the last carried value of each field counts.
+    """
+    good, _ = validate_payload(payload, fields)
+    return good.groupBy("id").agg(
+        *[F.max_by(f, F.when(F.col(f"has_{f}"), F.col("_pos"))).alias(f) for f in fields],
+        *[F.bool_or(f"has_{f}").alias(f"has_{f}") for f in fields], F.count("*").alias("entries"))
 
 
 def _joined(dim: DataFrame, payload: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -30,6 +57,7 @@ def _joined(dim: DataFrame, payload: DataFrame, fields: Sequence[str]) -> DataFr
         F.col("id").alias("_id"),
         *[F.col(f).alias(f"_n_{f}") for f in fields],
         *[F.col(f"has_{f}").alias(f"_has_{f}") for f in fields],
+        (F.col("entries") if "entries" in payload.columns else F.lit(1)).alias("_entries"),
     )
     joined = dim.join(n, F.col("id") == F.col("_id"), "full_outer")
     differs: Column = F.lit(False)
@@ -69,10 +97,10 @@ def sync_dictionary(
 
 
 def sync_counts(dim: DataFrame, payload: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Received, created, updated and unchanged rows of a sync."""
+    """Received entries, and created, updated and unchanged rows of a sync."""
     o = F.col("_outcome")
     return _joined(dim, payload, fields).agg(
-        F.count_if(o != "untouched").alias("received"),
+        F.coalesce(F.sum("_entries"), F.lit(0)).cast("bigint").alias("received"),
         F.count_if(o == "created").alias("created"),
         F.count_if(o == "updated").alias("updated"),
         F.count_if(o == "unchanged").alias("unchanged"),
@@ -116,7 +144,7 @@ def propagate_names(nodes: DataFrame, names: DataFrame, fields: Sequence[str]) -
 
     ``touched`` marks the nodes that matched.
     """
-    n = names.select(F.col("id").alias("_id"), *[F.col(f).alias(f"_n_{f}") for f in fields])
+    n = names.filter("id is not null").groupBy(F.col("id").alias("_id")).agg(*[F.max(f).alias(f"_n_{f}") for f in fields])
     hit = F.col("_id").isNotNull()
     j = nodes.join(n, F.col("id") == F.col("_id"), "left")
     return j.select(

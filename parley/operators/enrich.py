@@ -73,14 +73,23 @@ def _joined_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def render_prompts(msgs: DataFrame, max_messages: int = DEFAULTS["max_messages_per_call"]) -> DataFrame:
-    """Prompt of one discussion; a header tells when messages were left out."""
+    """Prompts of one discussion: parts of at most ``max_messages`` messages, every message in one.
+
+    Returns discussion_id, part (from 1), messages (of the whole discussion), prompt. A header
+    tells which part it is where there are several. Positions come from an ordered scan, so a
+    long discussion is no single task's work.
+    """
+    lines = scan(render_line(msgs).select("discussion_id", "created_at", "id", "line"), ["discussion_id"],
+                 ["created_at", "id"], sums={"rn": F.lit(1).cast("bigint")}).withColumn(
+        "part", F.floor((F.col("rn") - 1) / F.lit(max_messages)) + 1)
+    bodies = _joined_lines(lines, ["discussion_id", "part"])
     totals = msgs.groupBy("discussion_id").agg(F.count("*").alias("messages"))
-    body = _joined_lines(render_line(_first_lines(msgs, max_messages)), ["discussion_id"])
+    parts = F.ceil(F.col("messages") / F.lit(max_messages)).cast("string")
     header = F.when(F.col("messages") > max_messages, F.concat(
-        F.lit("Diskuze má "), F.col("messages").cast("string"), F.lit(" zpráv, níže je prvních "),
-        F.lit(str(max_messages)), F.lit(".\n\n"))).otherwise(F.lit(""))
-    return totals.join(body, "discussion_id").select(
-        "discussion_id", "messages", F.concat(header, "body").alias("prompt"))
+        F.lit("Část "), F.col("part").cast("string"), F.lit(" z "), parts, F.lit(" jedné diskuze ("),
+        F.col("messages").cast("string"), F.lit(" "), messages_word(F.col("messages")), F.lit(").\n\n"))).otherwise(F.lit(""))
+    return bodies.join(totals, "discussion_id").select(
+        "discussion_id", "part", "messages", F.concat(header, "body").alias("prompt"))
 
 
 def messages_word(n: Column) -> Column:
@@ -147,6 +156,8 @@ def pack_batches(
     from the first one by these jumps. So a queue of any length packs in parallel.
     Returns the queue with pos (from 0), batch_no (from 1) and label_no (from 1).
     """
+    if max_discussions < 1 or max_messages < 1:
+        raise ValueError("max_discussions and max_messages must be positive")
     order = ["block_start_at", "id"]
     tot = scan(queue, ["channel_id"], order, sums={
         "_i": F.lit(1).cast("bigint"), "_t": F.col("tokens").cast("bigint"),
@@ -252,25 +263,31 @@ def infer_with_retry(
 ) -> DataFrame:
     """Call every batch; a failed batch of several discussions is retried one by one.
 
-    ``batches``: batch_id, discussions, prompt. ``members``: batch_id, label_no,
-    discussion_id. Returns calls with call_id, batch_id, attempt (batch or solo) and
-    discussion_id (set on solo calls).
+    ``batches``: batch_id, discussions, prompt, and part where a batch has several prompts.
+    ``members``: batch_id, label_no, discussion_id. Returns calls with call_id, batch_id, part,
+    attempt (batch or solo) and discussion_id (set on solo calls).
     """
     from parley.session import cut
 
-    first = cut(infer_segments(batches.select("batch_id", "discussions", "prompt"), infer_fn))
+    part = F.col("part") if "part" in batches.columns else F.lit(1)
+    first = cut(infer_segments(batches.select("batch_id", part.cast("bigint").alias("part"), "discussions", "prompt"), infer_fn))
     failed = first.filter("status = 'error' and discussions > 1").select("batch_id")
     solo_of = members.join(failed, "batch_id", "left_semi").select("batch_id", "discussion_id")
     prompts = render_prompts(msgs.join(solo_of.select("discussion_id"), "discussion_id", "left_semi"),
                              max_messages)
     solo = infer_segments(
         solo_of.join(prompts, "discussion_id").select(
-            "batch_id", "discussion_id", F.lit(1).cast("bigint").alias("discussions"), "prompt"),
+            "batch_id", "discussion_id", "part", F.lit(1).cast("bigint").alias("discussions"), "prompt"),
         infer_fn)
     return first.withColumn("discussion_id", F.lit(None).cast("string")).withColumn(
-        "attempt", F.lit("batch")).withColumn("call_id", F.col("batch_id")).unionByName(
+        "attempt", F.lit("batch")).withColumn("call_id", call_of(F.col("batch_id"))).unionByName(
         solo.withColumn("attempt", F.lit("solo")).withColumn(
-            "call_id", F.concat_ws("/", "batch_id", "discussion_id")))
+            "call_id", call_of(F.concat_ws("/", "batch_id", "discussion_id"))))
+
+
+def call_of(name: Column) -> Column:
+    """Id of a call: its batch or discussion, and its part after the first."""
+    return F.when(F.col("part") > 1, F.concat_ws("@", name, "part")).otherwise(name)
 
 
 # --- mapping replies to messages ---------------------------------------------------
@@ -491,8 +508,8 @@ def enrich_summary(queue: DataFrame, calls: DataFrame, outcomes: DataFrame) -> D
     return q.select("*", one).join(c.select("*", one), "_one").join(o.select("*", one), "_one").drop("_one")
 
 
-def inference_log(calls: DataFrame, provider: str, model: str, started_at, limit: int = 200_000) -> DataFrame:
-    """Log row per model call, with long texts clipped."""
+def inference_log(calls: DataFrame, provider: str, model: str, started_at, limit: int | None = None) -> DataFrame:
+    """Log row per model call, with whole texts; ``limit`` clips them."""
     return calls.select(
         F.md5(F.concat_ws("|", "call_id", "context")).alias("id"),
         F.lit(provider).alias("provider"), F.lit(model).alias("model"), "context", "channel_id", "job_id",
@@ -502,6 +519,10 @@ def inference_log(calls: DataFrame, provider: str, model: str, started_at, limit
         F.when(F.col("status") == "ok", clip(F.col("raw"), limit)).alias("response"))
 
 
+#: Segments that one reply holds at most, by far.
+PART_SEGMENTS = 1 << 20
+
+
 def enrich_channels(
     state: dict[str, DataFrame], infer_fn, embed_fn, now, max_discussions: int | None = None,
     target_tokens: int = DEFAULTS["batch_target_tokens"],
@@ -530,7 +551,8 @@ def enrich_channels(
     alone = sized.filter("_n = 1").select("batch_id", "discussion_id")
     one = alone.join(render_prompts(
         msgs.join(alone.select("discussion_id"), "discussion_id", "left_semi"), max_messages),
-        "discussion_id").select("batch_id", F.lit(1).cast("bigint").alias("discussions"), "prompt")
+        "discussion_id").select("batch_id", "part", F.lit(1).cast("bigint").alias("discussions"), "prompt")
+    many = many.withColumn("part", F.lit(1).cast("bigint"))
     calls = cut(infer_with_retry(many.unionByName(one), members, msgs, infer_fn, max_messages))
 
     def labels_of(c: DataFrame) -> DataFrame:
@@ -542,8 +564,9 @@ def enrich_channels(
     owners = msgs.select("discussion_id", F.col("id").alias("message_id"))
 
     def segments_of(c: DataFrame) -> DataFrame:
-        return c.filter("status = 'ok'").select("call_id", "raw", F.posexplode("value.segments").alias(
-            "seg_no", "s")).select("call_id", "raw", "seg_no", "s.*")
+        # segments are numbered through all parts of a discussion
+        return c.filter("status = 'ok'").select("call_id", "raw", "part", F.posexplode("value.segments").alias(
+            "_no", "s")).select("call_id", "raw", ((F.col("part") - 1) * PART_SEGMENTS + F.col("_no")).alias("seg_no"), "s.*")
 
     good = calls.filter("status = 'ok'")
     mapped = cut(map_segments(segments_of(calls), owners, labels_of(good)))
@@ -551,7 +574,7 @@ def enrich_channels(
     extra = infer_segments(
         left_out.join(render_prompts(msgs.join(left_out.select("discussion_id"), "discussion_id", "left_semi"),
                                      max_messages), "discussion_id").select(
-            F.concat_ws("/", "call_id", "discussion_id", F.lit("solo")).alias("call_id"), "discussion_id",
+            call_of(F.concat_ws("/", "call_id", "discussion_id", F.lit("solo"))).alias("call_id"), "discussion_id", "part",
             F.lit(1).cast("bigint").alias("discussions"), "prompt"), infer_fn)
     extra = cut(extra.withColumn("attempt", F.lit("omitted")).withColumn("batch_id", F.lit(None).cast("string")))
     all_calls = calls.unionByName(extra)

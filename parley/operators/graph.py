@@ -61,14 +61,16 @@ def canonical_entities(enrichment: DataFrame) -> DataFrame:
         F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name"), F.min("type").alias("type"))
 
 
-def label_pairs(labels: DataFrame, col: str, max_terms: int = DEFAULTS["cooccurrence_terms"]) -> DataFrame:
-    """Unordered label pairs a < b per discussion with at most ``max_terms`` labels.
+def label_pairs(labels: DataFrame, col: str, max_terms: int | None = None) -> DataFrame:
+    """Unordered label pairs a < b of every discussion.
 
-    Larger discussions are dropped before their labels are gathered, so an array
-    holds at most ``max_terms`` items and its pairs are made in place.
+    ``max_terms`` leaves out discussions with more labels, before they are gathered. The
+    labels of one discussion are what one model reply holds, so their pairs are made in place.
     """
-    few = labels.groupBy("discussion_id").count().filter(F.col("count") <= max_terms)
-    small = labels.join(few, "discussion_id", "left_semi").groupBy("discussion_id").agg(
+    if max_terms is not None:
+        few = labels.groupBy("discussion_id").count().filter(F.col("count") <= max_terms)
+        labels = labels.join(few, "discussion_id", "left_semi")
+    small = labels.groupBy("discussion_id").agg(
         F.sort_array(F.collect_set(col)).alias("ls"))
     firsts = small.select("discussion_id", "ls", F.posexplode("ls").alias("i", "a"))
     rest = F.slice("ls", F.col("i") + 2, F.greatest(F.lit(0), F.size("ls") - F.col("i") - 1))

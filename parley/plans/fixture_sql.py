@@ -32,6 +32,10 @@ def line(id_: str, author: str, at: str, content: str) -> str:
 _ND = "(SELECT count(*) FROM documents)"
 _NE = "(SELECT count(*) FROM embeddings)"
 _NC = "(SELECT count(DISTINCT conv_id) FROM conversations)"
+_SAID = "(e.event_id // 4 * 2 + e.event_id % 4 - 2)"
+_TALK = "((vec_id // 10) * 7 + vec_id % 10 - 3)"
+_TALKS = f"(SELECT least({_ND}, count(*)) FROM embeddings WHERE vec_id % 10 >= 3)"
+GAP_MS = "(SELECT least(30, greatest(1, 300000 // count(*))) * 60000 FROM events)"
 _CHANNELS = "['click', 'error', 'purchase', 'signup', 'view']"
 _TYPES = "['question', 'help-request', 'discussion', 'announcement', 'off-topic', 'banter', 'other']"
 _INTENTS = "['opinion', 'troubleshooting', 'factual', 'summary', 'person-activity', 'timeline', 'other']"
@@ -53,9 +57,12 @@ CTES: dict[str, str] = {
     "fx_turns": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1",
     "fx_text": f"""
 SELECT e.event_id, coalesce(d.text, c.text, e.props) AS content FROM events e
-LEFT JOIN documents d ON e.event_id % 4 = 1 AND d.doc_id = e.event_id % {_ND}
-LEFT JOIN fx_turns t ON e.event_id % 4 > 1 AND t.conv_id = e.event_id % {_NC}
-LEFT JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = (e.event_id // {_NC}) % t.n""",
+LEFT JOIN documents d ON e.event_id % 4 = 1 AND d.doc_id = (e.event_id // 4) % {_ND}
+LEFT JOIN fx_turns t ON e.event_id % 4 > 1 AND t.conv_id = {_SAID} % {_NC}
+LEFT JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = ({_SAID} // {_NC}) % t.n""",
+    "fx_talks": f"""
+SELECT doc_id % {_TALKS} AS talk, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source, string_agg(text, ' ' ORDER BY doc_id) AS text
+FROM documents GROUP BY 1""",
     "fx_messages": f"SELECT {_MSG}, x.content, {words('x.content')} AS word_count FROM events e JOIN fx_text x USING (event_id)",
     "fx_vectors": f"SELECT CAST(event_id AS VARCHAR) AS id, b.embedding::DOUBLE[] AS vec FROM events JOIN embeddings b ON b.vec_id = event_id % {_NE}",
     "fx_users": """
@@ -84,7 +91,7 @@ SELECT e.vec_id, 'd' || vec_id AS discussion_id, 'Talk ' || vec_id || ' ' || d.s
  {_SENTIMENTS}[vec_id % 4 + 1] AS sentiment, ((vec_id % 21)::DOUBLE - 10) / 10 AS sentiment_score, lang AS language,
  {_TYPES}[vec_id % 7 + 1] AS discussion_type, CASE vec_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS resolved,
  e.embedding::DOUBLE[] AS embedding
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % {_ND} WHERE vec_id % 10 >= 3""",
+FROM embeddings e JOIN fx_talks d ON d.talk = {_TALK} % {_TALKS} WHERE vec_id % 10 >= 3""",
     "fx_members": f"""
 SELECT 'd' || (event_id % {_NE}) AS discussion_id, CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS author_id,
  date_trunc('millisecond', ts) AS created_at FROM events WHERE (event_id % {_NE}) % 10 >= 3""",
@@ -242,12 +249,12 @@ FROM fx_users u FULL JOIN fx_payload p ON p.id = u.id""",
     "fx_batch": "SELECT *, 'b' || (author_id::BIGINT % 10) AS batch_id FROM fx_dump",
     "fx_new": "SELECT * FROM fx_batch WHERE id NOT IN (SELECT id FROM fx_stored) QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1",
     # clustering
-    "fx_blocks": """
-SELECT s.*, epoch_ms(x.mx) - epoch_ms(s.block_end_at) > 1800000 AS closed FROM (
+    "fx_blocks": f"""
+SELECT s.*, epoch_ms(x.mx) - epoch_ms(s.block_end_at) > {GAP_MS} AS closed FROM (
  SELECT *, min(created_at) OVER (PARTITION BY channel_id, block_no) AS block_start_at,
   max(created_at) OVER (PARTITION BY channel_id, block_no) AS block_end_at FROM (
   SELECT *, CAST(sum(nb) OVER (PARTITION BY channel_id ORDER BY created_at, id) AS BIGINT) AS block_no FROM (
-   SELECT *, CASE WHEN epoch_ms(created_at) - epoch_ms(lag(created_at) OVER (PARTITION BY channel_id ORDER BY created_at, id)) > 1800000
+   SELECT *, CASE WHEN epoch_ms(created_at) - epoch_ms(lag(created_at) OVER (PARTITION BY channel_id ORDER BY created_at, id)) > {GAP_MS}
     THEN 1 ELSE 0 END AS nb FROM fx_messages WHERE processed = 0 AND thread_id IS NULL))) s
 JOIN (SELECT channel_id, max(created_at) AS mx FROM fx_slim GROUP BY 1) x USING (channel_id)""",
     "fx_sub": """
@@ -376,7 +383,7 @@ WHERE o <= 10"""
 CTES["fx_people"] = """
 SELECT discussion_id AS id, list({'n': name, 'c': message_count} ORDER BY rn) AS people FROM (
  SELECT *, row_number() OVER (PARTITION BY discussion_id ORDER BY message_count DESC, name) AS rn FROM (
-  SELECT discussion_id, coalesce(display_name, username, author_id) AS name, message_count FROM fx_parts)) WHERE rn <= 8 GROUP BY 1"""
+  SELECT discussion_id, coalesce(display_name, username, author_id) AS name, message_count FROM fx_parts)) GROUP BY 1"""
 CTES["fx_cores"] = """
 SELECT n.id, n.title, c.name AS channel_name, n.topics, e.ents, p.people, n.message_count, n.participant_count FROM fx_nodes n
 LEFT JOIN fx_channels c ON c.id = n.channel_id LEFT JOIN fx_people p ON p.id = n.id
@@ -384,7 +391,7 @@ LEFT JOIN (SELECT discussion_id, list_sort(list(DISTINCT k.name)) AS ents FROM f
 CTES["fx_samples"] = f"""
 SELECT m.discussion_id, m.id, row_number() OVER (PARTITION BY m.discussion_id ORDER BY m.created_at, m.id) AS rn,
  '  [' || {iso('m.created_at')} || '] ' || coalesce(u.display_name, u.username, m.author_id) || ': ' ||
- CASE WHEN length(x.t) > 400 THEN substr(x.t, 1, 400) || '…' ELSE x.t END AS line
+ x.t AS line
 FROM fx_members m JOIN (SELECT id, {one_line('content')} AS t FROM fx_messages) x ON x.id = m.id LEFT JOIN fx_users u ON u.id = m.author_id
 WHERE m.discussion_id IN (SELECT id FROM fx_evid WHERE evidence_rank <= 4) QUALIFY rn <= 40"""
 CTES["fx_blocktext"] = f"""

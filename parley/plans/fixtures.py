@@ -15,10 +15,8 @@ from parley.functions.text import word_count
 from parley.session import cut
 
 NOW = "2024-02-01 00:00:00"
-GAP = 30
 WORD_LIMIT = 6
 TAU = 0.15
-IDLE = 15
 DIM = 64
 MIN_SCORE = 0.15
 
@@ -59,6 +57,15 @@ class Fx:
     def ne(self) -> int:
         return self.table("embeddings").count()
 
+    @cached_property
+    def gap(self) -> int:
+        """Silence that ends a block, in minutes: shorter where events are denser, so that most blocks close."""
+        return min(30, max(1, 300_000 // max(1, self.table("events").count())))
+
+    @property
+    def idle(self) -> float:
+        return self.gap / 2
+
     @cached_property
     def events(self) -> DataFrame:
         return self.table("events").withColumn("ts", F.date_trunc("millisecond", F.col("ts").cast("timestamp")))
@@ -94,11 +101,14 @@ class Fx:
                                               word_count(F.col("text")).alias("_dwords"))
         said = conv.select(F.col("conv_id").alias("_c2"), F.col("turn").alias("_turn"), F.col("text").alias("_ctext"),
                            word_count(F.col("text")).alias("_cwords"))
+        # running numbers of the events that take a document and of those that take a turn, so
+        # that every document and every turn is met
+        said_no = "(event_id div 4 * 2 + event_id % 4 - 2)"
         ev = self.events.withColumn(
-            "_doc", F.expr(f"case when event_id % 4 = 1 then event_id % {self.nd} end")).withColumn(
-            "_conv", F.expr(f"case when event_id % 4 > 1 then event_id % {nconv} end"))
+            "_doc", F.expr(f"case when event_id % 4 = 1 then (event_id div 4) % {self.nd} end")).withColumn(
+            "_conv", F.expr(f"case when event_id % 4 > 1 then {said_no} % {nconv} end"))
         ev = ev.join(docs, "_doc", "left").join(turns, "_conv", "left")
-        ev = ev.withColumn("_turn", F.expr(f"(event_id div {nconv}) % _turns"))
+        ev = ev.withColumn("_turn", F.expr(f"({said_no} div {nconv}) % _turns"))
         ev = ev.join(said, (F.col("_conv") == F.col("_c2")) & (ev["_turn"] == said["_turn"]), "left")
         # words are counted per text, before texts are spread over messages
         return self._message_columns(
@@ -163,9 +173,15 @@ class Fx:
 
     @cached_property
     def enrichment(self) -> DataFrame:
-        docs = self.table("documents").select("doc_id", "text", "lang", "source")
-        e = self.table("embeddings").filter("vec_id % 10 >= 3").withColumn("doc_id", F.expr(f"vec_id % {self.nd}"))
-        return e.join(docs, "doc_id").select(
+        # every document is part of a summary: those of one rest are joined, the first gives the labels
+        rank = "((vec_id div 10) * 7 + vec_id % 10 - 3)"
+        talks = min(self.nd, (self.ne // 10) * 7 + max(0, self.ne % 10 - 3))
+        docs = self.table("documents").groupBy(F.expr(f"doc_id % {talks}").alias("_talk")).agg(
+            F.min_by("lang", "doc_id").alias("lang"), F.min_by("source", "doc_id").alias("source"),
+            F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("_texts")).withColumn(
+            "text", F.array_join(F.col("_texts.text"), " "))
+        e = self.table("embeddings").filter("vec_id % 10 >= 3").withColumn("_talk", F.expr(f"{rank} % {talks}"))
+        return e.join(docs, "_talk").select(
             F.expr("concat('d', vec_id)").alias("discussion_id"),
             F.expr("concat('Talk ', vec_id, ' ', source)").alias("title"), F.col("text").alias("summary"),
             F.expr("array(concat('topic ', label), concat(' Topic  ', label, ' '), concat('lang ', lang), '')").alias("topics"),
@@ -371,14 +387,14 @@ class Fx:
         from parley.operators.segment import channel_max, closed_blocks, scan_unprocessed, split_threads, time_blocks
 
         main, _ = split_threads(scan_unprocessed(self.messages.drop("content")))
-        return closed_blocks(time_blocks(main, GAP), channel_max(self.slim_messages), GAP)
+        return closed_blocks(time_blocks(main, self.gap), channel_max(self.slim_messages), self.gap)
 
     @cached_property
     def slim_blocks(self) -> DataFrame:
         from parley.operators.segment import channel_max, closed_blocks, scan_unprocessed, split_threads, time_blocks
 
         main, _ = split_threads(scan_unprocessed(self.slim_messages))
-        return closed_blocks(time_blocks(main, GAP), channel_max(self.slim_messages), GAP)
+        return closed_blocks(time_blocks(main, self.gap), channel_max(self.slim_messages), self.gap)
 
     @cached_property
     def sub(self) -> DataFrame:

@@ -11,7 +11,7 @@ from parley.operators import segment as S
 from parley.operators.ingest import as_ts
 from parley.operators.listing import discussion_bundle, discussion_listing
 from parley.plans.fixture_sql import iso as sql_iso
-from parley.plans.fixtures import DIM, GAP, IDLE, NOW, TAU, WORD_LIMIT
+from parley.plans.fixtures import DIM, NOW, TAU, WORD_LIMIT
 from parley.plans.registry import query
 from parley.session import cut
 
@@ -78,7 +78,7 @@ def dots(fx):
 
 def _found(fx):
     longs = S.long_messages(fx.blocks.filter("closed"), WORD_LIMIT)
-    return C.subcluster(longs.join(fx.vectors, "id"), TAU, IDLE)
+    return C.subcluster(longs.join(fx.vectors, "id"), TAU, fx.idle)
 
 
 @query("subcluster")
@@ -249,7 +249,7 @@ def cluster_channels(fx):
         "messages": m.withColumn("batch_id", F.lit("b")), "discussions": fx.discussions,
         "channel_checkpoints": fx.channels.select(F.col("id").alias("channel_id"), F.col("created_at").alias(
             "last_closed_block_end_at"), "updated_at").limit(0)}
-    return C.cluster_channels(state, fx.vectors, NOW, GAP, WORD_LIMIT, TAU, IDLE, dim=DIM)[1]
+    return C.cluster_channels(state, fx.vectors, NOW, fx.gap, WORD_LIMIT, TAU, fx.idle, dim=DIM)[1]
 
 
 _LISTING = f"""

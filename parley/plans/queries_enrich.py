@@ -40,9 +40,10 @@ def render_line(fx):
 
 
 @query("render_prompts", """
-SELECT discussion_id, count(*) AS messages,
- CASE WHEN count(*) > 5 THEN 'Diskuze má ' || count(*) || ' zpráv, níže je prvních 5.' || chr(10) || chr(10) ELSE '' END ||
- string_agg(line, chr(10) || chr(10) ORDER BY rn) FILTER (WHERE rn <= 5) AS prompt FROM fx_lines GROUP BY 1""")
+SELECT discussion_id, part, messages,
+ CASE WHEN messages > 5 THEN 'Část ' || part || ' z ' || ceil(messages / 5)::BIGINT || ' jedné diskuze (' || messages || ' zpráv).' || chr(10) || chr(10) ELSE '' END || body AS prompt
+FROM (SELECT discussion_id, (rn - 1) // 5 + 1 AS part, any_value(n) AS messages, string_agg(line, chr(10) || chr(10) ORDER BY rn) AS body
+ FROM (SELECT *, count(*) OVER (PARTITION BY discussion_id) AS n FROM fx_lines) GROUP BY 1, 2)""")
 def render_prompts(fx):
     return E.render_prompts(fx.threads, 5)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import iso, normalize_ts
@@ -84,6 +85,30 @@ def clean_dump(fx):
     return S.clean_dump(_assigned(fx)).select("guild_id", "channel_id", "id", "pos", "content")
 
 
+@query("clean_dump_unmapped", """
+SELECT 'kept' AS part, 'g1' AS guild_id, channel_id, id, pos FROM fx_clean WHERE channel_id IN ('click', 'view')
+UNION ALL SELECT 'channel without a guild', NULL, channel_id, id, pos FROM fx_dump WHERE channel_id NOT IN ('click', 'view')""")
+def clean_dump_unmapped(fx):
+    """Without a fallback: cleaned rows of mapped channels, and every other row with its reason."""
+    mapped, rest = S.quarantine_unmapped(S.assign_guild(fx.dump, fx.guild_map))
+    cols = ["part", "guild_id", "channel_id", "id", "pos"]
+    return S.clean_dump(mapped).withColumn("part", F.lit("kept")).select(*cols).unionByName(
+        rest.withColumnRenamed("reason", "part").select(*cols))
+
+
+@query("unmapped_fails", """
+SELECT 'channels without a guild: ' || string_agg(channel_id, ', ' ORDER BY channel_id) AS error
+FROM (SELECT DISTINCT channel_id FROM fx_dump WHERE channel_id NOT IN ('click', 'view'))""")
+def unmapped_fails(fx):
+    """What a conversion without a fallback stops with."""
+    try:
+        S.clean_dump(S.assign_guild(fx.dump, fx.guild_map))
+        message = None
+    except ValueError as e:
+        message = str(e)
+    return fx.spark.createDataFrame([(message,)], "error string")
+
+
 @query("normalize_ts", f"SELECT id, pos, {sql_iso('at_ts')} AS created_at FROM fx_dump")
 def normalize_timestamps(fx):
     return fx.dump.select("id", "pos", iso(normalize_ts(F.col("created_at"))).alias("created_at"))
@@ -267,6 +292,54 @@ def sync_counts(fx):
     return D.sync_counts(fx.users, _payload(fx), NAMES)
 
 
+def _channel_entries(fx):
+    """Channel entries with repeated ids, and some that break the rules."""
+    e = fx.table("events").select(F.col("event_type").alias("ch")).distinct()
+    forms = ('{"id":"%s","name":"first"}', '{"id":"%s","name":"n-%s"}', '{"id":"%s","type":"voice"}', '{"id":null,"name":"x"}',
+             '{"name":"y"}', '{"id":"%s","topic":"z"}', "{", '{"id":"%s","name":5}')
+    texts = F.array(*[F.replace(F.lit(form), F.lit("%s"), F.col("ch")) for form in forms])
+    rows = e.select("ch", F.posexplode(texts).alias("pos", "json"))
+    last = e.filter("ch = 'click'").select("ch", F.lit(9).alias("pos"), F.lit('{"id":"click","name":null}').alias("json"))
+    return rows.unionByName(last).select("json", "pos")
+
+
+def _guild_entries(fx):
+    """One entry per channel for the same guild, and a new guild per channel."""
+    c = fx.channels.select("id", F.row_number().over(Window.orderBy("id")).alias("pos"))
+    return c.select(F.concat(F.lit('{"id":"g0","name":"Guild '), "id", F.lit('"}')).alias("json"), "pos").unionByName(
+        c.select(F.concat(F.lit('{"id":"g-'), "id", F.lit('","name":null}')).alias("json"), "pos"))
+
+
+@query("sync_channels", """
+SELECT id, CASE WHEN id <> 'click' THEN 'n-' || id END AS name, 'voice' AS type FROM fx_channels""")
+def sync_channels(fx):
+    return D.sync_dictionary(fx.channels, D.payload_rows(_channel_entries(fx), D.SECTIONS["channels"]), D.SECTIONS["channels"], NOW).select(
+        "id", "name", "type")
+
+
+@query("quarantine_payload", """
+SELECT reason, count(*) * n AS entries FROM fx_channels, (VALUES ('entry without an id', 2), ('unknown key', 1), ('not a JSON object', 1), ('value is not a string', 1)) v(reason, n)
+GROUP BY reason, n""")
+def quarantine_payload(fx):
+    _, bad = D.validate_payload(_channel_entries(fx), D.SECTIONS["channels"])
+    return bad.groupBy("reason").agg(F.count("*").alias("entries"))
+
+
+@query("changed_channels", "SELECT id FROM fx_channels")
+def changed_channels(fx):
+    return D.dictionary_changed_ids(fx.channels, D.payload_rows(_channel_entries(fx), D.SECTIONS["channels"]), D.SECTIONS["channels"], "channels")
+
+
+@query("sync_guilds", """
+SELECT 'g0' AS id, 'Guild ' || max(id) AS name, 'updated' AS outcome FROM fx_channels UNION ALL SELECT 'g-' || id, NULL, 'created' FROM fx_channels""")
+def sync_guilds(fx):
+    rows = D.payload_rows(_guild_entries(fx), D.SECTIONS["guilds"])
+    after = D.sync_dictionary(fx.guilds, rows, D.SECTIONS["guilds"], NOW)
+    changed = D.dictionary_changed_ids(fx.guilds, rows, D.SECTIONS["guilds"], "guilds")
+    known = fx.guilds.select("id", F.lit("updated").alias("outcome"))
+    return after.join(changed, "id", "left_semi").join(known, "id", "left").select("id", "name", F.coalesce("outcome", F.lit("created")).alias("outcome"))
+
+
 @query("dictionary_changed_ids", "SELECT id FROM fx_sync WHERE updated OR (created AND (has_username OR has_display_name))")
 def dictionary_changed_ids(fx):
     return D.dictionary_changed_ids(fx.users, _payload(fx), NAMES, "users")

@@ -8,7 +8,7 @@ from parley.functions.models import rule_based
 from parley.functions.text import iso
 from parley.functions.vectors import hashing_embedder
 from parley.plans.fixture_sql import iso as sql_iso
-from parley.plans.fixtures import DIM, GAP, IDLE, NOW, TAU, WORD_LIMIT
+from parley.plans.fixtures import DIM, NOW, TAU, WORD_LIMIT
 from parley.plans.queries_ingest import work_dir
 from parley.plans.registry import query
 from parley.plans.run import default_stages, load_graph, staged_run
@@ -95,7 +95,7 @@ def stream_subclusters(fx):
     """Online clustering of the message stream, state kept between micro-batches."""
     rows = fx.messages.filter(f"word_count >= {WORD_LIMIT}").select(
         "id", "channel_id", "author_id", "mentions", "created_at").join(fx.vectors, "id")
-    return _drain(fx, K.stream_subclusters(_stream(fx, rows, "sub"), TAU, IDLE), "sub")
+    return _drain(fx, K.stream_subclusters(_stream(fx, rows, "sub"), TAU, fx.idle), "sub")
 
 
 @query("extend_threads", "SELECT channel_id, thread_id, count(*) AS message_count FROM fx_slim WHERE thread_id IS NOT NULL GROUP BY 1, 2")
@@ -127,7 +127,7 @@ def staged_run_all(fx):
                        "mentions", "attachments_count", "word_count", "batch_id", "ingested_at", "processed", "discussion_id")
     save_state({"messages": msgs, "users": fx.users, "channels": fx.channels, "guilds": fx.guilds}, folder, "ingest")
     stages = default_stages(lambda m: fx.vectors, rule_based, hashing_embedder(DIM), NOW, DIM,
-                            gap_minutes=GAP, word_limit=WORD_LIMIT, tau=TAU, idle_minutes=IDLE)
+                            gap_minutes=fx.gap, word_limit=WORD_LIMIT, tau=TAU, idle_minutes=fx.idle)
     staged_run(spark, folder, stages)
     state = load_state(spark, folder)
     one = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "n")

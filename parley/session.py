@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,11 +53,3 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
-
-
-def cut_by(df: DataFrame, column: str) -> DataFrame:
-    """Like ``cut``, as a table partitioned by ``column``: a filter on it reads only its rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/parley-{uuid.uuid4().hex}"
-    df.write.partitionBy(column).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -32,6 +32,21 @@ def unmapped_channels(assigned: DataFrame) -> DataFrame:
     return assigned.filter("guild_id is null").select("channel_id").distinct()
 
 
+def require_guilds(assigned: DataFrame, named: int = 20) -> DataFrame:
+    """``assigned`` as it is; an error that names channels where any has no guild."""
+    missing = [r[0] for r in unmapped_channels(assigned).orderBy("channel_id").limit(named + 1).collect()]
+    if missing:
+        more = " and more" if len(missing) > named else ""
+        raise ValueError("channels without a guild: " + ", ".join(str(c) for c in missing[:named]) + more)
+    return assigned
+
+
+def quarantine_unmapped(assigned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a guild, and the others with a reason; together all rows."""
+    return assigned.filter("guild_id is not null"), assigned.filter("guild_id is null").withColumn(
+        "reason", F.lit("channel without a guild"))
+
+
 def _flags(assigned: DataFrame, include_deleted: bool, include_empty: bool) -> DataFrame:
     deleted = F.col("deleted_at").isNotNull() & F.lit(not include_deleted)
     empty = (trim_ws(F.coalesce("content", F.lit(""))) == "") & F.lit(not include_empty)
@@ -43,7 +58,11 @@ def _flags(assigned: DataFrame, include_deleted: bool, include_empty: bool) -> D
 def clean_dump(
     assigned: DataFrame, include_deleted: bool = False, include_empty: bool = False
 ) -> DataFrame:
-    """Drop deleted and empty rows, then keep the first of equal (guild, channel, id)."""
+    """Drop deleted and empty rows, then keep the first of equal (guild, channel, id).
+
+    A channel without a guild is an error; ``quarantine_unmapped`` takes its rows out before.
+    """
+    assigned = require_guilds(assigned)
     kept = _flags(assigned, include_deleted, include_empty).filter("_skip is null").drop("_skip")
     return keep_first(kept, ["guild_id", "channel_id", "id"], "pos")
 
