@@ -527,9 +527,9 @@ def enrich_channels(
     state: dict[str, DataFrame], infer_fn, embed_fn, now, max_discussions: int | None = None,
     target_tokens: int = DEFAULTS["batch_target_tokens"],
     max_per_batch: int = DEFAULTS["batch_max_discussions"],
-    max_messages: int = DEFAULTS["max_messages_per_call"],
+    max_messages: int = DEFAULTS["max_messages_per_call"], provider: str = "local", model: str = "default",
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Run enrichment over all channels: queue, pack, call, map, split, store."""
+    """Run enrichment over all channels: queue, pack, call, map, split, store, and log every call."""
     from parley.functions.vectors import embed
     from parley.session import cut
 
@@ -596,4 +596,10 @@ def enrich_channels(
     moved = placed.join(splits.select(F.col("parent_id").alias("discussion_id")).distinct(),
                         "discussion_id", "left_semi")
     state = apply_split(state, splits, moved)
+    channel = F.substring_index(F.col("call_id"), "#", 1)
+    log = inference_log(all_calls.select(
+        "call_id", F.concat(F.lit("enrich "), "call_id").alias("context"), channel.alias("channel_id"), F.lit("enrich").alias("job_id"),
+        "duration_ms", "status", "prompt_tokens", "completion_tokens", "error", F.lit(SYSTEM_PROMPT).alias("system_prompt"),
+        "prompt", "raw"), provider, model, now)
+    state["inference_log"] = state["inference_log"].unionByName(log) if "inference_log" in state else log
     return state, enrich_summary(queue, all_calls, outcomes)

@@ -60,104 +60,98 @@ def hard_filter(pairs: DataFrame) -> DataFrame:
     return pairs.filter(passes(F.col("channel_id"), F.col("discussion_type"), F.col("started_at")))
 
 
-def _slice_topk(block: pd.DataFrame, k: int):
-    """Per-task search of one slice of variants over a stream of discussions."""
-    q = np.asarray(block["vec"].tolist(), dtype=np.float64)
-    norm = np.linalg.norm(q, axis=1, keepdims=True)
-    q = np.divide(q, norm, out=np.zeros_like(q), where=norm > 0)
-    qid, vno = block["question_id"].to_numpy(), block["variant_no"].to_numpy()
+def _unit_rows(vectors: pd.Series) -> np.ndarray:
+    x = np.asarray(vectors.tolist(), dtype=np.float64)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _part_topk(k: int):
+    """Task kernel: each part's discussions first, then a stream of variants that search them."""
 
     def key(v):
         return None if v is None else tuple(v)
 
-    groups: dict = {}
-    for i, (c, t, s) in enumerate(zip(block["channel_ids"], block["discussion_types"], block["since"], strict=True)):
-        groups.setdefault((key(c), key(t), None if pd.isna(s) else int(s)), []).append(i)
+    def best(found: pd.DataFrame, asked: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """The k best of one part, ties in the order of ids, for variants of one dimension."""
+        sim = np.round(_unit_rows(asked["vec"]) @ _unit_rows(found["vec"]).T, DIGITS)
+        groups: dict = {}
+        for i, (c, t, s) in enumerate(zip(asked["channel_ids"], asked["discussion_types"], asked["since"], strict=True)):
+            groups.setdefault((key(c), key(t), None if pd.isna(s) else int(s)), []).append(i)
+        for (channels, kinds, since), members in groups.items():
+            ok = np.ones(len(found), dtype=bool)
+            if channels is not None:
+                ok &= found["channel_id"].isin(channels).to_numpy()
+            if kinds is not None:
+                ok &= found["discussion_type"].isin(kinds).to_numpy()
+            if since is not None:
+                ok &= (found["started_ms"] >= since).to_numpy()
+            cols, m = np.flatnonzero(ok), np.asarray(members)
+            if not len(cols):
+                continue
+            part = sim[np.ix_(m, cols)]
+            floor = -np.partition(-part, k - 1, axis=1)[:, k - 1] if len(cols) > k else np.full(len(m), -np.inf)
+            a, b = np.nonzero(part >= floor[:, None])
+            order = np.lexsort((b, -part[a, b], a))
+            a, b = a[order], b[order]
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            a, b = a[rank < k], b[rank < k]
+            yield pd.DataFrame({"variant": asked["variant"].to_numpy()[m[a]], "id": found["id"].to_numpy()[cols[b]],
+                                "similarity": part[a, b]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor = np.full(len(q), -np.inf)
-        rows, ids, sims = [], [], []
-
-        def prune():
-            r, d, s = np.concatenate(rows), np.concatenate(ids), np.concatenate(sims)
-            order = np.lexsort((d, -s, r))
-            r, d, s = r[order], d[order], s[order]
-            first = np.r_[True, r[1:] != r[:-1]]
-            rank = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-            floor[r[rank == k - 1]] = s[rank == k - 1]
-            keep = rank < k
-            rows[:], ids[:], sims[:] = [r[keep]], [d[keep]], [s[keep]]
-
-        held = 0
+        at, held, by_dim = None, [], None
         for pdf in frames:
-            if not len(pdf):
-                continue
-            x = np.asarray(pdf["embedding"].tolist(), dtype=np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-            sim = np.round(q @ x.T, DIGITS)
-            did = pdf["id"].to_numpy().astype(str)
-            for (chans, kinds, since), members in groups.items():
-                ok = np.ones(len(pdf), dtype=bool)
-                if chans is not None:
-                    ok &= pdf["channel_id"].isin(chans).to_numpy()
-                if kinds is not None:
-                    ok &= pdf["discussion_type"].isin(kinds).to_numpy()
-                if since is not None:
-                    ok &= (pdf["started_ms"] >= since).to_numpy()
-                cols = np.flatnonzero(ok)
-                if not len(cols):
+            for part, rows in pdf.groupby("part", sort=False):
+                if part != at:
+                    at, held, by_dim = part, [], None
+                if (rows["kind"] == 0).any():
+                    held.append(rows[rows["kind"] == 0])
+                asked = rows[rows["kind"] == 1]
+                if not len(asked) or not held:
                     continue
-                m = np.asarray(members)
-                sub = sim[np.ix_(m, cols)]
-                a, b = np.nonzero(sub >= floor[m][:, None])
-                if len(a):
-                    rows.append(m[a])
-                    ids.append(did[cols[b]])
-                    sims.append(sub[a, b])
-                    held += len(a)
-            if held > max(1_000_000, 4 * k * len(q)):
-                prune()
-                held = len(rows[0])
-        if rows:
-            prune()
-            yield pd.DataFrame({"question_id": qid[rows[0]], "variant_no": vno[rows[0]],
-                                "id": ids[0], "similarity": sims[0]})
+                if by_dim is None:
+                    known = pd.concat(held).sort_values("id", ignore_index=True)
+                    by_dim = {n: g.reset_index(drop=True) for n, g in known.groupby(known["vec"].str.len())}
+                for n, some in asked.groupby(asked["vec"].str.len()):
+                    if n in by_dim:
+                        yield from best(by_dim[n], some.reset_index(drop=True))
 
     return run
 
 
 def vector_topk(
-    variants: DataFrame, discussions: DataFrame, k: int = DEFAULTS["vector_top_k"], slice_rows: int = 2048
+    variants: DataFrame, discussions: DataFrame, k: int = DEFAULTS["vector_top_k"], part_rows: int = 8192
 ) -> DataFrame:
     """Exact k best discussions by cosine per variant, after the hard filters.
 
-    Variants are taken in slices of about ``slice_rows``: one slice, whose size is
-    therefore known, is sent to all tasks; each task multiplies it with its own
-    discussions and keeps k rows per variant; the winners meet in a second cut.
-    More variants mean more passes, never a larger broadcast.
+    Discussions are dealt to parts of about ``part_rows`` by a hash of the id. Variants are sent
+    to every part and stream past its discussions, the only rows a task holds; each part gives
+    k rows per variant, and the winners meet in a second cut. One job, whatever the number of
+    variants, and nothing through the driver but a count.
     Returns question_id, variant_no, id, similarity, rank.
     """
-    v = cut(variants.select("question_id", "variant_no", "vec", "channel_ids", "discussion_types",
-                            F.unix_millis("since").alias("since")))
-    qtype = v.schema["question_id"].dataType.simpleString()
-    schema = f"question_id {qtype}, variant_no int, id string, similarity double"
-    d = discussions.filter("embedding is not null").select(
-        "id", "channel_id", "discussion_type", F.unix_millis("started_at").alias("started_ms"), "embedding")
-    slices = max(1, -(-v.count() // slice_rows))
-    bucket = F.pmod(F.xxhash64("question_id", "variant_no"), F.lit(slices))
-    found = None
-    for i in range(slices):
-        block = v.filter(bucket == i).toPandas()
-        if not len(block):
-            continue
-        part = d.filter(F.size("embedding") == len(block["vec"].iloc[0])).mapInPandas(
-            _slice_topk(block, max(1, k)), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = v.sparkSession.createDataFrame([], schema)
-    best = Window.partitionBy("question_id", "variant_no").orderBy(F.col("similarity").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(1, k))
+    k = max(1, k)
+    named = variants.filter("vec is not null").withColumn("variant", F.xxhash64("question_id", "variant_no"))
+    d = discussions.filter("embedding is not null")
+    parts = max(1, -(-d.count() // part_rows))
+    nul = F.lit(None)
+    held = d.select(
+        F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "channel_id", "discussion_type",
+        F.unix_millis("started_at").alias("started_ms"), F.col("embedding").cast("array<double>").alias("vec"),
+        F.lit(0).cast("bigint").alias("variant"), nul.cast("array<string>").alias("channel_ids"),
+        nul.cast("array<string>").alias("discussion_types"), nul.cast("bigint").alias("since"))
+    asked = named.select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), nul.cast("string").alias("id"),
+        nul.cast("string").alias("channel_id"), nul.cast("string").alias("discussion_type"), nul.cast("bigint").alias("started_ms"),
+        F.col("vec").cast("array<double>").alias("vec"), "variant", "channel_ids", "discussion_types",
+        F.unix_millis("since").alias("since"))
+    rows = held.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    found = rows.mapInPandas(_part_topk(k), "variant bigint, id string, similarity double")
+    first = Window.partitionBy("variant").orderBy(F.col("similarity").desc(), "id")
+    top = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+    return top.join(named.select("variant", "question_id", "variant_no"), "variant").select(
+        "question_id", "variant_no", "id", "similarity", "rank")
 
 
 # --- labels ------------------------------------------------------------------------

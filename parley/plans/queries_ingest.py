@@ -59,11 +59,18 @@ def read_batches(fx):
 
 
 @query("quarantine_batches", """
-SELECT 'unknown guild key' AS reason, count(DISTINCT (channel_id, author_id, at_ts::DATE)) AS documents
-FROM fx_dump WHERE author_id::BIGINT % 7 = 0""")
+SELECT 'unknown guild key' AS reason, count(DISTINCT (channel_id, author_id, at_ts::DATE)) AS documents FROM fx_dump WHERE author_id::BIGINT % 7 = 0
+UNION ALL SELECT 'unreadable time', count(DISTINCT channel_id) FROM fx_dump UNION ALL SELECT 'value of a wrong type', 2 * count(DISTINCT channel_id) FROM fx_dump""")
 def quarantine_batches(fx):
-    _, bad = B.validate_batches(_documents_json(fx))
-    return bad.groupBy("reason").agg(F.count("*").alias("documents"))
+    """Also one document per channel with a time that is none, with a number for a text, and with a text for a count."""
+    form = ('{"guild":{"id":"g0"},"channel":{"id":"%c"},"messages":[{"id":"x","author":{"id":"1"},"content":%t,'
+            '"created_at":"%w","attachments_count":%n}]}')
+    bad = F.array(*[F.replace(F.lit(form.replace("%t", t).replace("%w", w).replace("%n", n)), F.lit("%c"), F.col("channel_id")) for t, w, n in (
+        ('"a"', "yesterday", "0"), ("5", "2024-01-01T00:00:00Z", "0"), ('"a"', "2024-01-01T00:00:00Z", '"two"'))])
+    more = fx.dump.select("channel_id").distinct().select("channel_id", F.posexplode(bad).alias("k", "value"))
+    _, out = B.validate_batches(_documents_json(fx).unionByName(
+        more.select(F.concat_ws("/", F.lit("bad"), "channel_id", "k").alias("doc"), "value")))
+    return out.groupBy("reason").agg(F.count("*").alias("documents"))
 
 
 def _assigned(fx):

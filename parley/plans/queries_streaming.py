@@ -25,9 +25,14 @@ def _stream(fx, df, name: str, parts: int = 3):
     path = work_dir(fx.spark, name)
     lo, hi = df.agg(F.min(F.unix_millis("created_at")), F.max(F.unix_millis("created_at"))).first()
     span = F.floor((F.unix_millis("created_at") - lo) * parts / F.lit(hi - lo + 1))
+    return _spans(fx, df, span, path, parts)
+
+
+def _spans(fx, df, span, path: str, parts: int, files: int = 4):
+    """A stream whose micro-batches are the rows of span 0, 1, ...: as many files each as written."""
     for i in range(parts):
-        df.filter(span == i).coalesce(1).write.mode("append").parquet(path)
-    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter(span == i).repartition(files).write.mode("append").parquet(path)
+    return fx.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _drain(fx, df, name: str, mode: str = "append"):
@@ -74,6 +79,52 @@ def closed_sessions(fx):
     return out.select("channel_id", iso(F.col("start_at")).alias("start_at"), iso(F.col("end_at")).alias("end_at"), "messages")
 
 
+@query("closed_sessions_late", f"""
+WITH g AS (SELECT *, CASE WHEN epoch_ms(created_at) - epoch_ms(lag(created_at) OVER (PARTITION BY channel_id ORDER BY created_at, id)) > 1800000 THEN 1 ELSE 0 END AS nb FROM fx_slim),
+b AS (SELECT *, sum(nb) OVER (PARTITION BY channel_id ORDER BY created_at, id) AS b FROM g)
+SELECT channel_id, {sql_iso('min(created_at)')} AS start_at, {sql_iso('max(created_at)')} AS end_at, count(*) AS messages FROM b GROUP BY channel_id, b
+HAVING epoch_ms(max(created_at)) + 1800000 < (SELECT epoch_ms(max(created_at)) FROM fx_slim s WHERE s.channel_id = b.channel_id)""")
+def closed_sessions_late(fx):
+    """Messages arriving in any order, most of them later than any watermark: every one counts."""
+    rows = fx.slim_messages.select("id", "channel_id", "created_at")
+    folder = work_dir(fx.spark, "late")
+    stream = _spans(fx, rows, F.pmod(F.xxhash64("id"), F.lit(3)), f"{folder}/in", 3)
+    K.stream_sessions(stream, folder, f"{folder}-cp").trigger(availableNow=True).start().awaitTermination()
+    out = K.read_sessions(fx.spark, folder).filter("closed")
+    return out.select("channel_id", iso(F.col("start_at")).alias("start_at"), iso(F.col("end_at")).alias("end_at"), "messages")
+
+
+@query("stream_ledger", """
+SELECT 'messages' AS what, count(DISTINCT id) AS n FROM fx_dump WHERE author_id::BIGINT % 7 <> 0
+UNION ALL SELECT 'ledger', count(DISTINCT id) FROM fx_dump WHERE author_id::BIGINT % 7 <> 0
+UNION ALL SELECT 'user counts', count(DISTINCT id) FROM fx_dump WHERE author_id::BIGINT % 7 <> 0
+UNION ALL SELECT 'users', count(DISTINCT author_id) FROM fx_dump WHERE author_id::BIGINT % 7 <> 0
+UNION ALL SELECT 'channels', count(DISTINCT channel_id) FROM fx_dump WHERE author_id::BIGINT % 7 <> 0
+UNION ALL SELECT 'guilds', 1""")
+def stream_ledger(fx):
+    """All tables of a streamed ingest, half of it under one checkpoint and half under another."""
+    from parley.plans.queries_ingest import _documents_json
+
+    folder = work_dir(fx.spark, "tables")
+    docs = _documents_json(fx).select("value").withColumn("_p", F.pmod(F.xxhash64("value"), F.lit(2)))
+    for p in range(2):
+        docs.filter(F.col("_p") == p).select("value").write.text(f"{folder}/docs-{p}")
+        stream = fx.spark.readStream.format("text").load(f"{folder}/docs-{p}").select(
+            F.concat(F.input_file_name(), F.md5("value")).alias("doc"), "value")
+        K.stream_ingest(stream, folder, f"{folder}-cp{p}", lambda: NOW).trigger(availableNow=True).start().awaitTermination()
+
+    def one(what, table, value):
+        return K.table_of(fx.spark, folder, table).agg(value.cast("bigint").alias("n")).select(F.lit(what).alias("what"), "n")
+
+    parts = [one("messages", "messages", F.count("*")), one("ledger", "ingestion_batches", F.sum("inserted_count")),
+             one("user counts", "users", F.sum("message_count")), one("users", "users", F.count("*")),
+             one("channels", "channels", F.count("*")), one("guilds", "guilds", F.count("*"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("funnel_stream", "SELECT channel_id, processed, count(*) AS messages FROM fx_slim GROUP BY 1, 2")
 def funnel_stream(fx):
     rows = fx.slim_messages.select("id", "channel_id", "created_at", "processed")
@@ -113,7 +164,8 @@ def extend_threads(fx):
 
 
 @query("staged_run", """
-SELECT 'messages' AS what, count(*) AS n FROM fx_slim UNION ALL SELECT 'raw', count(*) FROM fx_blocks WHERE NOT closed""")
+SELECT 'messages' AS what, count(*) AS n FROM fx_slim UNION ALL SELECT 'raw', count(*) FROM fx_blocks WHERE NOT closed
+UNION ALL SELECT 'written but not in the graph', 0 UNION ALL SELECT 'failed calls', 0""")
 def staged_run_all(fx):
     """Cluster, enrich and write the graph over the whole message table, one snapshot each.
 
@@ -131,5 +183,10 @@ def staged_run_all(fx):
     staged_run(spark, folder, stages)
     state = load_state(spark, folder)
     one = lambda df, n: df.agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "n")
-    load_graph(state)
-    return one(state["messages"], "messages").unionByName(one(state["messages"].filter("processed = 0"), "raw"))
+    graph = load_graph(state)
+    enriched = state["discussion_enrichment"].select(F.col("discussion_id").alias("id")).distinct()
+    nodes = graph["nodes_discussion"].select("id")
+    lost = enriched.join(state["discussions"].filter("status = 'written'").select("id"), "id", "left_semi").join(nodes, "id", "left_anti")
+    return (one(state["messages"], "messages").unionByName(one(state["messages"].filter("processed = 0"), "raw"))
+            .unionByName(one(lost, "written but not in the graph"))
+            .unionByName(one(state["inference_log"].filter("status <> 'ok'"), "failed calls")))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from parley.functions.vectors import embed
 from parley.operators import answers as A
 from parley.operators import graph as G
 from parley.operators import retrieve as R
 from parley.operators.cluster import cluster_channels
-from parley.operators.enrich import discussion_messages, enrich_channels
+from parley.operators.enrich import discussion_messages, enrich_channels, inference_log
+from parley.operators.ingest import as_ts
 from parley.schemas import DEFAULTS
 from parley.session import cut
 from parley.sources.state import load_state, save_state
@@ -56,7 +59,7 @@ def default_stages(vectors: Callable[[DataFrame], DataFrame], infer_fn, embed_fn
 
 CHANGED = {
     "cluster": ["messages", "discussions", "channel_checkpoints"],
-    "enrich": ["messages", "discussions", "discussion_enrichment"],
+    "enrich": ["messages", "discussions", "discussion_enrichment", "inference_log"],
     "graph_write": ["messages", "discussions", *[f"fact_{n}" for n in FACTS]],
 }
 
@@ -112,3 +115,35 @@ def answer_questions(
     final = A.finalize_answers(questions, drafts, cited, ranked.filter("relaxed").select("question_id").distinct())
     return {"ranked": ranked, "evidence": evid, "packed": packed, "drafts": drafts, "citations": cited,
             "answers": final}
+
+
+def ask(
+    questions: DataFrame, graph: Tables, vocab: DataFrame, enrichment: DataFrame, messages: DataFrame, users: DataFrame,
+    infer_fn, embed_fn, now, params: dict | None = None, provider: str = "local", model: str = "default",
+) -> dict[str, DataFrame]:
+    """Answers of questions given as text, with rows for the history and the log.
+
+    ``questions``: question_id, question, and the filters channel_ids, discussion_types, since
+    (each may be null). Plans, variants, vectors, retrieval, context and answers follow one
+    from the other. Returns what ``answer_questions`` does, and plans, history, log.
+    """
+    called = cut(A.plan_calls(questions, vocab, infer_fn))
+    filters = questions.select("question_id", *R.FILTERS)
+    plans = cut(A.plans_of(called).withColumnRenamed("preferred_discussion_types", "preferred_types").join(filters, "question_id"))
+    cap = {**DEFAULTS, **(params or {})}["search_query_variants"]
+    variants = cut(embed(R.query_variants(plans, cap), "variant", embed_fn, "vec").drop("variant").filter("vec is not null"))
+    own = variants.filter("variant_no = 1").select("question_id", "vec")
+    out = answer_questions(plans.join(own, "question_id"), variants, graph, enrichment, messages, users, infer_fn, now, params)
+    answers = out["answers"].join(filters, "question_id")
+    history = answers.select(
+        F.col("question_id").cast("string").alias("id"), "question", F.struct(*R.FILTERS).alias("filters"), "answer", "confidence",
+        F.col("used_discussion_count").cast("bigint").alias("used_discussion_count"), as_ts(now).alias("created_at"))
+
+    def logged(calls: DataFrame, context: str, system: str) -> DataFrame:
+        return inference_log(calls.select(
+            F.col("question_id").cast("string").alias("call_id"), F.concat(F.lit(f"{context} "), "question_id").alias("context"),
+            F.lit(None).cast("string").alias("channel_id"), F.lit("ask").alias("job_id"), "duration_ms", "status", "prompt_tokens",
+            "completion_tokens", "error", F.lit(system).alias("system_prompt"), "prompt", "raw"), provider, model, now)
+
+    log = logged(called, "plan", A.PLANNER_PROMPT).unionByName(logged(out["drafts"], "answer", A.ANSWER_PROMPT))
+    return {**out, "plans": plans, "history": history, "log": log}

@@ -31,7 +31,8 @@ def validate_batches(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     messages by document, then by place inside it.
 
     A document is rejected whole: for broken JSON, an unknown key at any level, a
-    missing id or text, or an empty message list.
+    missing id or text, a value of the wrong type, an unreadable time, or an empty
+    message list. So one bad document stops neither a read nor a stream.
     """
     docs = raw.select("doc", "value", F.from_json("value", BATCH).alias("b"))
     # each message again as its own text, so its keys can be checked
@@ -49,6 +50,16 @@ def validate_batches(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         | (F.coalesce(m["created_at"], F.lit("")) == "")
         | F.coalesce(m["attachments_count"] < 0, F.lit(False)),
     )
+
+    def kind(m: Column, path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(m), path, "variant")), F.lit("VOID"))
+
+    texts = ["$.id", "$.author.id", "$.content", "$.created_at"]
+    optional = ["$.reply_to_message_id", "$.thread_id"]
+    mistyped = F.exists(msgs_json, lambda m: F.array_contains(F.array(
+        *[kind(m, p) != "STRING" for p in texts], *[~kind(m, p).isin("STRING", "VOID") for p in optional],
+        ~kind(m, "$.attachments_count").isin("BIGINT", "VOID"), ~kind(m, "$.mentions").isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID")), F.lit(True)))
+    bad_time = F.exists("b.messages", lambda m: normalize_ts(m["created_at"], strict=False).isNull())
     reason = (
         F.when(F.json_object_keys("value").isNull(), F.lit("not a JSON object"))
         .when(_unknown(F.json_object_keys("value"), ALLOWED["$"]), F.lit("unknown key"))
@@ -61,6 +72,8 @@ def validate_batches(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.coalesce(F.size("b.messages"), F.lit(0)) <= 0, F.lit("no messages"))
         .when(F.coalesce(bad_message, F.lit(True)), F.lit("unknown message key"))
         .when(missing, F.lit("incomplete message"))
+        .when(mistyped, F.lit("value of a wrong type"))
+        .when(bad_time, F.lit("unreadable time"))
     )
     judged = docs.withColumn("reason", reason)
     quarantine = judged.filter("reason is not null").select("doc", "value", "reason")

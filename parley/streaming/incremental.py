@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators.cluster import ActiveClusters, thread_discussions
-from parley.operators.ingest import bump_user_counts, ingest_messages, upsert_users
+from parley.operators.ingest import bump_user_counts, ingest_messages, ledger, upsert_channels, upsert_guilds, upsert_users
+from parley.operators.segment import channel_max, closed_blocks, time_blocks
 from parley.schemas import DEFAULTS, STATE
 from parley.sources.batches import validate_batches
 
@@ -29,43 +31,68 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
-def _read(spark: SparkSession, folder: str, table: str, epoch: int) -> DataFrame:
-    """Rows of an append-only table written by epochs before this one."""
+def _read(spark: SparkSession, folder: str, table: str, but: str) -> DataFrame:
+    """Rows of an append-only table, without those that micro-batch ``but`` has written."""
     path = f"{folder}/{table}"
     if not _exists(spark, path):
         return spark.createDataFrame([], STATE[table])
-    return spark.read.schema(f"{STATE[table]}, epoch BIGINT").parquet(path).filter(
-        F.col("epoch") < epoch).drop("epoch")
+    return spark.read.schema(f"{STATE[table]}, batch STRING").parquet(path).filter(F.col("batch") != but).drop("batch")
 
 
-def ingest_epoch(spark: SparkSession, folder: str, batch: DataFrame, epoch: int, now) -> None:
+def _latest(spark: SparkSession, folder: str, table: str, but: str) -> tuple[int, DataFrame]:
+    """The newest state of a table that another micro-batch has left, and its number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    states = sorted(n for n in names if n.startswith("state=") and not n.endswith(f"-{but}"))
+    if not states:
+        return 0, spark.createDataFrame([], STATE[table])
+    return int(states[-1][6:18]), spark.read.schema(STATE[table]).parquet(f"{folder}/{table}/{states[-1]}")
+
+
+def ingest_epoch(spark: SparkSession, folder: str, batch: DataFrame, name: str, now) -> None:
     """Ingest one micro-batch into the folder's tables, exactly once per message id.
 
-    Each epoch owns one partition and overwrites it, so a repeated epoch changes
-    nothing. Known ids are checked over all earlier epochs, however old; the check
-    reads the id column only.
+    ``name`` tells micro-batches apart, also those of different checkpoints over one folder.
+    Each owns one partition of the append-only tables (messages, ledger) and one numbered state
+    of the dimensions (users, channels, guilds), and overwrites them, so a repeated one changes
+    nothing and a new checkpoint goes on from what there is. Known ids are checked over all
+    earlier micro-batches, however old; the check reads the id column only.
     """
-    old = _read(spark, folder, "messages", epoch)
-    rows, _ = ingest_messages(old, batch, f"epoch-{epoch}", now)
-    target = f"{folder}/messages/epoch={epoch}"
+    old = _read(spark, folder, "messages", name)
+    rows, _ = ingest_messages(old, batch, name, now)
+    target = f"{folder}/messages/batch={name}"
     rows.write.mode("overwrite").parquet(target)
     written = spark.read.schema(STATE["messages"]).parquet(target)
-    last = f"{folder}/users/epoch={epoch - 1}"
-    users = spark.read.schema(STATE["users"]).parquet(last) if _exists(spark, last) else (
-        spark.createDataFrame([], STATE["users"]))
-    bump_user_counts(upsert_users(users, batch, now), written).write.mode("overwrite").parquet(
-        f"{folder}/users/epoch={epoch}")
+    ledger(old, batch.withColumn("batch_id", F.lit(name)), now).write.mode("overwrite").parquet(f"{folder}/ingestion_batches/batch={name}")
+
+    def state(table: str, step: Callable[[DataFrame], DataFrame]) -> None:
+        number, before = _latest(spark, folder, table, name)
+        step(before).write.mode("overwrite").parquet(f"{folder}/{table}/state={number + 1:012d}-{name}")
+
+    state("users", lambda t: bump_user_counts(upsert_users(t, batch, now), written))
+    state("channels", lambda t: upsert_channels(t, batch, now))
+    state("guilds", lambda t: upsert_guilds(t, batch, now))
+
+
+def table_of(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table as the stream has left it so far."""
+    if table in ("messages", "ingestion_batches"):
+        return _read(spark, folder, table, "")
+    return _latest(spark, folder, table, "")[1]
 
 
 def stream_ingest(
     documents: DataFrame, folder: str, checkpoint: str, now: Callable[[], object],
 ):
     """Start ingesting a stream of batch documents; rejected ones go to ``quarantine``."""
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
     def each(df: DataFrame, epoch: int) -> None:
         messages, bad = validate_batches(df)
-        ingest_epoch(df.sparkSession, folder, messages, epoch, now())
-        bad.write.mode("overwrite").parquet(f"{folder}/quarantine/epoch={epoch}")
+        name = f"{run}_{epoch:09d}"
+        ingest_epoch(df.sparkSession, folder, messages, name, now())
+        bad.write.mode("overwrite").parquet(f"{folder}/quarantine/batch={name}")
 
     return documents.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
@@ -90,6 +117,33 @@ def closed_sessions(messages: DataFrame, gap: str = "30 minutes", delay: str = "
     )
 
 
+def stream_sessions(messages: DataFrame, folder: str, checkpoint: str, gap_minutes: float = 30):
+    """Start keeping the silence-gap blocks of a message stream; nothing is late.
+
+    Every micro-batch is appended to the folder's messages. The blocks of the channels that it
+    touches are derived anew from all their messages, so a row of any age still counts. A block
+    is closed by its own channel's newest message. ``read_sessions`` gives the blocks in force.
+    """
+    def each(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+        stored = spark.read.schema(df.schema).parquet(*[f"{folder}/rows/epoch={e}" for e in range(epoch + 1)])
+        touched = stored.join(df.select("channel_id").distinct(), "channel_id", "left_semi")
+        blocks = closed_blocks(time_blocks(touched, gap_minutes), channel_max(touched), gap_minutes)
+        blocks.groupBy("channel_id", "block_no").agg(
+            F.min("block_start_at").alias("start_at"), F.max("block_end_at").alias("end_at"), F.count("*").alias("messages"),
+            F.bool_and("closed").alias("closed")).write.mode("overwrite").parquet(f"{folder}/sessions/epoch={epoch}")
+
+    return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of each channel as its last micro-batch left them."""
+    every = spark.read.parquet(f"{folder}/sessions")
+    last = every.groupBy("channel_id").agg(F.max("epoch").alias("epoch"))
+    return every.join(last, ["channel_id", "epoch"], "left_semi").drop("epoch")
+
+
 def funnel_stream(messages: DataFrame) -> DataFrame:
     """Running message counts per channel and state, for a periodic tick."""
     return messages.groupBy("channel_id", "processed").agg(F.count("*").alias("messages"))
@@ -97,17 +151,22 @@ def funnel_stream(messages: DataFrame) -> DataFrame:
 
 def stream_subclusters(
     messages: DataFrame, tau: float = DEFAULTS["tau"], idle_minutes: float = DEFAULTS["idle_minutes"],
+    delay: str = "1 day",
 ) -> DataFrame:
     """Online clustering of a stream of long messages, state kept per channel.
 
     Input: channel_id, id, author_id, mentions, created_at, vec, in time order over
     micro-batches. A silence longer than ``idle_minutes`` retires all clusters, so
-    blocks need no marker. State holds only active clusters; the size of a
-    micro-batch, set at the source, bounds what one task sees.
+    blocks need no marker. State holds only active clusters, and a timer drops it once
+    the watermark (``delay`` behind the newest message) has passed a channel's silence.
+    The size of a micro-batch, set at the source, bounds what one task sees.
     """
     settings = (tau, int(idle_minutes * 60_000), DEFAULTS["author_bonus"], DEFAULTS["mention_bonus"])
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         active = ActiveClusters(*settings)
         for root, vec, members, last_ms, authors in json.loads(state.get[0]) if state.exists else []:
             active.add(root, np.asarray(vec, dtype=np.float32), members, last_ms, authors)
@@ -115,12 +174,13 @@ def stream_subclusters(
         roots = [active.place(*row) for row in batch[["id", "ms", "author_id", "mentions", "vec"]].itertuples(
             index=False, name=None)]
         state.update((json.dumps(active.rows()),))
+        state.setTimeoutTimestamp(max(int(batch["ms"].iloc[-1]) + settings[1], state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"channel_id": key[0], "id": batch["id"].to_numpy(), "root_id": roots})
 
-    rows = messages.select("channel_id", "id", "author_id", "mentions",
-                           F.unix_millis("created_at").alias("ms"), "vec")
+    rows = messages.withWatermark("created_at", delay).select(
+        "channel_id", "id", "author_id", "mentions", F.unix_millis("created_at").alias("ms"), "vec", "created_at")
     return rows.groupBy("channel_id").applyInPandasWithState(
-        run, "channel_id string, id string, root_id string", "clusters string", "append", "NoTimeout")
+        run, "channel_id string, id string, root_id string", "clusters string", "append", "EventTimeTimeout")
 
 
 def extend_threads(threads: DataFrame, known: DataFrame) -> DataFrame:
