@@ -27,7 +27,7 @@ class Boosted(NamedTuple):
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 24, ridge: float = 5.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.3, bins: int = 24, ridge: float = 5.0) -> Boosted:
     """Newton steps: each level takes the best split of every node from histograms of gradients."""
     cuts = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) for column in x.T]
     binned = np.stack([np.searchsorted(c, column, side="left") for c, column in zip(cuts, x.T, strict=True)], axis=1)

@@ -17,7 +17,9 @@ from parley.llm.dom import WORDS, Page, features, parse, texts_of
 from parley.llm.registry import query, table
 
 #: Labelled pages that the trees are fitted on, and the seed of their layouts.
-PAGES, SEED = 900, 20240611
+PAGES, SEED = 1200, 20240611
+#: Log odds against dropping a child of a kept element.
+CHANGE = 1.5
 
 
 class Layouts:
@@ -45,9 +47,10 @@ class Layouts:
         items = [f'<a href="/{k}">{self.words(1, 3, False)}</a>' for k in range(self.r.randint(low, high))]
         return "<ul>" + "".join(f"<li>{a}</li>" for a in items) + "</ul>" if self.r.random() < 0.7 else " | ".join(items)
 
-    def boiler(self, kind: str) -> str:
+    def boiler(self, kind: str, inside: bool = False) -> str:
+        """Something around the main text; inside it, only its tag or a name tells it from the text."""
         r = self.r
-        named = self.name(kind, 0.95)
+        named = self.name(kind, 1 if inside else 0.95)
         bare = "" if r.random() < 0.6 else named
         if kind == "menu":
             return r.choice((f"<nav{bare}>{self.links(3, 9)}</nav>", f"<div{named}>{self.links(3, 9)}</div>", f"<ul{named}><li><a href='/'>{self.words(1, 2, False)}</a></li></ul>"))
@@ -75,7 +78,7 @@ class Layouts:
         r = self.r
         if r.random() < 0.72:
             low, high = r.choice(((1, 3), (5, 30), (20, 90), (60, 160)))
-            text = self.words(low, high)
+            text = self.words(low, high) if r.random() < 0.9 else self.words(1, 3, False).lower()
             if r.random() < 0.2:
                 text = f"<b data-main>{text}</b>"
             if r.random() < 0.2:
@@ -92,11 +95,12 @@ class Layouts:
 
     def page(self) -> str:
         r = self.r
-        blocks = [self.main_block() for _ in range(r.choice((1, 2, 3, 6, 10, 16, 25)))]
+        tiny = r.random() < 0.12
+        blocks = [f"<p data-main>{self.words(1, 3)}</p>"] * r.randint(1, 2) if tiny else [self.main_block() for _ in range(r.choice((1, 2, 3, 6, 10, 16, 25)))]
         inside = [k for k in ("ad", "share", "side", "note", "form", "talk", "menu") if r.random() < 0.15]
         for k in inside:
-            blocks.insert(r.randint(0, len(blocks)) if k != "talk" else len(blocks), self.boiler(k))
-        title = f"<h1 data-main>{self.words(1, 12, False)}</h1>"
+            blocks.insert(r.randint(0, len(blocks)) if k != "talk" else len(blocks), self.boiler(k, True))
+        title = f"<h1 data-main>{self.words(1, 2 if tiny else 12, tiny)}</h1>"
         if r.random() < 0.1:
             title = f"<header data-main>{title}</header>"
         body = (title if r.random() < 0.85 else "") + "".join(blocks)
@@ -131,11 +135,13 @@ def train(pages: int = PAGES, seed: int = SEED) -> boosting.Boosted:
     return boosting.fit(np.concatenate([features(p)[1:] for p in read]), np.concatenate([labels(p)[1:] for p in read]).astype(float))
 
 
-def decode(page: Page, logit: np.ndarray) -> np.ndarray:
+def decode(page: Page, logit: np.ndarray, change: float = CHANGE) -> np.ndarray:
     """The likeliest choice for the whole tree in which no dropped element holds a kept one.
 
     From the leaves up: an element is dropped with all that it holds, or kept with the best
-    choice for each child. Then from the top: kept where its parent is kept and keeping wins.
+    choice for each child. Below the body most children go the way of their parent, so a child
+    that is dropped from a kept one costs ``change``. Then from the top: kept where its parent is kept and
+    keeping wins.
     """
     log_keep, log_drop = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
     run = np.r_[0.0, log_drop.cumsum()]
@@ -143,6 +149,8 @@ def decode(page: Page, logit: np.ndarray) -> np.ndarray:
     dropped = run[np.array(page.end)] - run[np.arange(n)]
     keep, drop = log_keep.tolist(), dropped.tolist()
     for i in range(n - 1, 0, -1):
+        if page.tag[page.parent[i]] not in ("#page", "html", "body"):
+            drop[i] -= change
         keep[page.parent[i]] += max(keep[i], drop[i])
     kept = np.zeros(n, bool)
     kept[0] = True
