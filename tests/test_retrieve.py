@@ -11,7 +11,7 @@ from parley.operators import retrieve as R
 T0 = dt.datetime(2024, 1, 1)
 
 
-def test_topk_equals_brute_force_over_slices(spark):
+def test_topk_equals_brute_force_over_parts(spark):
     rng = np.random.default_rng(0)
     q, d = rng.normal(size=(23, 6)).astype(np.float32), rng.normal(size=(200, 6)).astype(np.float32)
     d[50] = d[51]
@@ -24,7 +24,7 @@ def test_topk_equals_brute_force_over_slices(spark):
           T0 + dt.timedelta(hours=90) if i % 5 == 0 else None) for i, v in enumerate(q)],
         "question_id long, variant_no int, vec array<float>, channel_ids array<string>, discussion_types array<string>, since timestamp")
     got = {}
-    for r in R.vector_topk(variants, nodes, k=7, slice_rows=5).collect():
+    for r in R.vector_topk(variants, nodes, k=7, part_rows=30).collect():
         got.setdefault(r["question_id"], {})[r["rank"]] = r["id"]
     sim = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(float) @ (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(float).T
     for i in range(len(q)):
@@ -54,10 +54,12 @@ def test_diversity_seats_both_missing_sentiments(spark):
 
 
 def test_confidence_notes_and_used_counts(spark):
-    q = spark.createDataFrame([(i, f"q{i}", "other", "en" if i == 3 else "cs") for i in range(1, 5)],
+    q = spark.createDataFrame([(i, f"q{i}", "other", "en" if i == 3 else "cs") for i in range(1, 6)],
                               "question_id long, question string, intent string, answer_language string")
-    drafts = spark.createDataFrame([(1, "a", "high", None), (2, "b", "high", "thin"), (4, "c", "high", None)],
-                                   "question_id long, answer string, confidence string, caveats string")
+    drafts = spark.createDataFrame(
+        [(1, "a", "high", None, "ok", None), (2, "b", "high", "thin", "ok", None), (4, "c", "high", None, "ok", None),
+         (5, None, None, None, "error", "model down")],
+        "question_id long, answer string, confidence string, caveats string, status string, error string")
     cited = spark.createDataFrame([(1, True), (1, False), (2, True), (4, False), (4, False)], "question_id long, used boolean")
     relaxed = spark.createDataFrame([(4,)], "question_id long")
     out = {r["question_id"]: r for r in A.finalize_answers(q, drafts, cited, relaxed).collect()}
@@ -65,6 +67,8 @@ def test_confidence_notes_and_used_counts(spark):
     assert [out[i]["used_discussion_count"] for i in (1, 2, 3, 4)] == [1, 1, 0, 2]
     assert out[2]["answer"] == "b\n\n_Poznámka: thin_" and A.RELAXED_NOTE in out[4]["answer"]
     assert out[3]["answer"] == A.NO_EVIDENCE["en"]
+    assert [out[i]["status"] for i in (1, 3, 5)] == ["ok", "no evidence", "error"]
+    assert out[5]["answer"] is None and out[5]["error"] == "model down"
 
 
 def test_first_block_always_stays_and_overflow_stops(spark):

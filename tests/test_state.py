@@ -11,7 +11,7 @@ from parley.plans.run import StageError, staged_run
 from parley.sources.batches import read_batches
 from parley.sources.dump import assert_no_collision, dir_segments, read_dump
 from parley.sources.state import empty_state, load_state, save_state, state_tag
-from parley.streaming.incremental import stream_batches, stream_ingest
+from parley.streaming.incremental import stream_batches, stream_ingest, table_of
 
 ROW = ("id string, channel_id string, guild_id string, channel_type string, author_id string, content string, created_at timestamp, "
        "reply_to_message_id string, thread_id string, mentions array<string>, attachments_count int, pos long")
@@ -88,8 +88,12 @@ def test_stream_of_documents_ingests_each_message_once(spark, tmp_path):
     stream_ingest(docs, out, cp, lambda: "2024-02-01").trigger(availableNow=True).start().awaitTermination()
     got = [r["id"] for r in spark.read.parquet(f"{out}/messages").collect()]
     assert sorted(got) == ["a", "b", "c", "d"]
-    last = spark.read.parquet(f"{out}/users/epoch=2").first()
-    assert last["message_count"] == 4
+    assert table_of(spark, out, "users").first()["message_count"] == 4
+    # a new checkpoint over the same folder repeats nothing and goes on counting
+    (src / "3.json").write_text(json.dumps(document(["d", "e"])))
+    stream_ingest(docs, out, f"{cp}-new", lambda: "2024-02-02").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["id"] for r in table_of(spark, out, "messages").collect()) == ["a", "b", "c", "d", "e"]
+    assert table_of(spark, out, "users").first()["message_count"] == 5
 
 
 def test_stages_save_as_they_go_and_name_the_failing_one(spark, tmp_path):
