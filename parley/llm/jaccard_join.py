@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import in_bitmap, key_bitmap, text_of, without
+from parley.llm.common import in_bitmap, key_bitmap, stored, text_of, without
 from parley.llm.components import components
 from parley.llm.registry import query, table
 from parley.session import cut
@@ -23,8 +22,8 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: documents of the sample at least, and one document in how many is sampled. They only choose
 #: the order; results are the same for any.
 FREQUENT, SEEN, SAMPLE = 1 << 18, 3, 16
-#: 64-bit words of the parity sketch.
-SKETCH = 16
+#: 64-bit words of the parity sketch, and of the narrow one that goes with the index.
+SKETCH, LANES = 16, 4
 BITS = 1 << 25
 
 
@@ -62,8 +61,9 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(_mixed(out, ORDERS[0]))
 
 
-def node_of(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+def node_of(s: np.ndarray) -> int:
+    """A set's own id; rows of equal sets share it."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ def frequent_shingles(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -
 
 
 def profiles(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """One narrow row per document: id, node (digest of its set), n, a prefix per order, sketch."""
+    """One narrow row per document: id, node (hash of its set), n, a prefix per order, sketch."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, rule, id_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -109,58 +109,79 @@ def profiles(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
                 out.append((node_of(s), len(s), first[0].view(np.int64), *(f.astype(np.uint32).view(np.int32) for f in first[1:]), sketch(s)))
             node, n, *arrays = zip(*out, strict=True) if out else ([],) * 6
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(arrays[0], pa.list_(pa.int64())),
+                [b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(arrays[0], pa.list_(pa.int64())),
                  *(pa.array(x, pa.list_(pa.int32())) for x in arrays[1:3]), pa.array(arrays[3], pa.list_(pa.int64()))],
                 ["id", "node", "n", "p1", "p2", "p3", "sketch"])
 
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, node binary, n long, p1 array<long>, p2 array<int>, p3 array<int>, sketch array<long>")
+        run, f"id {kind}, node long, n long, p1 array<long>, p2 array<int>, p3 array<int>, sketch array<long>")
 
 
 def sized(a: Column, b: Column, rule: Rule) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * rule.percent)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """The linked ones of candidate ``pairs`` (a, b) from the first order.
+def furthest(rule: Rule) -> Column:
+    """In so many members the sets of a linked pair differ at most, and one for rounding.
 
-    The pair must also share prefix tokens under the other orders, and its sketches may not
-    differ in more bits than a linked pair's sets can. What is left is compared in full: texts
-    of the nodes concerned are read again and their sets met.
+    100 i >= percent (total - i), and they differ in total - 2 i.
     """
-    side = nodes.select("node", "n", "p2", "p3", "sketch", "doc")
-    a = side.select(*(F.col(c).alias(c + "_a") for c in side.columns))
-    b = side.select(*(F.col(c).alias(c + "_b") for c in side.columns))
-    both = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     total = F.col("n_a") + F.col("n_b")
-    # 100 i >= percent (total - i), so the sets differ in at most total - 2 i members
-    most = total - 2 * F.ceil(total * rule.percent / (100 + rule.percent))
-    near = cut(both.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b") & (apart <= most + 1))
-               .select("a", "b", "doc_a", "doc_b"))
-    concerned = near.select(F.col("doc_a").alias("doc")).unionByName(near.select(F.col("doc_b").alias("doc")))
-    bitmap = key_bitmap(concerned.select(F.xxhash64("doc").alias("_key")), "_key", BITS)
+    return total - 2 * F.ceil(total * rule.percent / (100 + rule.percent)) + 1
+
+
+def lane(words: Column, i: int) -> Column:
+    """Word ``i`` of a narrower sketch: parities of coarser bits are the XOR of finer ones."""
+    out = words[i]
+    for k in range(i + LANES, SKETCH, LANES):
+        out = out.bitwiseXOR(words[k])
+    return out
+
+
+def _of_pairs(pairs: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
+    """``pairs`` with columns of both nodes, as <name>_a and <name>_b; only rows of nodes in pairs are shuffled."""
+    ends = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key")))
+    side = in_bitmap(rows.select("node", *names), "node", key_bitmap(ends, "_key", BITS), BITS).where("_hit").drop("_hit")
+    side = side.dropDuplicates(["node"])
+    a, b = (side.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in names)) for end in "ab")
+    return pairs.join(a, "a").join(b, "b")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """The linked ones of candidate ``pairs`` (a, b, n_a, n_b) from the first order.
+
+    Sketches of a linked pair differ in few bits. What they let through must also share prefix
+    tokens under the other orders. What is left is compared in full: texts of the nodes concerned
+    are read again and their sets met.
+    """
+    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    close = cut(_of_pairs(pairs, rows, "sketch").where(apart <= furthest(rule)).select("a", "b"))
+    near = cut(_of_pairs(close, rows, "p2", "p3").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"))
+    ends = near.select(F.col("a").alias("_key")).unionByName(near.select(F.col("b").alias("_key")))
+    concerned = in_bitmap(rows.select("node", "id"), "node", key_bitmap(ends, "_key", BITS), BITS).where("_hit").groupBy("node").agg(
+        F.min("id").alias("id"))
+    bitmap = key_bitmap(concerned.select(F.xxhash64("id").alias("_key")), "_key", BITS)
     texts = in_bitmap(docs.select(F.xxhash64(F.col(id_col)).alias("_key"), text_of(text_col).alias("_text")), "_key", bitmap, BITS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             sets = [shingles(t, rule.words) for t in x.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "s"])
 
-    sets = texts.where("_hit").select("_text").mapInArrow(read, "node binary, s binary").dropDuplicates(["node"])
-    met = (near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    sets = texts.where("_hit").select("_text").mapInArrow(read, "node long, s binary").dropDuplicates(["node"])
+    met = (near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
            .join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keep = []
-            for sa, sb in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                sa, sb = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
+            for sa, sb in zip(x.column(2), x.column(3), strict=True):
+                sa, sb = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
                 common = len(np.intersect1d(sa, sb, assume_unique=True))
                 keep.append(100 * common >= rule.percent * (len(sa) + len(sb) - common))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return met.mapInArrow(meet, "a binary, b binary")
+    return met.mapInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,41 +195,48 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     3. First every node of a token meets the token's hub alone, a number of pairs linear in the
        index. Then, over tokens that still hold several components, all nodes of different
        components meet. A link inside a component cannot change it, so none is missed.
-    4. Candidates must share prefix tokens under every other order too; then sketches and at last
+    4. Candidates must pass the sketches and share prefix tokens under every other order too; then
        whole sets decide.
 
     Nulls: a null text has no words. Without words a row has an empty set, is linked with nothing
     and is its own component, also when its id is null. Rows that repeat an id are documents of
     their own; equal sets always share a component. Other columns are ignored, whatever their
-    names. Hashes have 64 bits (sets: 128). No rows give no rows.
+    names. Shingles and sets are known by 64-bit hashes. No rows give no rows.
     """
-    rows = cut(profiles(docs, rule, id_col, text_col))
-    nodes = cut(rows.where("n > 0").groupBy("node").agg(
-        F.min("id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "p1", "p2", "p3", "sketch"))))
-    index = nodes.select(F.explode("p1").alias("token"), "node", "n")
-    shared = index.groupBy("token").count().where("count > 1").select("token")
-    index = cut(in_bitmap(index, "token", key_bitmap(shared, "token", BITS), BITS).where("_hit").drop("_hit"))
+    rows = stored(profiles(docs, rule, id_col, text_col))
+    full = rows.where("n > 0")
+    index = full.select(F.explode("p1").alias("token"), "node", "n")
+    shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
+    index = stored(in_bitmap(index, "token", key_bitmap(shared, "token", BITS), BITS).where("_hit").drop("_hit").distinct())
 
     hubs = index.groupBy("token").agg(
         F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("m"),
         F.count("*").alias("c")).where("c > 1").select("token", "m.hub", "m.hub_n")
+    swap = F.col("node") > F.col("hub")
     first = index.join(hubs, "token").where((F.col("node") != F.col("hub")) & sized(F.col("n"), F.col("hub_n"), rule)).select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    found = components(cut(verified(first, nodes, docs, rule, id_col, text_col)))
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
+        F.when(swap, F.col("hub_n")).otherwise(F.col("n")).alias("n_a"), F.when(swap, F.col("n")).otherwise(F.col("hub_n")).alias("n_b")).distinct()
+    found = components(cut(verified(stored(first), full, docs, rule, id_col, text_col)))
 
     labelled = index.join(found, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-    open_ = cut(labelled.join(mixed, "token", "left_semi"))
-    x = open_.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
+    open_ = stored(labelled.join(mixed, "token", "left_semi"))
+    folds = [f"f{i}" for i in range(LANES)]
+    side = in_bitmap(full.select("node", *(lane(F.col("sketch"), i).alias(c) for i, c in enumerate(folds))), "node", key_bitmap(
+        open_.select("node"), "node", BITS), BITS).where("_hit").drop("_hit").distinct()
+    open_ = open_.join(side, "node")
+    x, y = (open_.select("token", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("label").alias(f"l_{end}"),
+                         *(F.col(c).alias(f"{c}_{end}") for c in folds)) for end in "ab")
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in folds), F.lit(0))
     rest = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b"))
-                  & sized(F.col("n_a"), F.col("n_b"), rule)).select("a", "b").distinct()
-    found = components(cut(verified(rest, nodes, docs, rule, id_col, text_col)), found)
+                  & sized(F.col("n_a"), F.col("n_b"), rule) & (apart <= furthest(rule))).select("a", "b", "n_a", "n_b").distinct()
+    found = components(cut(verified(stored(rest), full, docs, rule, id_col, text_col)), found)
 
-    own = nodes.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
+    own = full.groupBy("node").agg(F.min("id").alias("doc")).join(found, "node", "left").select(
+        "node", "doc", F.coalesce("label", "node").alias("label"))
     smallest = own.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_node = own.join(smallest, "label").select("node", "component_id")
-    linked = rows.where("n > 0").select("id", "n", "node").join(of_node, "node").select("id", "n", "component_id")
+    linked = full.select("id", "n", "node").join(of_node, "node").select("id", "n", "component_id")
     empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
@@ -220,7 +248,24 @@ def drop_near_copies(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id
     return without(docs, {"id": F.col(id_col)}, dropped)
 
 
-@query("op4_jaccard_join")
+SQL = r"""
+WITH RECURSIVE w AS (
+ SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+ SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)
+ UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (
+ SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM w JOIN reach r ON r.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+
+@query("op4_jaccard_join", SQL)
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copies of all documents: three-word shingles, a Jaccard similarity of 0.9 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), Rule(3, 90))
