@@ -22,7 +22,7 @@ from parley.session import cut
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", _row long, sequence_id long, offset long, _part long, _open boolean, _gap long"
 #: Distinct white-space-free chunks a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: The tokenizer's own pattern of pre-tokens (fixed value), with the lower-case letters, numbers
 #: and white space of Latin-1 spelled out.
 _PRE_TOKENS = re.compile(
