@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,8 +23,14 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The public pattern of pre-tokens (fixed value), with the white space above.
 PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
            rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: The same for texts of Latin-1 alone, with letters and numbers spelled out, for the faster engine.
+_LETTER, _NUMBER, _SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+"
+         rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Distinct pre-tokens a task remembers, and the longest that it does.
 REMEMBERED, LONGEST = 300_000, 64
+#: Fragments of up to so many bytes are merged in a plain list. No rank reaches NEVER.
+SHORT, NEVER = 48, 1 << 60
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,11 +56,13 @@ class ByteBpe:
             self.bytes_of[i] = token.encode()
         self.first = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        merged = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+        self.rank = {a << 20 | b: rank for rank, (a, b, _) in enumerate(merged)}  # of a pair of ids
+        self.result = [new for _, _, new in merged]  # by rank
         # pairs of neighbouring bytes inside some token; every other pair is a certain cut
         self.inside = {pair for token, i in vocab.items() for pair in zip(self.bytes_of[i], self.bytes_of[i][1:], strict=False)}
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.pre_tokens = regex.compile(PATTERN).findall
+        self.any_text, self.latin_text = regex.compile(PATTERN).findall, re.compile(LATIN).findall
         self.known: dict[str, tuple[int, ...]] = {}
 
     def fragments(self, data: bytes) -> Iterator[bytes]:
@@ -66,28 +75,42 @@ class ByteBpe:
         yield data[at:]
 
     def encode_fragment(self, data: bytes) -> list[int]:
-        """Lowest rank first, leftmost first; a linked list and a heap keep long fragments near linear."""
+        """Merges of the lowest rank first, the leftmost of equal ones."""
         ids = [self.first[b] for b in data]
-        n = len(ids)
-        if n < 2:
-            return ids
+        if len(ids) > SHORT:
+            return self._encode_long(ids)
+        get, result = self.rank.get, self.result
+        ranks = [get(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (rank := min(ranks)) < NEVER:
+            i = ranks.index(rank)
+            ids[i: i + 2] = [result[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], NEVER)
+        return ids
+
+    def _encode_long(self, ids: list[int]) -> list[int]:
+        """The same with a linked list and a heap, which keeps long fragments near linear."""
+        n, rank, result = len(ids), self.rank.get, self.result
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merge = self.merge
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue  # a neighbour has changed meanwhile
-            ids[i], ids[j] = new, -1
+            new = ids[i] = result[r]
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merge.get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := merge.get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+                if (r := rank(new << 20 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i, new, ids[k]))
+            if (h := before[i]) >= 0 and (r := rank(ids[h] << 20 | new)) is not None:
+                heapq.heappush(heap, (r, h, ids[h], new))
         return [i for i in ids if i >= 0]
 
     def encode_pre_token(self, pre: str) -> tuple[int, ...]:
@@ -98,6 +121,13 @@ class ByteBpe:
             self.known[pre] = ids
         return ids
 
+    def pre_tokens(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any_text(text)
+        return self.latin_text(text)
+
     def encode(self, text: str) -> list[int]:
         known, one = self.known.get, self.encode_pre_token
         out: list[int] = []
@@ -143,8 +173,9 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 column = part.column(part.schema.get_field_index(ids_col))
-                ends, flat = column.offsets.to_pylist(), column.values.to_pylist()
-                text = pa.array([bpe.decode(flat[i:j]) for i, j in zip(ends, ends[1:], strict=False)], pa.string())
+                ends = column.offsets.to_pylist()  # counted from the start of the whole batch, as the values are
+                flat = column.values.slice(ends[0], ends[-1] - ends[0]).to_pylist()
+                text = pa.array([bpe.decode(flat[i - ends[0]: j - ends[0]]) for i, j in zip(ends, ends[1:], strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, "decoded"])
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
