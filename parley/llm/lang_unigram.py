@@ -27,7 +27,7 @@ LANGUAGES = 512
 #: Words of up to so many letters are scored many at a time; longer ones one by one, with rescaling.
 BATCHED = 32
 #: Numbers a task remembers: distinct words times languages.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 UNKNOWN = "und"
 
 _LETTERS = regex.compile(r"\p{L}+")
