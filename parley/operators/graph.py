@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from parley.functions.text import normalize_label
 from parley.operators.ingest import as_ts, upsert
 from parley.operators.ordered import row_index
-from parley.schemas import DEFAULTS
 
 NODE_TABLES = ["nodes_discussion", "nodes_channel", "nodes_guild", "nodes_user", "nodes_topic", "nodes_entity"]
 EDGE_TABLES = [
@@ -227,9 +226,12 @@ def merge_facts(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[st
 
 def build_graph(
     facts: dict[str, DataFrame], channels: DataFrame, guilds: DataFrame,
-    max_terms: int = DEFAULTS["cooccurrence_terms"],
+    max_terms: int | None = None,
 ) -> dict[str, DataFrame]:
-    """All node and edge tables from the current facts; counters cannot drift."""
+    """All node and edge tables from the current facts; counters cannot drift.
+
+    Labels pair in any number; ``max_terms`` leaves out discussions with more (``label_pairs``).
+    """
     d, parts, topics, entities = (facts[k] for k in ("discussions", "participants", "topics", "entities"))
     times = d.select(F.col("id").alias("discussion_id"), "started_at", "ended_at")
     used = d.select(F.col("channel_id").alias("id")).distinct().join(

@@ -23,7 +23,6 @@ DEFAULTS = {
     "max_messages_per_call": 400,
     "batch_target_tokens": 6000,
     "batch_max_discussions": 25,
-    "cooccurrence_terms": 12,
     "vector_top_k": 40,
     "anchor_limit": 30,
     "search_query_variants": 3,

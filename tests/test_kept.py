@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parley.operators import dictionary as D
 from parley.operators.cluster import cluster_channels, subcluster
 from parley.operators.enrich import pack_batches, render_prompts
-from parley.operators.graph import label_pairs
+from parley.operators.graph import build_graph, label_pairs
 from parley.operators.retrieve import vector_topk
 from parley.schemas import STATE
 from parley.session import cut
@@ -63,6 +63,22 @@ def test_pairs_of_any_number_of_labels(spark):
     assert label_pairs(labels, "topic").count() == 30 * 29 // 2
 
 
+def test_a_built_graph_pairs_any_number_of_labels(spark):
+    none = "username string, display_name string, first_seen_at timestamp, last_seen_at timestamp, user_message_count long"
+    facts = {
+        "discussions": spark.createDataFrame([("d", "c", T0, T0)], "id string, channel_id string, started_at timestamp, ended_at timestamp"),
+        "participants": spark.createDataFrame([("d", "u", 1, T0, T0, None, None, None, None, 1)], (
+            f"discussion_id string, author_id string, message_count long, first_message_at timestamp, last_message_at timestamp, {none}")),
+        "topics": spark.createDataFrame([("d", i, f"t{i:02d}") for i in range(30)], "discussion_id string, pos int, topic string"),
+        "entities": spark.createDataFrame([("d", i, f"other:e{i:02d}", f"e{i:02d}", "other") for i in range(30)],
+                                          "discussion_id string, pos int, key string, name string, type string"),
+        "links": spark.createDataFrame([("d", None, None)], "id string, continuation_of_discussion_id string, continuation_reason string"),
+    }
+    graph = build_graph(facts, spark.createDataFrame([("c", "n", "g")], "id string, name string, guild_id string"),
+                        spark.createDataFrame([("g", "n")], "id string, name string"))
+    assert graph["edges_topic_cooccurs"].count() == graph["edges_entity_cooccurs"].count() == 30 * 29 // 2
+
+
 def test_caps_below_one_are_refused(spark):
     queue = spark.createDataFrame([("c", T0, "d", 5, 1)], "channel_id string, block_start_at timestamp, id string, tokens long, messages long")
     with pytest.raises(ValueError, match="positive"):
