@@ -54,7 +54,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles and a similarity of 0.8 or more."""
     prepare(spark)
-    return drop_near_copies(docs, Rule(words=5, percent=80))
+    return drop_near_copies(docs, Rule(words=5, percent=80), once=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Every stage returns no rows for none, keeps extra columns of any name, and takes a null text as empty: such
-#: a text has no letter, so the language stage rejects it. Rows that repeat an id are one document to the
-#: near-copy stage and one each to the others.
+#: a text has no letter, so the language stage rejects it. Rows that repeat an id are one document each.
 STAGES = [("quality", quality), ("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("packing", packing)]
 
 #: Three stages are learned or tokenised and have no SQL form; tests compare them with brute force.

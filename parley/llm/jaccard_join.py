@@ -89,8 +89,9 @@ def frequent_shingles(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -
     return token[order], rank[order]
 
 
-def profiles(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """One narrow row per document: id, node (hash of its set), n, a prefix per order, sketch."""
+def profiles(docs: DataFrame, rule: Rule, id_col: str, text_col: str, carry: dict[str, Column] | None = None) -> DataFrame:
+    """One narrow row per document: id, node (hash of its set), n, a prefix per order, sketch, and the ``carry`` expressions."""
+    more = {f"c_{n}": c for n, c in (carry or {}).items()}
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, rule, id_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -110,11 +111,12 @@ def profiles(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
             node, n, *arrays = zip(*out, strict=True) if out else ([],) * 6
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(arrays[0], pa.list_(pa.int64())),
-                 *(pa.array(x, pa.list_(pa.int32())) for x in arrays[1:3]), pa.array(arrays[3], pa.list_(pa.int64()))],
-                ["id", "node", "n", "p1", "p2", "p3", "sketch"])
+                 *(pa.array(x, pa.list_(pa.int32())) for x in arrays[1:3]), pa.array(arrays[3], pa.list_(pa.int64())), *b.columns[2:]],
+                ["id", "node", "n", "p1", "p2", "p3", "sketch", *names])
 
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, node long, n long, p1 array<long>, p2 array<int>, p3 array<int>, sketch array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *(c.alias(n) for n, c in more.items()))
+    names, kinds = list(more), "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    return rows.mapInArrow(run, f"id {kind}, node long, n long, p1 array<long>, p2 array<int>, p3 array<int>, sketch array<long>{kinds}")
 
 
 def sized(a: Column, b: Column, rule: Rule) -> Column:
@@ -184,9 +186,13 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, rule: Rule, id_
     return met.mapInArrow(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text",
+                    key: Column | None = None) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable by links).
 
+    With ``key``, an expression that tells rows of one id apart, also key, group_size (rows of the
+    component) and kept: whether id and key are the smallest of the component.
+
     1. Every text becomes a set of shingle hashes. Rows of equal sets are one node, so groups of
        copies are aggregated before anything is joined.
     2. A node is indexed under the prefix of its set in the first order. Tokens of one node alone
@@ -203,7 +209,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     their own; equal sets always share a component. Other columns are ignored, whatever their
     names. Shingles and sets are known by 64-bit hashes. No rows give no rows.
     """
-    rows = stored(profiles(docs, rule, id_col, text_col))
+    rows = stored(profiles(docs, rule, id_col, text_col, {} if key is None else {"key": key}))
     full = rows.where("n > 0")
     index = full.select(F.explode("p1").alias("token"), "node", "n")
     shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
@@ -232,20 +238,41 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
                   & sized(F.col("n_a"), F.col("n_b"), rule) & (apart <= furthest(rule))).select("a", "b", "n_a", "n_b").distinct()
     found = components(cut(verified(stored(rest), full, docs, rule, id_col, text_col)), found)
 
-    own = full.groupBy("node").agg(F.min("id").alias("doc")).join(found, "node", "left").select(
-        "node", "doc", F.coalesce("label", "node").alias("label"))
-    smallest = own.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_node = own.join(smallest, "label").select("node", "component_id")
-    linked = full.select("id", "n", "node").join(of_node, "node").select("id", "n", "component_id")
-    empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of the smallest id of every component, with all its columns."""
-    dropped = cut(near_duplicates(docs, rule, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.col(id_col).alias("id")))
-    return without(docs, {"id": F.col(id_col)}, dropped)
+    label = F.coalesce("label", "node").alias("label")
+    if key is None:
+        own = full.groupBy("node").agg(F.min("id").alias("doc")).join(found, "node", "left").select("node", "doc", label)
+        smallest = own.groupBy("label").agg(F.min("doc").alias("component_id"))
+        of_node = own.join(smallest, "label").select("node", "component_id")
+        linked = full.select("id", "n", "node").join(of_node, "node").select("id", "n", "component_id")
+        empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+        return linked.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    # a null id comes last, so that the smallest id is that of component_id above
+    first = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("i"), F.col("c_key").alias("k"))
+    own = full.groupBy("node").agg(F.min(first).alias("best"), F.count("*").alias("size")).join(found, "node", "left").select(
+        "node", "best", "size", label)
+    smallest = own.groupBy("label").agg(F.min("best").alias("best"), F.sum("size").alias("group_size"))
+    of_node = own.select("node", "label").join(smallest, "label").select("node", "best", "group_size")
+    linked = full.select("id", "n", "node", "c_key").join(of_node, "node").select(
+        "id", "n", F.col("best.i").alias("component_id"), "c_key", "group_size",
+        (F.col("id").eqNullSafe(F.col("best.i")) & F.col("c_key").eqNullSafe(F.col("best.k"))).alias("kept"))
+    empty = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "c_key",
+                                       F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    return linked.unionByName(empty).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("c_key").alias("key"), "group_size", "kept")
+
+
+def drop_near_copies(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """One document of every component, that of the smallest id, with all its columns.
+
+    Rows are told apart by id and text, so a row goes or stays by its own text, whatever other
+    rows have its id. A null id comes after all others. Of rows that repeat both id and text of
+    the one that stays, all stay, and with ``once`` one.
+    """
+    keys = {"id": F.col(id_col), "key": F.xxhash64(text_of(text_col))}
+    decided = cut(near_duplicates(docs, rule, id_col, text_col, keys["key"]).where("group_size > 1").select(
+        F.col(id_col).alias("id"), "key", "kept"))
+    repeated = decided.where("kept").groupBy("id", "key").count().where("count > 1") if once else None
+    return without(docs, keys, decided.where("not kept"), repeated)
 
 
 SQL = r"""

@@ -57,6 +57,21 @@ def test_edge_rows(spark, name):
         assert len(got) == len(ROWS)
 
 
+def test_near_copies_go_by_their_own_text(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, far = f"{text} end", " ".join(f"v{i}" for i in range(40))
+    lone = " ".join(f"u{i}" for i in range(40))
+    null = " ".join(f"n{i}" for i in range(60))
+    rows = [(3, text), (5, near), (5, far), (None, f"{text} stop"), (None, lone), (7, lone + " x"), (None, null), (None, f"{null} end"),
+            (8, "a b c d e f"), (8, "A b c d e f"), (9, "g h i j k l"), (9, "g h i j k l"), (10, ""), (10, None)]
+    got = [tuple(r) for r in jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), once=True).collect()]
+    kept = {t: i for i, t in got}
+    assert kept[text] == 3 and kept[far] == 5 and kept[lone + " x"] == 7 and kept[""] == kept[None] == 10
+    assert not {near, f"{text} stop", lone} & set(kept)
+    assert len({null, f"{null} end"} & set(kept)) == 1
+    assert sorted(i or 0 for i, _ in got) == [0, 3, 5, 7, 8, 9, 10, 10]
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_no_rows(spark, name):
     assert OPERATORS[name](frame(spark, ROWS).where("false")).count() == 0
