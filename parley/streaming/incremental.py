@@ -39,12 +39,17 @@ def _read(spark: SparkSession, folder: str, table: str, but: str) -> DataFrame:
     return spark.read.schema(f"{STATE[table]}, batch STRING").parquet(path).filter(F.col("batch") != but).drop("batch")
 
 
-def _latest(spark: SparkSession, folder: str, table: str, but: str) -> tuple[int, DataFrame]:
-    """The newest state of a table that another micro-batch has left, and its number."""
+def _states(spark: SparkSession, folder: str, table: str, but: str) -> list[str]:
+    """The numbered states of a table that other micro-batches have left, oldest first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-    states = sorted(n for n in names if n.startswith("state=") and not n.endswith(f"-{but}"))
+    return sorted(n for n in names if n.startswith("state=") and not n.endswith(f"-{but}"))
+
+
+def _latest(spark: SparkSession, folder: str, table: str, but: str) -> tuple[int, DataFrame]:
+    """The newest state of a table that another micro-batch has left, and its number."""
+    states = _states(spark, folder, table, but)
     if not states:
         return 0, spark.createDataFrame([], STATE[table])
     return int(states[-1][6:18]), spark.read.schema(STATE[table]).parquet(f"{folder}/{table}/{states[-1]}")
@@ -120,19 +125,30 @@ def closed_sessions(messages: DataFrame, gap: str = "30 minutes", delay: str = "
 def stream_sessions(messages: DataFrame, folder: str, checkpoint: str, gap_minutes: float = 30):
     """Start keeping the silence-gap blocks of a message stream; nothing is late.
 
-    Every micro-batch is appended to the folder's messages. The blocks of the channels that it
-    touches are derived anew from all their messages, so a row of any age still counts. A block
-    is closed by its own channel's newest message. ``read_sessions`` gives the blocks in force.
+    Input: id, channel_id, created_at. Every micro-batch is appended to the folder's messages. The
+    blocks of the channels that it touches are derived anew from all their messages, so a row of
+    any age still counts. A block is closed by its own channel's newest message. ``read_sessions``
+    gives the blocks in force. Micro-batches are named as in ``ingest_epoch``: a repeated one
+    overwrites its own rows, a new checkpoint goes on from what is there, and a message that it
+    reads again counts once (by its id and earliest time; messages without an id count each).
     """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
     def each(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
-        stored = spark.read.schema(df.schema).parquet(*[f"{folder}/rows/epoch={e}" for e in range(epoch + 1)])
-        touched = stored.join(df.select("channel_id").distinct(), "channel_id", "left_semi")
+        spark, name = df.sparkSession, f"{run}_{epoch:09d}"
+        target = f"{folder}/rows/batch={name}"
+        df.select("id", "channel_id", "created_at").write.mode("overwrite").parquet(target)
+        rows = df.select("id", "channel_id", "created_at").schema
+        stored = spark.read.schema(rows).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+        touched = stored.join(spark.read.schema(rows).parquet(target).select("channel_id").distinct(), "channel_id", "left_semi")
+        touched = touched.filter("id is not null").groupBy("channel_id", "id").agg(F.min("created_at").alias("created_at")).unionByName(
+            touched.filter("id is null"))
+        states = _states(spark, folder, "sessions", name)
+        number = int(states[-1][6:18]) + 1 if states else 1
         blocks = closed_blocks(time_blocks(touched, gap_minutes), channel_max(touched), gap_minutes)
         blocks.groupBy("channel_id", "block_no").agg(
             F.min("block_start_at").alias("start_at"), F.max("block_end_at").alias("end_at"), F.count("*").alias("messages"),
-            F.bool_and("closed").alias("closed")).write.mode("overwrite").parquet(f"{folder}/sessions/epoch={epoch}")
+            F.bool_and("closed").alias("closed")).write.mode("overwrite").parquet(f"{folder}/sessions/state={number:012d}-{name}")
 
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
@@ -140,8 +156,8 @@ def stream_sessions(messages: DataFrame, folder: str, checkpoint: str, gap_minut
 def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """The blocks of each channel as its last micro-batch left them."""
     every = spark.read.parquet(f"{folder}/sessions")
-    last = every.groupBy("channel_id").agg(F.max("epoch").alias("epoch"))
-    return every.join(last, ["channel_id", "epoch"], "left_semi").drop("epoch")
+    last = every.groupBy("channel_id").agg(F.max("state").alias("state"))
+    return every.join(last, ["channel_id", "state"], "left_semi").drop("state")
 
 
 def funnel_stream(messages: DataFrame) -> DataFrame:

@@ -142,3 +142,26 @@ def test_streamed_clusters_equal_the_batch_form(spark, tmp_path):
     streamed = {r.id: r.root_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     batch = subcluster(df.withColumn("block_no", F.lit(0).cast("bigint")), 0.9, 15)
     assert streamed == {r.id: r.root_id for r in batch.collect()}
+
+
+def test_sessions_go_on_under_a_new_checkpoint(spark, tmp_path):
+    def rows(part, *of):
+        df = spark.createDataFrame([(f"{c}{m}", c, T0 + dt.timedelta(minutes=m)) for c, m in of], "id string, channel_id string, created_at timestamp")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+        return df.schema
+
+    def drain(schema, source, checkpoint):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/{source}")
+        K.stream_sessions(stream, f"{tmp_path}/out", f"{tmp_path}/{checkpoint}").trigger(availableNow=True).start().awaitTermination()
+
+    schema = rows("1", ("a", 0), ("a", 10), ("a", 100), ("b", 0))
+    rows("2", ("a", 20))
+    rows("3", ("a", 5), ("a", 101), ("c", 0))
+    drain(schema, "{1,2}", "cp")
+    drain(schema, "{1,3}", "cp-new")  # reads part 1 again
+    got = sorted((r.channel_id, r.start_at, r.end_at, r.messages, r.closed) for r in K.read_sessions(spark, f"{tmp_path}/out").collect())
+
+    def at(m):
+        return T0 + dt.timedelta(minutes=m)
+
+    assert got == [("a", at(0), at(20), 4, True), ("a", at(100), at(101), 2, False), ("b", at(0), at(0), 1, False), ("c", at(0), at(0), 1, False)]
