@@ -167,22 +167,19 @@ def funnel_stream(messages: DataFrame) -> DataFrame:
 
 def stream_subclusters(
     messages: DataFrame, tau: float = DEFAULTS["tau"], idle_minutes: float = DEFAULTS["idle_minutes"],
-    delay: str = "1 day",
 ) -> DataFrame:
     """Online clustering of a stream of long messages, state kept per channel.
 
-    Input: channel_id, id, author_id, mentions, created_at, vec, in time order over
-    micro-batches. A silence longer than ``idle_minutes`` retires all clusters, so
-    blocks need no marker. State holds only active clusters, and a timer drops it once
-    the watermark (``delay`` behind the newest message) has passed a channel's silence.
-    The size of a micro-batch, set at the source, bounds what one task sees.
+    Input: channel_id, id, author_id, mentions, created_at, vec, in time order within a
+    channel over micro-batches. A silence longer than ``idle_minutes`` retires all clusters,
+    so blocks need no marker. Every row gets a cluster, however far its channel is behind
+    others: there is no watermark. State holds a channel's active clusters only, and stays,
+    since only the channel's own next message tells how long it was silent. The size of a
+    micro-batch, set at the source, bounds what one task sees.
     """
     settings = (tau, int(idle_minutes * 60_000), DEFAULTS["author_bonus"], DEFAULTS["mention_bonus"])
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         active = ActiveClusters(*settings)
         for root, vec, members, last_ms, authors in json.loads(state.get[0]) if state.exists else []:
             active.add(root, np.asarray(vec, dtype=np.float32), members, last_ms, authors)
@@ -190,13 +187,12 @@ def stream_subclusters(
         roots = [active.place(*row) for row in batch[["id", "ms", "author_id", "mentions", "vec"]].itertuples(
             index=False, name=None)]
         state.update((json.dumps(active.rows()),))
-        state.setTimeoutTimestamp(max(int(batch["ms"].iloc[-1]) + settings[1], state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"channel_id": key[0], "id": batch["id"].to_numpy(), "root_id": roots})
 
-    rows = messages.withWatermark("created_at", delay).select(
-        "channel_id", "id", "author_id", "mentions", F.unix_millis("created_at").alias("ms"), "vec", "created_at")
+    # no event-time timer: with one, Spark takes away rows behind the watermark of all channels
+    rows = messages.select("channel_id", "id", "author_id", "mentions", F.unix_millis("created_at").alias("ms"), "vec")
     return rows.groupBy("channel_id").applyInPandasWithState(
-        run, "channel_id string, id string, root_id string", "clusters string", "append", "EventTimeTimeout")
+        run, "channel_id string, id string, root_id string", "clusters string", "append", "NoTimeout")
 
 
 def extend_threads(threads: DataFrame, known: DataFrame) -> DataFrame:

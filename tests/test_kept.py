@@ -165,3 +165,17 @@ def test_sessions_go_on_under_a_new_checkpoint(spark, tmp_path):
         return T0 + dt.timedelta(minutes=m)
 
     assert got == [("a", at(0), at(20), 4, True), ("a", at(100), at(101), 2, False), ("b", at(0), at(0), 1, False), ("c", at(0), at(0), 1, False)]
+
+
+def test_streamed_clusters_of_a_channel_far_behind(spark, tmp_path):
+    rows = [(f"{c}{i:02d}", c, f"u{i % 2}", None, T0 + dt.timedelta(days=9 * (c == "a"), minutes=4 * i), [1.0, 0.0] if i % 3 else [0.0, 1.0])
+            for c in "ab" for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, channel_id string, author_id string, mentions array<string>, created_at timestamp, vec array<float>")
+    for k in range(3):
+        df.filter(F.substring("id", 2, 2).cast("int").between(10 * k, 10 * k + 9)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    K.stream_subclusters(stream, 0.9, 15).writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    streamed = {r.id: r.root_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    batch = subcluster(df.withColumn("block_no", F.lit(0).cast("bigint")), 0.9, 15)
+    assert len(streamed) == 60 and streamed == {r.id: r.root_id for r in batch.collect()}
