@@ -8,7 +8,7 @@ import re
 import struct
 import uuid
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any, NamedTuple
 
@@ -22,26 +22,28 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.llm.byte_bpe import LATIN
 from parley.llm.common import text_of
 from parley.llm.registry import query, table
 from parley.session import shared_dir
 
 #: A file is MAGIC, its dictionary's SHA-256, bytes per id, frames, an Arrow index, and FOOTER: where the index starts.
 MAGIC, HEAD, FOOTER = b"PLYIDS1\n", struct.Struct("<8s32sB"), struct.Struct("<Q8s")
-#: Distinct chunks and pre-tokens a task remembers, and the longest that it does.
-REMEMBERED, LONGEST = 250_000, 64
-#: Bytes that are read, or letters that are encoded, before a batch of rows goes on.
-STEP = 4 << 20
-#: Two white-space characters of Latin-1 in a row, one of them a blank, or a blank at an end.
-_WIDE = re.compile(r"[\t-\r \x85\xa0] | [\t-\r\x85\xa0]|\A | \Z")
+#: Marks that often end a chunk.
+MARKS = ".,;:!?"
+#: Words that a task remembers, in two halves, and the longest that it does.
+REMEMBERED, LONGEST = 1_000_000, 64
+#: Bytes that are read, or letters that are encoded, at a time.
+STEP = 8 << 20
+#: White space of Latin-1 beside the blank.
+OTHER_SPACE = "\t\n\x0b\x0c\r\x85\xa0"
 
 
 class IdEncoder:
-    """Ids of texts by the tokenizers library, as little-endian 32-bit integers, asked once per pre-token.
+    """Ids of texts by the tokenizers library, as little-endian 32-bit integers, asked once per chunk.
 
-    In a text of Latin-1 without special tokens, single blanks part chunks that no token crosses;
-    a chunk's pre-tokens are known by the public pattern. Any other text goes to the library whole.
+    In a text of Latin-1 without special tokens, single blanks part chunks that no token crosses.
+    New chunks go to the library as one line, whose ids are told apart by their bytes. Any other
+    text goes there whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,47 +55,85 @@ class IdEncoder:
         self.tokenizer.no_padding()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
-        self.pre_tokens = re.compile(LATIN).findall
-        self.known: dict[str, bytes] = {}  # of pre-tokens
-        self.spaced: dict[str, bytes] = {}  # of chunks after a blank
+        vocab = self.tokenizer.get_vocab()
+        self.size = np.zeros(1 + max(vocab.values()), np.int64)  # bytes of a token: a letter each
+        self.size[list(vocab.values())] = list(map(len, vocab))
+        self.new: dict[str, bytes] = {}  # ids of words, each after a blank
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def of_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def of_pre_tokens(self, words: list[str]) -> bytes:
-        return b"".join(map(self._learned(words).__getitem__, words))
-
-    def _learned(self, words: Iterable[str]) -> dict[str, bytes]:
-        missing = list({w for w in words if w not in self.known})
-        if missing:
-            if len(self.known) + len(missing) > REMEMBERED:
-                self.known = {}
-                missing = list(set(words))
-            self.known.update(zip(missing, self.of_library(missing), strict=True))
-        return self.known
-
-    def encode(self, text: str) -> bytes:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_line(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a blank: in the line of all, a word ends where the bytes of its tokens do."""
+        data = self.of_library([" " + " ".join(words)])[0]
+        sizes = np.fromiter((1 + len(w) if w.isascii() else 1 + len(w.encode()) for w in words), np.int64, len(words))
+        ends = 4 * (np.searchsorted(np.cumsum(self.size[np.frombuffer(data, "<u4")]), np.cumsum(sizes)) + 1)
+        return [data[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def of_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks: those of the word, and those of the marks behind it, which no token joins to letters."""
+        words = [w if (w := c.rstrip(MARKS)).isalpha() else c for c in chunks]
+        self._learn({w for w in words if w not in self.new})
+        found = list(map(self.new.__getitem__, words))
+        for w in [w for w in words if len(w) > LONGEST]:
+            self.new.pop(w, None)
+        if len(self.new) > REMEMBERED // 2:  # this half becomes the old one, and the one before goes
+            self.old, self.new = self.new, {}
+        return [ids if len(w) == len(c) else ids + self._mark(c[len(w):]) for ids, w, c in zip(found, words, chunks, strict=True)]
+
+    def _learn(self, missing: set[str]) -> None:
+        known = {w: ids for w in missing if (ids := self.old.get(w)) is not None}
+        unknown = list(missing.difference(known))
+        self.new.update(known)
+        if unknown:
+            self.new.update(zip(unknown, self.of_line(unknown), strict=True))
+
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > REMEMBERED // 100:
+                self.marks = {}
+            self.marks[marks] = self.of_library([marks])[0]
+        return self.marks[marks]
+
+    def plain(self, text: str) -> bool:
+        """Latin-1, no special token, and no blank beside white space or at an end."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.of_library([text])[0]
-        if self.special(text):
-            return self.of_library([text])[0]
-        if _WIDE.search(text):
-            return self.of_pre_tokens(self.pre_tokens(text))
-        first, *chunks = text.split(" ")
-        found = list(map(self.spaced.get, chunks))
-        if None in found:
-            missing = {c: self.pre_tokens(" " + c) for c, ids in zip(chunks, found, strict=True) if ids is None}
-            known = self._learned([w for words in missing.values() for w in words])
-            new = {c: b"".join(map(known.__getitem__, words)) for c, words in missing.items()}
-            found = [new[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
-            if len(self.spaced) + len(new) > REMEMBERED:
-                self.spaced = {}
-            self.spaced.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST)
-            if any(len(w) > LONGEST for words in missing.values() for w in words):
-                self.known = {w: ids for w, ids in self.known.items() if len(w) <= LONGEST}
-        return self.of_pre_tokens(self.pre_tokens(first)) + b"".join(found)
+            return False
+        return not (self.special(text) or "  " in text or text[:1] == " " or text[-1:] == " "
+                    or any(" " + c in text or c + " " in text for c in OTHER_SPACE))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; texts are taken some at a time."""
+        out: list[bytes] = []
+        first = letters = 0
+        for i, text in enumerate(texts):
+            letters += len(text)
+            if letters > STEP:
+                out += self._encode(texts[first:i])
+                first, letters = i, len(text)
+        return out + self._encode(texts[first:])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Distinct chunks of all texts are looked up once; ids are gathered by their places."""
+        plain = [" " in t and self.plain(t) for t in texts]
+        heads = self.of_library([t[: t.index(" ")] if p else t for t, p in zip(texts, plain, strict=True)])
+        tails = pa.array([t[t.index(" ") + 1:] if p else None for t, p in zip(texts, plain, strict=True)], pa.string())
+        split = pc.split_pattern(tails, " ")
+        coded = split.values.dictionary_encode()
+        if not len(coded):
+            return heads
+        known, place = self.of_chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+        ids = np.frombuffer(b"".join(known), "<u4")
+        count = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start, n = (np.cumsum(count) - count)[place], count[place]
+        upto = np.cumsum(n)
+        flat = ids[np.repeat(start - (upto - n), n) + np.arange(upto[-1])].tobytes()
+        ends = (4 * np.concatenate([[0], upto]))[split.offsets.to_numpy()].tolist()
+        return [head + flat[i:j] for head, i, j in zip(heads, ends[:-1], ends[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -142,8 +182,7 @@ def train_dictionary(docs: DataFrame, path: str, width: int = 2, size: int = 112
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text in b.column(0).to_pylist():
-                data = pack(encoder(path).encode(text))
+            for data in map(pack, encoder(path).encode(b.column(0).to_pylist())):
                 yield pa.RecordBatch.from_arrays([pa.array([data[i: i + piece_bytes] for i in range(0, len(data), piece_bytes)], pa.binary())], ["piece"])
 
     every = max(1, docs.count() // sample_docs)
@@ -198,6 +237,18 @@ class _Writer:
                 "n_docs": len(self.docs), "n_tokens": sum(self.tokens), "n_bytes": self.at}
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of about STEP bytes together, so that a word that repeats is looked up once."""
+    some: list[pa.RecordBatch] = []
+    for b in batches:
+        some.append(b)
+        if sum(x.nbytes for x in some) > STEP:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = None, layout: Layout = Layout(),
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of every document under ``folder`` in ascending id order; the manifest of the files.
@@ -223,11 +274,12 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int | None = None
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, writer, full = encoder(path), None, []
-        for b in batches:
-            writer = writer or _Writer(folder, layout, b.column(0).type)
-            kind = b.column(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                full.append(writer.add(doc, ids.encode(text) + end))
+        for some in _gathered(batches):
+            writer = writer or _Writer(folder, layout, some[0].column(0).type)
+            kind = some[0].column(0).type
+            texts = [t for b in some for t in b.column(1).to_pylist()]
+            for doc, data in zip((d for b in some for d in b.column(0).to_pylist()), ids.encode(texts), strict=True):
+                full.append(writer.add(doc, data + end))
         if writer:
             full = [row for row in [*full, writer.close()] if row]
             types = [pa.int32(), pa.int32(), pa.string(), kind, kind, pa.int64(), pa.int64(), pa.int64()]
