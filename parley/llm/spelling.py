@@ -249,7 +249,8 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     if found is None:
         return vocabulary.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
-    exact = found.join(vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    # both directions read the same positives
+    exact = stored(found).join(vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     there = exact.select("word", "n", "near", "near_n")
     back = exact.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return there.unionByName(back)
