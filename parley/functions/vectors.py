@@ -51,6 +51,19 @@ def unit_scale(similarity: Column) -> Column:
     return (similarity + 1) / 2
 
 
+#: Letters and digits that a label's profile counts.
+PROFILE = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letter_profile(text: Column) -> Column:
+    """A vector of a short label, in the JVM: how often each letter and digit occurs, ignoring case.
+
+    Labels that differ in few letters are near; a text without any of them has no direction.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in PROFILE])
+
+
 def hashing_embedder(dim: int = 384) -> Callable[[list[str]], list[list[float]]]:
     """Default text embedder: signed hashed word counts, scaled to unit length."""
 

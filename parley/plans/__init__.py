@@ -7,6 +7,7 @@ from parley.plans import (  # noqa: F401, I001
     queries_enrich,
     queries_graph,
     queries_retrieve,
+    queries_similar,
     queries_stats,
     queries_streaming,
 )

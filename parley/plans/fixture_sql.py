@@ -129,6 +129,21 @@ SELECT a.discussion_id, a.key AS a, b.key AS b FROM fx_entities a JOIN fx_entiti
 SELECT d.id AS src, d.continuation_of_discussion_id AS dst, (k.id IS NULL) AS stub
 FROM fx_nodes n JOIN fx_discussions d ON d.id = n.id LEFT JOIN fx_nodes k ON k.id = d.continuation_of_discussion_id
 WHERE d.continuation_of_discussion_id IS NOT NULL""",
+    "fx_lvecs": """
+SELECT kind, label, uses, list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789', ''),
+  lambda c: (length(lower(label)) - length(replace(lower(label), c, '')))::DOUBLE) AS vec FROM (
+ SELECT 'topic' AS kind, topic AS label, count(*) AS uses FROM fx_topics GROUP BY topic
+ UNION ALL SELECT 'entity:' || type, key, count(*) FROM fx_entities GROUP BY type, key)""",
+    "fx_llinks": "SELECT a.kind, a.label AS a, b.label AS b FROM fx_lvecs a JOIN fx_lvecs b ON a.kind = b.kind AND a.label <> b.label AND list_cosine_similarity(a.vec, b.vec) >= 0.8",
+    "fx_lreach": """
+SELECT kind, label AS a, label AS b FROM fx_lvecs UNION SELECT r.kind, r.a, l.b FROM fx_lreach r JOIN fx_llinks l ON l.kind = r.kind AND l.a = r.b""",
+    "fx_canon": """
+SELECT kind, label, first_value(label) OVER (PARTITION BY kind, root ORDER BY uses DESC, label) AS canonical, count(*) OVER (PARTITION BY kind, root) AS members
+FROM fx_lvecs JOIN (SELECT kind, a AS label, min(b) AS root FROM fx_lreach GROUP BY 1, 2) USING (kind, label)""",
+    "fx_ctopics": """
+SELECT t.discussion_id, c.canonical AS topic, min(t.pos) AS pos FROM fx_topics t JOIN fx_canon c ON c.kind = 'topic' AND c.label = t.topic GROUP BY 1, 2""",
+    "fx_centities": """
+SELECT e.discussion_id, c.canonical AS key, count(*) AS merged FROM fx_entities e JOIN fx_canon c ON c.kind = 'entity:' || e.type AND c.label = e.key GROUP BY 1, 2""",
     "fx_tnodes": "SELECT topic AS name, count(DISTINCT discussion_id) AS discussion_count, min(started_at) AS created_at FROM fx_topics JOIN fx_times USING (discussion_id) GROUP BY 1",
     "fx_enodes": """
 SELECT key, arg_min(name, (started_at, discussion_id)) AS name, arg_min(type, (started_at, discussion_id)) AS type,
