@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import iso
 from parley.functions.vectors import letter_profile
+from parley.operators import continuation as C
 from parley.operators import graph as G
 from parley.operators import similar as M
 from parley.operators.linked import components
@@ -81,3 +82,47 @@ SELECT a.topic AS src, b.topic AS dst, count(*) AS count, {sql_iso('max(t.starte
 FROM fx_ctopics a JOIN fx_ctopics b ON a.discussion_id = b.discussion_id AND a.topic < b.topic JOIN fx_times t ON t.discussion_id = a.discussion_id GROUP BY 1, 2""")
 def edges_topic_cooccurs_canonical(fx):
     return _graph(fx)["edges_topic_cooccurs"].withColumn("last_seen_at", iso(F.col("last_seen_at")))
+
+
+_SEMANTIC = """
+SELECT src, dst, score FROM (
+ SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.embedding, b.embedding) AS score, b.started_at
+ FROM fx_nodes a JOIN fx_discussions ad ON ad.id = a.id JOIN fx_nodes b ON a.channel_id = b.channel_id JOIN fx_discussions bd ON bd.id = b.id
+ WHERE (b.started_at, b.id) < (a.started_at, a.id) AND b.started_at >= a.started_at - INTERVAL 14 DAY
+  AND ad.continuation_of_discussion_id IS DISTINCT FROM b.id AND bd.continuation_of_discussion_id IS DISTINCT FROM a.id
+  AND list_cosine_similarity(a.embedding, b.embedding) >= 0.25)
+QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, started_at DESC, dst) <= 3"""
+
+
+def _semantic(fx):
+    links = fx.discussions.select("id", "continuation_of_discussion_id")
+    return C.semantic_continuations(fx.nodes.join(links, "id"), theta=0.25, lookback_days=14, top_k=3, block=32)
+
+
+@query("semantic_continuations", f"SELECT src, dst, 'semantic_similarity' AS reason, round(score, 6) AS similarity_score FROM ({_SEMANTIC})")
+def semantic_continuations(fx):
+    """Up to three similar earlier discussions of the channel, within 14 days, not linked yet."""
+    return _semantic(fx).withColumn("similarity_score", F.round("similarity_score", 6))
+
+
+@query("edges_continuation_all", f"""
+SELECT src, dst, 'explicit_reply' AS reason, NULL::DOUBLE AS similarity_score, stub FROM fx_cont
+UNION ALL SELECT src, dst, 'semantic_similarity', round(score, 6), false FROM ({_SEMANTIC})""")
+def edges_continuation_all(fx):
+    """Explicit and semantic continuation edges of the graph."""
+    edges = C.with_semantic(fx.graph["edges_continuation_of"], _semantic(fx), fx.nodes)
+    return edges.select("src", "dst", "reason", F.round("similarity_score", 6).alias("similarity_score"), "stub")
+
+
+_NAMED = "SELECT DISTINCT id, author_id AS src, unnest(mentions) AS dst, created_at FROM fx_slim"
+
+
+@query("edges_mentions_user", f"""
+SELECT src, dst, count(*) AS count, {sql_iso('min(created_at)')} AS first_mentioned_at, {sql_iso('max(created_at)')} AS last_mentioned_at
+FROM ({_NAMED}) WHERE dst IS NOT NULL AND dst <> src GROUP BY 1, 2""")
+def edges_mentions_user(fx):
+    """Users who mention users, merged from the messages of two halves of the time."""
+    half = F.expr("timestamp '2024-01-15'")
+    old, new = (C.edges_mentions_user(fx.slim_messages.where(c)) for c in (F.col("created_at") < half, F.col("created_at") >= half))
+    return C.merge_mentions_user(old, new).select(
+        "src", "dst", "count", iso(F.col("first_mentioned_at")).alias("first_mentioned_at"), iso(F.col("last_mentioned_at")).alias("last_mentioned_at"))

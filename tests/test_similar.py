@@ -94,8 +94,10 @@ def test_facts_are_keyed_anew(spark):
     facts = {
         "discussions": spark.sql("select id, 'c' as channel_id, timestamp '2024-01-01' as started_at, timestamp '2024-01-02' as ended_at, array('A', 'b', 'a1') as topics "
                                  "from values ('d1'), ('d2') as t(id)"),
-        "participants": spark.createDataFrame([("d1", "u", None, None, None, None, 3, 2)], "discussion_id string, author_id string, username string, display_name string, "
-                                              "first_seen_at timestamp, last_seen_at timestamp, user_message_count long, message_count long"),
+        "participants": spark.createDataFrame(
+            [("d1", "u", None, None, None, None, 3, 2, None, None)],
+            "discussion_id string, author_id string, username string, display_name string, first_seen_at timestamp, last_seen_at timestamp, "
+            "user_message_count long, message_count long, first_message_at timestamp, last_message_at timestamp"),
         "topics": spark.createDataFrame([("d1", 0, "A"), ("d1", 1, "b"), ("d1", 2, "a1"), ("d2", 0, "a1")], "discussion_id string, pos int, topic string"),
         "entities": spark.createDataFrame([("d1", 0, "p:x", "X", "p"), ("d2", 0, "p:xx", "XX", "p")], "discussion_id string, pos int, key string, name string, type string"),
         "links": spark.createDataFrame([], "id string, continuation_of_discussion_id string, continuation_reason string"),
