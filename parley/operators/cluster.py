@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators.ordered import chase, scan
+from parley.operators.ordered import chase, row_index, scan
 from parley.operators.segment import ORDER, gap_runs
 from parley.schemas import DEFAULTS
 from parley.session import cut
 
 CHAIN = ["channel_id", "block_no", "epoch"]
-_FOLD_SCHEMA = "channel_id string, block_no bigint, id string, root_id string"
+_FOLD_INPUT = [*CHAIN, "ordinal", "ms", "id", "author_id", "mentions", "vec", "members", "authors"]
+_FOLD_SCHEMA = ("channel_id string, block_no bigint, epoch bigint, id string, root_id string, ordinal int, centroid array<float>, "
+                "members bigint, last_ms bigint, authors array<string>")
 
 
 class ActiveClusters:
@@ -91,25 +93,35 @@ class ActiveClusters:
                  sorted(self.people[i])) for i, r in enumerate(self.roots)]
 
 
-def _fold(*settings):
-    """Task kernel: a sorted stream of chains of messages.
+def _fold(slice_rows: int, *settings):
+    """Task kernel: a sorted stream of slices of chains, each led by the clusters active before it.
 
-    Only the clusters of the current chain are held, whatever the length of the
-    chain or the number of chains in the task.
+    Only the active clusters of the current chain are held. A full slice passes its active
+    clusters on as rows without an id.
     """
 
+    def state_rows(key: tuple, active: ActiveClusters) -> list[tuple]:
+        return [(*key, None, root, i, vec, members, last_ms, authors)
+                for i, (root, vec, members, last_ms, authors) in enumerate(active.rows())]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
+        key, active, seen = None, None, 0
+        names = [c.split()[0] for c in _FOLD_SCHEMA.split(", ")]
         for pdf in frames:
             out = []
-            for ch, block, epoch, ms, mid, author, mentions, vec in zip(
-                pdf["channel_id"], pdf["block_no"], pdf["epoch"], pdf["ms"], pdf["id"], pdf["author_id"],
-                pdf["mentions"], pdf["vec"], strict=True,
-            ):
-                if (ch, block, epoch) != key:
-                    key, state = (ch, block, epoch), ActiveClusters(*settings)
-                out.append((ch, block, mid, state.place(mid, ms, author, mentions, vec)))
-            yield pd.DataFrame(out, columns=["channel_id", "block_no", "id", "root_id"])
+            for *at, ordinal, ms, mid, author, mentions, vec, members, authors in pdf[_FOLD_INPUT].itertuples(index=False, name=None):
+                if tuple(at) != key:
+                    if seen == slice_rows:
+                        out += state_rows(key, active)
+                    key, active, seen = tuple(at), ActiveClusters(*settings), 0
+                if ordinal >= 0:
+                    active.add(mid, np.asarray(vec, dtype=np.float32), members, ms, authors)
+                    continue
+                seen += 1
+                out.append((*key, mid, active.place(mid, ms, author, mentions, vec), None, None, None, None, None))
+            yield pd.DataFrame(out, columns=names)
+        if seen == slice_rows:
+            yield pd.DataFrame(state_rows(key, active), columns=names)
 
     return run
 
@@ -120,6 +132,7 @@ def subcluster(
     idle_minutes: float = DEFAULTS["idle_minutes"],
     author_bonus: float = DEFAULTS["author_bonus"],
     mention_bonus: float = DEFAULTS["mention_bonus"],
+    slice_rows: int = 200_000,
 ) -> DataFrame:
     """Assign each long message to an online sub-cluster of its block.
 
@@ -130,17 +143,46 @@ def subcluster(
 
     The fold is sequential by definition, but a silence longer than
     ``idle_minutes`` retires every cluster, so a block falls into independent
-    epochs, which run in parallel. A task streams sorted rows and holds the active
-    clusters of one epoch only, whatever the length of the epoch.
+    epochs, which run in parallel. An epoch is cut into slices of ``slice_rows``
+    messages. All first slices are folded at once, then all second ones, and so
+    on; between them the active clusters of unfinished epochs lie in a
+    checkpointed table. So a task never sees more of one epoch than a slice and
+    its active clusters, and a lost executor repeats slices, not epochs. A run
+    takes as many rounds as the longest epoch has slices.
 
     Returns channel_id, block_no, id, root_id (first message of the cluster).
     """
-    keyed = gap_runs(
-        blocks_with_vec, ["channel_id", "block_no"], int(idle_minutes * 60_000), "epoch"
-    ).select(*CHAIN, F.unix_millis("created_at").alias("ms"), "id", "author_id", "mentions", "vec")
-    kernel = _fold(tau, int(idle_minutes * 60_000), author_bonus, mention_bonus)
-    streamed = keyed.repartition(*[F.col(c) for c in CHAIN]).sortWithinPartitions(*CHAIN, "ms", "id")
-    return streamed.mapInPandas(kernel, _FOLD_SCHEMA)
+    idle_ms = int(idle_minutes * 60_000)
+    kernel = _fold(slice_rows, tau, idle_ms, author_bonus, mention_bonus)
+    keyed = gap_runs(blocks_with_vec, ["channel_id", "block_no"], idle_ms, "epoch").select(
+        *CHAIN, F.unix_millis("created_at").alias("ms"), "id", "author_id", "mentions", "vec")
+    longest = keyed.groupBy(*CHAIN).count().agg(F.max("count")).first()[0] or 0
+    rounds = max(1, -(-longest // slice_rows))
+    if rounds > 1:
+        # positions are found on narrow rows; what a message carries is read again in its round
+        place = row_index(keyed.select(*CHAIN, "ms", "id"), CHAIN, ["ms", "id"], "_pos").select(
+            "id", F.floor((F.col("_pos") - 1) / slice_rows).alias("_slice"))
+        keyed = cut(keyed.join(place, "id"))
+    found: DataFrame | None = None
+    state: DataFrame | None = None
+    for k in range(rounds):
+        rows = keyed if rounds == 1 else keyed.filter(F.col("_slice") == k)
+        rows = rows.select(*CHAIN, F.lit(-1).alias("ordinal"), "ms", "id", "author_id", "mentions", F.col("vec").cast("array<float>").alias("vec"),
+                           F.lit(0).cast("bigint").alias("members"), F.lit(None).cast("array<string>").alias("authors"))
+        if state is not None:
+            going = rows.select(*CHAIN).distinct()
+            rows = rows.unionByName(state.join(going, CHAIN, "left_semi"))
+        before = F.when(F.col("ordinal") >= 0, 0).otherwise(1)
+        streamed = rows.repartition(*[F.col(c) for c in CHAIN]).sortWithinPartitions(*CHAIN, before, "ordinal", "ms", "id")
+        folded = streamed.mapInPandas(kernel, _FOLD_SCHEMA)
+        if rounds > 1:
+            folded = cut(folded)
+            state = folded.filter("id is null").select(
+                *CHAIN, "ordinal", F.col("last_ms").alias("ms"), F.col("root_id").alias("id"), F.lit(None).cast("string").alias("author_id"),
+                F.lit(None).cast("array<string>").alias("mentions"), F.col("centroid").alias("vec"), "members", "authors")
+        placed = folded.filter("id is not null").select("channel_id", "block_no", "id", "root_id")
+        found = placed if found is None else found.unionByName(placed)
+    return found
 
 
 def centroids(members: DataFrame, dim: int, key: str = "root_id") -> DataFrame:

@@ -13,6 +13,7 @@ from parley.operators.listing import discussion_bundle, discussion_listing
 from parley.plans.fixture_sql import iso as sql_iso
 from parley.plans.fixtures import DIM, NOW, TAU, WORD_LIMIT
 from parley.plans.registry import query
+from parley.schemas import DEFAULTS
 from parley.session import cut
 
 
@@ -81,7 +82,36 @@ def _found(fx):
     return C.subcluster(longs.join(fx.vectors, "id"), TAU, fx.idle)
 
 
-@query("subcluster")
+def online_sql(rows: str, chain: str, tau: float) -> str:
+    """The fold as a recursion: step p places the p-th message of every chain.
+
+    ``rows`` has the chain's columns, id, author_id, mentions, created_at and vec. A centroid is
+    kept in single precision, as the state of the fold is.
+    """
+    names = chain.split(", ")
+    same = " AND ".join(f"m.{c} = g.{c}" for c in names)
+    return f"""
+WITH RECURSIVE msg AS (SELECT *, epoch_ms(created_at) AS ms, row_number() OVER (PARTITION BY {chain} ORDER BY created_at, id) AS p,
+  (SELECT least(30, greatest(1, 300000 // count(*))) * 30000 FROM events) AS idle FROM ({rows})),
+go AS (
+  SELECT {chain}, p, id, id AS root_id, [{{'root': id, 'cent': vec, 'k': 1::BIGINT, 'last': ms, 'who': [author_id]}}] AS cl FROM msg WHERE p = 1
+  UNION ALL
+  SELECT {chain}, p, id, CASE WHEN top >= {tau} THEN alive[best].root ELSE id END,
+    CASE WHEN top >= {tau} THEN list_transform(alive, lambda c, i: CASE WHEN i <> best THEN c ELSE {{'root': c.root,
+        'cent': list_transform(list_zip(c.cent, vec), lambda x: ((x[1] * c.k + x[2]) / (c.k + 1))::FLOAT::DOUBLE), 'k': c.k + 1, 'last': ms,
+        'who': CASE WHEN list_contains(c.who, author_id) THEN c.who ELSE list_append(c.who, author_id) END}} END)
+      ELSE list_append(alive, {{'root': id, 'cent': vec, 'k': 1::BIGINT, 'last': ms, 'who': [author_id]}}) END
+  FROM (SELECT *, list_max(score) AS top, list_position(score, list_max(score)) AS best FROM (
+    SELECT *, list_transform(alive, lambda c: list_dot_product(c.cent, vec) + CASE WHEN list_contains(c.who, author_id) THEN {DEFAULTS['author_bonus']} ELSE 0 END
+        + CASE WHEN list_has_any(c.who, coalesce(mentions, [])) THEN {DEFAULTS['mention_bonus']} ELSE 0 END) AS score FROM (
+      SELECT {", ".join("m." + c for c in names)}, m.p, m.id, m.author_id, m.mentions, m.vec, m.ms, list_filter(g.cl, lambda c: m.ms - c.last <= m.idle) AS alive
+      FROM go g JOIN msg m ON {same} AND m.p = g.p + 1))))
+SELECT {chain}, id, root_id FROM go"""
+
+
+@query("subcluster", online_sql(
+    f"SELECT b.channel_id, b.block_no, b.id, b.author_id, b.mentions, b.created_at, v.vec FROM fx_blocks b JOIN fx_vectors v USING (id) "
+    f"WHERE b.closed AND b.word_count >= {WORD_LIMIT}", "channel_id, block_no", TAU))
 def subcluster(fx):
     """Online clustering of all long messages."""
     return _found(fx)

@@ -10,6 +10,7 @@ from parley.functions.vectors import hashing_embedder
 from parley.plans.fixture_sql import iso as sql_iso
 from parley.plans.fixtures import DIM, NOW, TAU, WORD_LIMIT
 from parley.plans.queries_ingest import work_dir
+from parley.plans.queries_cluster import online_sql
 from parley.plans.registry import query
 from parley.plans.run import default_stages, load_graph, staged_run
 from parley.session import cut
@@ -141,7 +142,9 @@ def funnel_stream(fx):
     return ticks.filter(F.col("epoch") == last).drop("epoch")
 
 
-@query("stream_subclusters")
+@query("stream_subclusters", online_sql(
+    f"SELECT m.channel_id, m.id, m.author_id, m.mentions, m.created_at, v.vec FROM fx_messages m JOIN fx_vectors v USING (id) WHERE m.word_count >= {WORD_LIMIT}",
+    "channel_id", TAU))
 def stream_subclusters(fx):
     """Online clustering of the message stream, state kept between micro-batches."""
     rows = fx.messages.filter(f"word_count >= {WORD_LIMIT}").select(

@@ -52,13 +52,41 @@ def slow(rows, tau, idle_min):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_subcluster_equals_slow_one(spark, seed):
-    rows = make(300, seed)
-    got = subcluster(spark.createDataFrame(rows, COLS), 0.6, 15).collect()
+@pytest.mark.parametrize(("seed", "slice_rows"), [(1, 200_000), (2, 200_000), (3, 200_000), (1, 7), (2, 40), (3, 1)])
+def test_subcluster_equals_slow_one(spark, seed, slice_rows):
+    """Also when an epoch is folded in slices, whose active clusters are carried on."""
+    rows = make(300 if slice_rows > 1 else 60, seed)
+    got = subcluster(spark.createDataFrame(rows, COLS), 0.6, 15, slice_rows=slice_rows).collect()
+    assert len(got) == len(rows)
     assert {r["id"]: r["root_id"] for r in got} == slow(rows, 0.6, 15)
 
 
+def test_a_longer_epoch_needs_no_larger_task(spark, monkeypatch):
+    """Rows of the largest group that one task folds, for an epoch and for one of ten times its rows."""
+    from parley.operators import cluster as C
+
+    def largest(n):
+        seen = []
+
+        def watched(df, real=C.cut):
+            out = real(df)
+            seen.append(out)
+            return out
+
+        monkeypatch.setattr(C, "cut", watched)
+        subcluster(spark.createDataFrame(make(n, 5, step=20), COLS), 0.6, 15, slice_rows=25).count()
+        monkeypatch.undo()
+        folded = [x for x in seen if "last_ms" in x.columns]
+        return max(x.groupBy("channel_id", "block_no", "epoch").agg(F.count("id").alias("n")).agg(F.max("n")).first()[0] for x in folded), len(folded)
+
+    (small, few), (large, many) = largest(40), largest(200)
+    assert small <= 25 and large <= 25 and many > few
+
+
+def test_no_messages_no_clusters(spark):
+    assert subcluster(spark.createDataFrame([], COLS)).count() == 0
+
+
 def messages(n, seed, replies=True):
     rng = random.Random(seed)
     rows, t = [], T0
