@@ -166,33 +166,46 @@ def funnel_stream(messages: DataFrame) -> DataFrame:
 
 
 def stream_subclusters(
-    messages: DataFrame, tau: float = DEFAULTS["tau"], idle_minutes: float = DEFAULTS["idle_minutes"],
+    messages: DataFrame, tau: float = DEFAULTS["tau"], idle_minutes: float = DEFAULTS["idle_minutes"], keep_hours: float | None = None,
 ) -> DataFrame:
     """Online clustering of a stream of long messages, state kept per channel.
 
     Input: channel_id, id, author_id, mentions, created_at, vec, in time order within a
     channel over micro-batches. A silence longer than ``idle_minutes`` retires all clusters,
     so blocks need no marker. Every row gets a cluster, however far its channel is behind
-    others: there is no watermark. State holds a channel's active clusters only, and stays,
-    since only the channel's own next message tells how long it was silent. The size of a
-    micro-batch, set at the source, bounds what one task sees.
+    others: there is no watermark. State holds a channel's active clusters only. With
+    ``keep_hours`` a channel that sent nothing for so long, by processing time, leaves the state;
+    should it go on within ``idle_minutes`` of its own time after that, its next message opens a
+    new cluster, and only then does the result differ from the batch form. With such a timer Spark
+    runs micro-batches without end, so it is for triggers by time, not for ``availableNow``. The
+    size of a micro-batch, set at the source, bounds what one task sees.
     """
     settings = (tau, int(idle_minutes * 60_000), DEFAULTS["author_bonus"], DEFAULTS["mention_bonus"])
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         active = ActiveClusters(*settings)
         for root, vec, members, last_ms, authors in json.loads(state.get[0]) if state.exists else []:
             active.add(root, np.asarray(vec, dtype=np.float32), members, last_ms, authors)
-        batch = pd.concat(list(frames)).sort_values(["ms", "id"])
-        roots = [active.place(*row) for row in batch[["id", "ms", "author_id", "mentions", "vec"]].itertuples(
-            index=False, name=None)]
+        # the rows of a channel come in any order: tuples are sorted, frames are let go one by one
+        batch: list[tuple] = []
+        for frame in frames:
+            batch += frame[["ms", "id", "author_id", "mentions", "vec"]].itertuples(index=False, name=None)
+        batch.sort(key=lambda r: r[:2])
+        for at in range(0, len(batch), 1000):
+            some = batch[at: at + 1000]
+            roots = [active.place(mid, ms, author, mentions, vec) for ms, mid, author, mentions, vec in some]
+            yield pd.DataFrame({"channel_id": key[0], "id": [r[1] for r in some], "root_id": roots})
         state.update((json.dumps(active.rows()),))
-        yield pd.DataFrame({"channel_id": key[0], "id": batch["id"].to_numpy(), "root_id": roots})
+        if keep_hours is not None:
+            state.setTimeoutDuration(max(1, int(keep_hours * 3_600_000)))
 
     # no event-time timer: with one, Spark takes away rows behind the watermark of all channels
     rows = messages.select("channel_id", "id", "author_id", "mentions", F.unix_millis("created_at").alias("ms"), "vec")
     return rows.groupBy("channel_id").applyInPandasWithState(
-        run, "channel_id string, id string, root_id string", "clusters string", "append", "NoTimeout")
+        run, "channel_id string, id string, root_id string", "clusters string", "append", "NoTimeout" if keep_hours is None else "ProcessingTimeTimeout")
 
 
 def extend_threads(threads: DataFrame, known: DataFrame) -> DataFrame:

@@ -20,9 +20,9 @@ def test_every_text_is_met(spark, sf):
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_every_document_is_in_a_summary(spark, sf):
     fx = Fx(spark, f"/root/testdata/{sf}")
-    wanted = fx.table("documents").agg(F.sum(F.length("text"))).first()[0]
+    wanted = fx.table("documents").select("text").distinct().agg(F.sum(F.length("text"))).first()[0]
     talks = fx.enrichment.select("summary").distinct().agg(F.sum(F.length("summary"))).first()[0]
-    assert talks >= wanted
+    assert talks >= wanted  # equal texts may share a summary of their own
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
