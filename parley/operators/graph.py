@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions.text import normalize_label
 from parley.operators.ingest import as_ts, upsert
 from parley.operators.ordered import row_index
+from parley.session import cut
 
 NODE_TABLES = ["nodes_discussion", "nodes_channel", "nodes_guild", "nodes_user", "nodes_topic", "nodes_entity"]
 EDGE_TABLES = [
@@ -263,6 +264,71 @@ def merge_graph(
     return facts, build_graph(facts, channels, guilds)
 
 
+#: Key columns of each graph table; tables of discussions are keyed by the discussion alone.
+GRAPH_KEY = {
+    "nodes_discussion": ["id"], "nodes_channel": ["id"], "nodes_guild": ["id"], "nodes_user": ["id"], "nodes_topic": ["name"],
+    "nodes_entity": ["key"], "edges_occurred_in": ["src"], "edges_in_guild": ["src", "dst"], "edges_participated_in": ["dst"],
+    "edges_discusses": ["src"], "edges_mentions": ["src"], "edges_topic_cooccurs": ["src", "dst"],
+    "edges_entity_cooccurs": ["src", "dst"], "edges_interested_in": ["src", "dst"], "edges_continuation_of": ["src"],
+}
+
+
+def touched_keys(
+    old: dict[str, DataFrame], new: dict[str, DataFrame], channels: DataFrame, guilds: DataFrame
+) -> dict[str, DataFrame]:
+    """Per graph table the keys that the discussions in ``new`` have now or had in ``old``.
+
+    The graph of the changed discussions alone, before and after, has exactly these keys. A
+    continuation edge is also touched when its target is written for the first time.
+    """
+    ids = new["discussions"].select("id").unionByName(new["links"].select("id")).distinct()
+    had = {n: old[n].join(ids.select(F.col("id").alias(k)), k, "left_semi") for n, k in FACT_KEY.items()}
+    before, after = build_graph(had, channels, guilds), build_graph(new, channels, guilds)
+    out = {t: before[t].select(*k).unionByName(after[t].select(*k)).distinct() for t, k in GRAPH_KEY.items()}
+    waiting = old["links"].join(ids.select(F.col("id").alias("continuation_of_discussion_id")), "continuation_of_discussion_id", "left_semi")
+    changed = {t: ids.select(F.col("id").alias(k[0])) for t, k in GRAPH_KEY.items() if t in (
+        "nodes_discussion", "edges_occurred_in", "edges_participated_in", "edges_discusses", "edges_mentions")}
+    links = ids.select(F.col("id").alias("src")).unionByName(waiting.select(F.col("id").alias("src"))).distinct()
+    return {**out, **changed, "edges_continuation_of": links}
+
+
+def merge_touched(
+    old: dict[str, DataFrame], graph: dict[str, DataFrame], new: dict[str, DataFrame], channels: DataFrame, guilds: DataFrame,
+    tables: list[str] | None = None,
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, DataFrame]]:
+    """Merge new facts into an existing graph by touched keys: (facts, graph, rewritten rows per table).
+
+    ``tables`` names the tables to merge, all by default.
+
+    Only rows of touched keys are taken out of a table and put back, derived anew from all
+    discussions that hold them; every other row passes as it is. Facts are cut to touched labels,
+    users and discussions before anything is joined or paired, so the work follows the delta and
+    the discussions that share a key with it. The result equals a rebuild.
+    """
+    chosen = {t: k for t, k in GRAPH_KEY.items() if tables is None or t in tables}
+    needed = {*chosen, "nodes_topic", "nodes_entity", "nodes_user", "edges_continuation_of"}
+    touched = {t: cut(k) for t, k in touched_keys(old, new, channels, guilds).items() if t in needed}
+    facts = merge_facts(old, new)
+
+    def holding(name: str, column: str, table: str, key: str) -> DataFrame:
+        return facts[name].join(touched[table].select(F.col(key).alias(column)), column, "left_semi").select(*facts[name].columns)
+
+    near = {
+        "discussions": facts["discussions"], "topics": holding("topics", "topic", "nodes_topic", "name"),
+        "entities": holding("entities", "key", "nodes_entity", "key"), "participants": holding("participants", "author_id", "nodes_user", "id"),
+        "links": holding("links", "id", "edges_continuation_of", "src"),
+    }
+    by_label = build_graph(near, channels, guilds)
+    by_id = build_graph({**near, **{n: new[n] for n in ("topics", "entities", "participants")}}, channels, guilds)
+    own = {"edges_participated_in", "edges_discusses", "edges_mentions"}  # rows of the changed discussions alone
+    rewritten = {}
+    for table, key in chosen.items():
+        source = by_id if table in own else by_label
+        rewritten[table] = cut(source[table].join(touched[table], key, "left_semi").select(*graph[table].columns))
+    merged = {t: graph[t].join(touched[t], k, "left_anti").select(*graph[t].columns).unionByName(rewritten[t]) for t, k in chosen.items()}
+    return facts, merged, rewritten
+
+
 def mark_written(state: dict[str, DataFrame], written: DataFrame) -> dict[str, DataFrame]:
     """Discussions in ``written`` (column id) become written, their messages state 3."""
     d, m = state["discussions"], state["messages"]

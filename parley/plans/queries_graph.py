@@ -9,7 +9,7 @@ from parley.functions.text import iso
 from parley.operators import graph as G
 from parley.operators import graph_reads as R
 from parley.plans.fixture_sql import iso as sql_iso
-from parley.plans.fixtures import DIM
+from parley.plans.fixtures import DIM, Stored
 from parley.plans.registry import query
 
 
@@ -147,11 +147,45 @@ SELECT topic AS name, count(DISTINCT discussion_id) AS discussion_count FROM (
  SELECT t.discussion_id, CASE WHEN d.status = 'written' THEN 'new ' || t.topic ELSE t.topic END AS topic FROM fx_topics t JOIN fx_discussions d ON d.id = t.discussion_id) GROUP BY 1""")
 def merge_graph(fx):
     """Rewriting the written discussions with other topics replaces their old counts."""
+    _, graph = G.merge_graph(fx.facts, _again(fx), fx.channels, fx.guilds)
+    return graph["nodes_topic"].select("name", "discussion_count")
+
+
+def _again(fx):
+    """Facts of the written discussions, with other topics."""
     again = fx.enrichment.join(fx.ready.filter("status = 'written'").select(F.col("id").alias("discussion_id")), "discussion_id", "left_semi")
     again = again.withColumn("topics", F.expr("transform(filter(topics, t -> t <> ''), t -> concat('new ', t))"))
-    new = G.discussion_facts(fx.ready.filter("status = 'written'"), again, fx.members, fx.users, DIM)
-    _, graph = G.merge_graph(fx.facts, new, fx.channels, fx.guilds)
-    return graph["nodes_topic"].select("name", "discussion_count")
+    return G.discussion_facts(fx.ready.filter("status = 'written'"), again, fx.members, fx.users, DIM)
+
+
+_RETOLD = """
+WITH t AS (SELECT t.discussion_id, CASE WHEN d.status = 'written' THEN 'new ' || t.topic ELSE t.topic END AS topic
+ FROM fx_topics t JOIN fx_discussions d ON d.id = t.discussion_id)"""
+
+
+def _touched(fx, table):
+    return G.merge_touched(Stored(fx.facts), fx.stored_graph, Stored(_again(fx)), fx.channels, fx.guilds, [table])[1][table]
+
+
+@query("merge_touched", f"{_RETOLD} SELECT topic AS name, count(DISTINCT discussion_id) AS discussion_count FROM t GROUP BY 1")
+def merge_touched(fx):
+    """The same by touched keys: topic nodes of a graph that is not built again."""
+    return _touched(fx, "nodes_topic").select("name", "discussion_count")
+
+
+@query("merge_touched_interests", f"""{_RETOLD}
+SELECT p.author_id AS src, t.topic AS dst, sum(p.message_count)::BIGINT AS weight, count(*) AS discussion_count
+FROM fx_parts p JOIN t ON t.discussion_id = p.discussion_id GROUP BY 1, 2""")
+def merge_touched_interests(fx):
+    """Interests after the merge by touched keys."""
+    return _touched(fx, "edges_interested_in").select("src", "dst", "weight", "discussion_count")
+
+
+@query("merge_touched_cooccurs", f"""{_RETOLD}
+SELECT a.topic AS src, b.topic AS dst, count(*) AS count FROM t a JOIN t b ON a.discussion_id = b.discussion_id AND a.topic < b.topic GROUP BY 1, 2""")
+def merge_touched_cooccurs(fx):
+    """Topic pairs after the merge by touched keys."""
+    return _touched(fx, "edges_topic_cooccurs").select("src", "dst", "count")
 
 
 @query("mark_written", """
