@@ -89,7 +89,7 @@ def clip(c: Column, limit: int | None = None) -> Column:
     if limit is None:
         return c
     note = F.concat(
-        F.lit("\n… [zkráceno, "), F.length(c).cast("string"), F.lit(" znaků]")
+        F.lit("\n… [cut, "), F.length(c).cast("string"), F.lit(" characters in all]")
     )
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), note)).otherwise(c)
 

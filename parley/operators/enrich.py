@@ -86,16 +86,15 @@ def render_prompts(msgs: DataFrame, max_messages: int = DEFAULTS["max_messages_p
     totals = msgs.groupBy("discussion_id").agg(F.count("*").alias("messages"))
     parts = F.ceil(F.col("messages") / F.lit(max_messages)).cast("string")
     header = F.when(F.col("messages") > max_messages, F.concat(
-        F.lit("Část "), F.col("part").cast("string"), F.lit(" z "), parts, F.lit(" jedné diskuze ("),
+        F.lit("Part "), F.col("part").cast("string"), F.lit(" of "), parts, F.lit(" of one discussion ("),
         F.col("messages").cast("string"), F.lit(" "), messages_word(F.col("messages")), F.lit(").\n\n"))).otherwise(F.lit(""))
     return bodies.join(totals, "discussion_id").select(
         "discussion_id", "part", "messages", F.concat(header, "body").alias("prompt"))
 
 
 def messages_word(n: Column) -> Column:
-    """Czech plural of the word for message."""
-    return F.when(n == 1, F.lit("zpráva")).when((n >= 2) & (n <= 4), F.lit("zprávy")).otherwise(
-        F.lit("zpráv"))
+    """The word for a number of messages."""
+    return F.when(n == 1, F.lit("message")).otherwise(F.lit("messages"))
 
 
 def render_batch_prompts(
@@ -119,16 +118,16 @@ def render_batch_prompts(
     n = F.col("total").cast("string")
     head = F.concat(F.lit("=== CLUSTER c"), F.col("label_no").cast("string"), F.lit(" · "), n,
                     F.lit(" "), messages_word(F.col("total")), F.lit(" ==="))
-    over = F.lit(" vynecháno kvůli limitu délky)")
+    over = F.lit(" not shown, the call is full)")
     none = F.concat(head, F.lit("\n("), n, F.lit(" "), messages_word(F.col("total")), over)
-    note = F.when(hidden > 0, F.concat(F.lit("\n(zbývajících "), hidden.cast("string"), F.lit(" "),
+    note = F.when(hidden > 0, F.concat(F.lit("\n(another "), hidden.cast("string"), F.lit(" "),
                                        messages_word(hidden), over)).otherwise(F.lit(""))
     block = F.when(F.col("shown") == 0, none).otherwise(F.concat(head, F.lit("\n"), "body", note))
     blocks = shown.join(bodies, ["batch_id", "label_no"], "left").withColumn("block", block)
     ordered = F.array_sort(F.collect_list(F.struct("label_no", "block")))
     text = F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n")
-    intro = F.concat(F.lit("Níže je "), F.count("*").cast("string"), F.lit(
-        ' nezávislých clusterů. Zpracuj každý zvlášť a u každého segmentu vyplň "source_cluster".\n\n'))
+    intro = F.concat(F.lit("This call holds "), F.count("*").cast("string"), F.lit(
+        ' separate clusters. Judge each by itself, and give its mark as "source_cluster" with every segment.\n\n'))
     return blocks.groupBy("batch_id").agg(
         F.count("*").alias("discussions"), F.sum("total").alias("messages"),
         F.concat(intro, text).alias("prompt"))

@@ -411,15 +411,15 @@ FROM fx_members m JOIN (SELECT id, {one_line('content')} AS t FROM fx_messages)
 WHERE m.discussion_id IN (SELECT id FROM fx_evid WHERE evidence_rank <= 4) QUALIFY rn <= 40"""
 CTES["fx_blocktext"] = f"""
 SELECT b.*, ceil(length(lean) / 3.4)::BIGINT AS lean_tokens, ceil(length(full_text) / 3.4)::BIGINT AS full_tokens FROM (
- SELECT z.*, CASE WHEN z.evidence_rank <= 4 AND s.raw IS NOT NULL THEN lean || chr(10) || 'ukázky zpráv:' || chr(10) || s.raw ELSE lean END AS full_text FROM (
+ SELECT z.*, CASE WHEN z.evidence_rank <= 4 AND s.raw IS NOT NULL THEN lean || chr(10) || 'some messages:' || chr(10) || s.raw ELSE lean END AS full_text FROM (
   SELECT v.question_id, v.id, v.evidence_rank, v.title, v.discussion_type, v.sentiment, v.started_at, v.score, c.channel_name, concat_ws(chr(10),
    '[D' || v.evidence_rank || '] "' || v.title || '"',
-   'kanál: ' || coalesce('#' || c.channel_name, '?') || ' · začátek: ' || {iso('v.started_at')} || ' · typ: ' || v.discussion_type || ' · sentiment: ' || v.sentiment ||
-   ' · vyřešeno: ' || CASE WHEN v.resolved THEN 'ano' WHEN NOT v.resolved THEN 'ne' ELSE '–' END,
-   'účastníci: ' || array_to_string(list_transform(c.people, lambda p: p.n || ' (' || p.c || ')'), ', '),
-   CASE WHEN v.summary <> '' THEN 'shrnutí: ' || v.summary END,
-   'klíčové body:' || chr(10) || array_to_string(list_transform(e.key_points, lambda k: '- ' || k), chr(10)),
-   'témata: ' || array_to_string(c.topics, ', '), 'entity: ' || array_to_string(c.ents, ', ')) AS lean
+   'in ' || coalesce('#' || c.channel_name, '?') || ' · from ' || {iso('v.started_at')} || ' · kind ' || v.discussion_type || ' · mood ' || v.sentiment ||
+   ' · solved ' || CASE WHEN v.resolved THEN 'yes' WHEN NOT v.resolved THEN 'no' ELSE '–' END,
+   'people: ' || array_to_string(list_transform(c.people, lambda p: p.n || ' (' || p.c || ')'), ', '),
+   CASE WHEN v.summary <> '' THEN 'in short: ' || v.summary END,
+   'main points:' || chr(10) || array_to_string(list_transform(e.key_points, lambda k: '- ' || k), chr(10)),
+   'topics: ' || array_to_string(c.topics, ', '), 'names: ' || array_to_string(c.ents, ', ')) AS lean
   FROM fx_evid v JOIN fx_cores c USING (id) JOIN fx_enrichment e ON e.discussion_id = v.id) z
  LEFT JOIN (SELECT discussion_id, string_agg(line, chr(10) ORDER BY rn) AS raw FROM fx_samples GROUP BY 1) s ON s.discussion_id = z.id) b"""
 CTES["fx_fold"] = """

@@ -41,14 +41,14 @@ def render_line(fx):
 
 @query("render_prompts", """
 SELECT discussion_id, part, messages,
- CASE WHEN messages > 5 THEN 'Část ' || part || ' z ' || ceil(messages / 5)::BIGINT || ' jedné diskuze (' || messages || ' zpráv).' || chr(10) || chr(10) ELSE '' END || body AS prompt
+ CASE WHEN messages > 5 THEN 'Part ' || part || ' of ' || ceil(messages / 5)::BIGINT || ' of one discussion (' || messages || ' messages).' || chr(10) || chr(10) ELSE '' END || body AS prompt
 FROM (SELECT discussion_id, (rn - 1) // 5 + 1 AS part, any_value(n) AS messages, string_agg(line, chr(10) || chr(10) ORDER BY rn) AS body
  FROM (SELECT *, count(*) OVER (PARTITION BY discussion_id) AS n FROM fx_lines) GROUP BY 1, 2)""")
 def render_prompts(fx):
     return E.render_prompts(fx.threads, 5)
 
 
-_WORD = "CASE WHEN {0} = 1 THEN 'zpráva' WHEN {0} BETWEEN 2 AND 4 THEN 'zprávy' ELSE 'zpráv' END"
+_WORD = "CASE WHEN {0} = 1 THEN 'message' ELSE 'messages' END"
 
 
 @query("render_batch_prompts", f"""
@@ -57,13 +57,13 @@ WITH b AS (
 c AS (SELECT *, least(total, greatest(0, 30 - coalesce(sum(total) OVER (PARTITION BY batch_id ORDER BY label_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS shown FROM b),
 d AS (SELECT batch_id, label_no, any_value(total) AS total,
  '=== CLUSTER c' || label_no || ' · ' || any_value(total) || ' ' || {_WORD.format('any_value(total)')} || ' ===' || chr(10) ||
- CASE WHEN any_value(shown) = 0 THEN '(' || any_value(total) || ' ' || {_WORD.format('any_value(total)')} || ' vynecháno kvůli limitu délky)'
+ CASE WHEN any_value(shown) = 0 THEN '(' || any_value(total) || ' ' || {_WORD.format('any_value(total)')} || ' not shown, the call is full)'
  ELSE string_agg(line, chr(10) || chr(10) ORDER BY rn) FILTER (WHERE rn <= shown) ||
-  CASE WHEN any_value(shown) < any_value(total) THEN chr(10) || '(zbývajících ' || (any_value(total) - any_value(shown))::BIGINT || ' ' ||
-   {_WORD.format('(any_value(total) - any_value(shown))')} || ' vynecháno kvůli limitu délky)' ELSE '' END END AS block
+  CASE WHEN any_value(shown) < any_value(total) THEN chr(10) || '(another ' || (any_value(total) - any_value(shown))::BIGINT || ' ' ||
+   {_WORD.format('(any_value(total) - any_value(shown))')} || ' not shown, the call is full)' ELSE '' END END AS block
  FROM c JOIN fx_lines USING (discussion_id) GROUP BY 1, 2)
-SELECT batch_id, count(*) AS discussions, sum(total)::BIGINT AS messages, 'Níže je ' || count(*) ||
- ' nezávislých clusterů. Zpracuj každý zvlášť a u každého segmentu vyplň "source_cluster".' || chr(10) || chr(10) ||
+SELECT batch_id, count(*) AS discussions, sum(total)::BIGINT AS messages, 'This call holds ' || count(*) ||
+ ' separate clusters. Judge each by itself, and give its mark as "source_cluster" with every segment.' || chr(10) || chr(10) ||
  string_agg(block, chr(10) || chr(10) ORDER BY label_no) AS prompt FROM d GROUP BY 1""")
 def render_batch_prompts(fx):
     batches = fx.labels.select(F.col("call_id").alias("batch_id"), F.expr("cast(substring(label, 2) as bigint)").alias("label_no"),
@@ -108,7 +108,7 @@ def pack_batches_off(fx):
 
 def _flaky(system, user, schema_name):
     """Fails on batches whose first label block has an odd number of messages."""
-    if user.startswith("Níže") and "c1 · 5 " in user:
+    if user.startswith("This call holds") and "c1 · 5 " in user:
         raise RuntimeError("overloaded")
     return rule_based(system, user, schema_name)
 
@@ -280,7 +280,7 @@ def enrich_summary(fx):
 
 @query("inference_log", """
 SELECT id AS call_id, 'p' AS provider, 'm' AS model, channel_id, job_id, '2024-02-01T00:00:00.000Z' AS started_at, duration_ms, status, prompt_tokens,
- CASE WHEN length(user_prompt) > 1000 THEN substr(user_prompt, 1, 1000) || chr(10) || '… [zkráceno, ' || length(user_prompt) || ' znaků]' ELSE user_prompt END AS user_prompt,
+ CASE WHEN length(user_prompt) > 1000 THEN substr(user_prompt, 1, 1000) || chr(10) || '… [cut, ' || length(user_prompt) || ' characters in all]' ELSE user_prompt END AS user_prompt,
  CASE WHEN status = 'ok' THEN response END AS response FROM fx_calls""")
 def inference_log(fx):
     calls = fx.calls.select(F.col("id").alias("call_id"), "context", "channel_id", "job_id", "duration_ms", "status",
