@@ -15,6 +15,7 @@ CHECKED = [
     "partition_messages", "resolve_outcomes", "enrichment_view", "label_pairs", "nodes_entity", "edges_interested_in",
     "merge_graph", "graph_overview", "neighbors", "vector_topk", "anchor_hits", "expand", "diversify", "pack_context",
     "finalize_answers", "keyset_page", "retain", "totals", "size_histogram", "inference_stats", "closed_sessions",
+    "subcluster", "similar_components", "similar_labels", "canonical_labels", "semantic_continuations", "edges_mentions_user",
 ]
 
 
