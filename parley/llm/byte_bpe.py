@@ -64,6 +64,7 @@ class ByteBpe:
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.any_text, self.latin_text = regex.compile(PATTERN).findall, re.compile(LATIN).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.both: dict[str, tuple[str, bytes]] = {}
 
     def fragments(self, data: bytes) -> Iterator[bytes]:
         """``data`` cut at every byte pair that occurs inside no token: no merge can cross it."""
@@ -138,6 +139,31 @@ class ByteBpe:
                 out.extend(chain.from_iterable([known(p) or one(p) for p in self.pre_tokens(part)]))
         return out
 
+    def coded(self, text: str) -> tuple[int, str, str]:
+        """How many ids a text has, the ids joined by commas, and what they decode to."""
+        known, one = self.both.get, self.both_of
+        found: list[tuple[str, bytes]] = []
+        for part in self.special_cut.split(text) if self.special_cut else [text]:
+            if part in self.specials:
+                found.append((str(self.specials[part]), self.bytes_of[self.specials[part]]))
+            else:
+                found += [known(p) or one(p) for p in self.pre_tokens(part)]
+        if not found:
+            return 0, "", ""
+        ids, data = zip(*found, strict=True)
+        joined = ",".join(ids)
+        return joined.count(",") + 1, joined, b"".join(data).decode("utf-8", "replace")
+
+    def both_of(self, pre: str) -> tuple[str, bytes]:
+        """A pre-token's ids joined by commas, and the bytes of those ids."""
+        ids = self.encode_pre_token(pre)
+        both = ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
+        if len(pre) <= LONGEST:
+            if len(self.both) >= REMEMBERED:
+                self.both.clear()
+            self.both[pre] = both
+        return both
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -182,12 +208,30 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
     return encoded.mapInArrow(run, f"{names}, decoded string")
 
 
+def coded_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, decoded): ids of every whole text joined by commas, and the text those ids decode to.
+
+    The same as ``encode_texts`` and ``decode_ids`` one after the other, in one pass that keeps
+    both forms of a pre-token. Nulls, repeated rows and other columns are taken as there.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path)
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                n, ids, decoded = zip(*map(bpe.coded, part.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    [id_col, "n_tokens", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(
+        run, f"`{id_col}` {kind}, n_tokens long, ids string, decoded string")
+
+
 @query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    return coded_texts(table(spark, sf_dir, "documents"), path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -35,6 +35,7 @@ OPERATORS = {
     "near_duplicates": lambda d: jaccard_join.near_duplicates(d),
     "drop_near_copies": lambda d: jaccard_join.drop_near_copies(d),
     "count_tokens": lambda d: token_counts.count_tokens(d, public_tokenizers.path("piece_bpe_32k.model")),
+    "byte_bpe_pass": lambda d: byte_bpe.coded_texts(d, public_tokenizers.path("byte_bpe_50k.json")),
     "byte_bpe": lambda d: byte_bpe.decode_ids(byte_bpe.encode_texts(d, public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.path("byte_bpe_50k.json")),
     "exact_dedup": lambda d: exact_dedup.exact_dedup(d),
     "drop_copies": lambda d: exact_dedup.drop_copies(d),
