@@ -7,11 +7,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count as count_from
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from parley.session import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", _row long, sequence_id long, offset long, _part long, _open boolean, _gap long"
-#: Distinct white-space-free chunks a task remembers.
-REMEMBERED = 250_000
+#: Distinct white-space-free chunks a task remembers, and letters that are encoded at a time.
+REMEMBERED, STEP = 250_000, 8 << 20
+#: The exchange goes on while a round saves at least one in so many of the sequences that take part.
+WORTH = 10_000
 #: The tokenizer's own pattern of pre-tokens (fixed value), with the lower-case letters, numbers
 #: and white space of Latin-1 spelled out.
 _PRE_TOKENS = re.compile(
@@ -48,16 +52,39 @@ class ChunkEncoder:
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; texts are taken some at a time."""
+        out: list[bytes] = []
+        first = letters = 0
+        for i, text in enumerate(texts):
+            letters += len(text)
+            if letters > STEP:
+                out += self._encode(texts[first:i])
+                first, letters = i, len(text)
+        return out + self._encode(texts[first:])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Distinct chunks of all plain texts are looked up once, and their ids gathered by place."""
+        plain = [_is_plain(t) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.string()))
+        coded = split.values.dictionary_encode()
+        known, place = self._of(coded.dictionary.cast(pa.binary()).to_pylist(), True), coded.indices.to_numpy()
+        ids = np.frombuffer(b"".join(known), "<u4")
+        count = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start, n = (np.cumsum(count) - count)[place], count[place]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        ends = (4 * upto)[split.offsets.to_numpy()].tolist()
+        return [flat[i:j] if p else b"".join(self._of(t.encode("utf-8", "replace").split(), False))
+                for t, p, i, j in zip(texts, plain, ends[:-1], ends[1:], strict=True)]
+
+    def _of(self, chunks: list[bytes], plain: bool) -> list[bytes]:
         known = self.known
-        for text in texts:
-            plain = _is_plain(text)
-            chunks = (text.lower() if plain else text).encode("utf-8", "replace").split()
-            found = list(map(known.get, chunks))
-            if None in found:
-                self._learn({c for c, ids in zip(chunks, found, strict=True) if ids is None}, chunks, plain)
-                found = list(map(known.__getitem__, chunks))
-            yield b"".join(found)
+        found = list(map(known.get, chunks))
+        if None in found:
+            self._learn({c for c, ids in zip(chunks, found, strict=True) if ids is None}, chunks, plain)
+            found = list(map(known.__getitem__, chunks))
+        return found
 
     def _learn(self, missing: set[bytes], chunks: list[bytes], plain: bool) -> None:
         known = self.known
@@ -180,15 +207,16 @@ def _pack(rows: DataFrame, capacity: int, parts: int, turn: int) -> DataFrame:
             .groupBy("_part").applyInPandas(one, PACKED))
 
 
-def best_fit_pack(pieces: DataFrame, capacity: int = 4096, bins_per_part: int = 4096, rows_per_part: int = 100_000,
-                  rounds: int = 3) -> DataFrame:
-    """``pieces`` with sequence_id and offset: as few sequences of ``capacity`` tokens as found.
+def best_fit_pack(pieces: DataFrame, capacity: int = 4096, bins_per_part: int = 4096, rows_per_part: int = 100_000) -> DataFrame:
+    """``pieces`` with sequence_id, offset and gap: as few sequences of ``capacity`` tokens as found.
 
     Rows are dealt to partitions of bounded size by a hash of the row, so no key is hot. Each
     partition runs best-fit decreasing and compares its count with a lower bound that any
     packing must obey. A partition that meets it is certified and keeps its sequences but the
     emptiest one. The others give up all sequences that are not full. What is given up is mixed
-    over new partitions and packed again, while that saves sequences and at most ``rounds`` times.
+    over new partitions and packed again, until their tokens allow no fewer sequences or a round
+    saves less than one in ``WORTH`` of those given up (of fewer than that: none). ``gap`` tells how
+    many sequences the partition that a row was last packed in has beyond its bound; 0 is certified.
 
     Ties of length are taken in row order, so the result is the same for the same input files.
     No rows give no rows; lengths over ``capacity`` are an error.
@@ -196,7 +224,8 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 4096, bins_per_part: int =
     rows = cut(pieces).withColumn("_row", F.monotonically_increasing_id())
     total, n, longest = rows.agg(F.sum("length"), F.count("*"), F.max("length")).first()
     if n == 0:
-        return rows.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset")).drop("_row")
+        return rows.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"),
+                           F.lit(None).cast("long").alias("gap")).drop("_row")
     if longest > capacity:
         raise ValueError(f"a piece of {longest} tokens is longer than {capacity}")
 
@@ -205,19 +234,22 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 4096, bins_per_part: int =
 
     packed = cut(_pack(rows, capacity, parts(total, n), 0))
     done: list[DataFrame] = []
-    for turn in range(1, rounds + 1):
+    for turn in count_from(1):
         given = packed.where("_open")
         tokens, count, bins = given.agg(F.sum("length"), F.count("*"), F.countDistinct("sequence_id")).first()
         if not count or bins <= -(-tokens // capacity):
             break
         again = cut(_pack(given, capacity, parts(tokens, count), turn))
-        if again.select("sequence_id").distinct().count() >= bins:
+        saved = bins - again.select("sequence_id").distinct().count()
+        if saved <= 0:
             break
         done.append(packed.where("not _open"))
         packed = again
+        if saved * WORTH < bins:
+            break
     for kept in done:
         packed = packed.unionByName(kept)
-    return packed.select(*[c.split()[0] for c in PIECES.split(", ")], "sequence_id", "offset")
+    return packed.select(*[c.split()[0] for c in PIECES.split(", ")], "sequence_id", "offset", F.col("_gap").alias("gap"))
 
 
 @query("op3_best_fit_packing")

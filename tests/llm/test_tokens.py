@@ -6,9 +6,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from parley.llm.best_fit import ChunkEncoder, best_fit_decreasing, best_fit_pack, lower_bound, token_pieces
+from parley.llm.best_fit import ChunkEncoder, _pack, best_fit_decreasing, best_fit_pack, lower_bound, token_pieces
 from parley.llm.byte_bpe import ByteBpe
 from parley.llm.token_counts import UnigramCounter
 
@@ -29,6 +30,8 @@ def test_byte_bpe_is_the_library():
         ids = library.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == ids
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        for _ in range(2):  # learned, and remembered
+            assert own.coded(t) == (len(ids), ",".join(map(str, ids)), own.decode(ids))
 
 
 def test_forced_cuts_lie_inside_no_token():
@@ -115,3 +118,15 @@ def test_packing(spark):
         assert one.offset.tolist() == [0, *one.length.cumsum()[:-1]] and one.length.sum() <= 128
     # dealt over several partitions and certified or exchanged, it needs no more than one best fit of all
     assert rows.sequence_id.nunique() <= best_fit_decreasing(rows.length.to_numpy(), 128)[2].size + 1
+
+
+def test_exchange_goes_on_while_it_saves(spark):
+    """Pieces of a quarter to two thirds of a sequence, over many small partitions."""
+    r = np.random.default_rng(7)
+    lengths = r.integers(1100, 2700, 3000).tolist()
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = best_fit_pack(pieces, 4096, bins_per_part=128).toPandas()
+    assert rows.length.groupby(rows.sequence_id).sum().max() <= 4096 and len(rows) == 3000
+    first = _pack(pieces.withColumn("_row", F.monotonically_increasing_id()), 4096, 12, 0).select("sequence_id").distinct().count()
+    assert lower_bound(np.array(lengths), 4096) <= rows.sequence_id.nunique() < first
+    assert rows.sequence_id.max() >> 56 > 3 and (rows.gap >= 0).all()  # more than three rounds saved something
