@@ -22,8 +22,10 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: documents of the sample at least, and one document in how many is sampled. They only choose
 #: the order; results are the same for any.
 FREQUENT, SEEN, SAMPLE = 1 << 18, 3, 16
-#: 64-bit words of the parity sketch, and of the narrow one that goes with the index.
-SKETCH, LANES = 16, 4
+#: 64-bit words of the parity sketch.
+SKETCH = 16
+#: So many times every node of a token meets one hub before all that are left meet each other.
+HUBS = 3
 BITS = 1 << 25
 
 
@@ -132,14 +134,6 @@ def furthest(rule: Rule) -> Column:
     return total - 2 * F.ceil(total * rule.percent / (100 + rule.percent)) + 1
 
 
-def lane(words: Column, i: int) -> Column:
-    """Word ``i`` of a narrower sketch: parities of coarser bits are the XOR of finer ones."""
-    out = words[i]
-    for k in range(i + LANES, SKETCH, LANES):
-        out = out.bitwiseXOR(words[k])
-    return out
-
-
 def _of_pairs(pairs: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
     """``pairs`` with columns of both nodes, as <name>_a and <name>_b; only rows of nodes in pairs are shuffled."""
     ends = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key")))
@@ -149,15 +143,15 @@ def _of_pairs(pairs: DataFrame, rows: DataFrame, *names: str) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str, sketched: bool = False) -> DataFrame:
     """The linked ones of candidate ``pairs`` (a, b, n_a, n_b) from the first order.
 
-    Sketches of a linked pair differ in few bits. What they let through must also share prefix
-    tokens under the other orders. What is left is compared in full: texts of the nodes concerned
-    are read again and their sets met.
+    Sketches of a linked pair differ in few bits (``sketched``: that was seen to). What they let
+    through must also share prefix tokens under the other orders. What is left is compared in
+    full: texts of the nodes concerned are read again and their sets met.
     """
     apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    close = cut(_of_pairs(pairs, rows, "sketch").where(apart <= furthest(rule)).select("a", "b"))
+    close = pairs if sketched else cut(_of_pairs(pairs, rows, "sketch").where(apart <= furthest(rule)).select("a", "b"))
     near = cut(_of_pairs(close, rows, "p2", "p3").where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"))
     ends = near.select(F.col("a").alias("_key")).unionByName(near.select(F.col("b").alias("_key")))
     concerned = in_bitmap(rows.select("node", "id"), "node", key_bitmap(ends, "_key", BITS), BITS).where("_hit").groupBy("node").agg(
@@ -186,6 +180,13 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, rule: Rule, id_
     return met.mapInArrow(meet, "a long, b long")
 
 
+def _labelled(index: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``index`` with the component of each node, so far: its own where nothing is ``found``."""
+    if found is None:
+        return index.withColumn("label", F.col("node"))
+    return index.join(found, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text",
                     key: Column | None = None) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable by links).
@@ -199,8 +200,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
        are left out by counting. Orders put shingles that are frequent in a sample last, the rest
        by a hash of their own per order.
     3. First every node of a token meets the token's hub alone, a number of pairs linear in the
-       index. Then, over tokens that still hold several components, all nodes of different
-       components meet. A link inside a component cannot change it, so none is missed.
+       index; the hub, which has met all, leaves the token. This is done again with new hubs over
+       tokens that still hold several components. Then all nodes of different components that are
+       left under a token meet, where their whole sketches are close enough. A link inside a
+       component cannot change it, so none is missed.
     4. Candidates must pass the sketches and share prefix tokens under every other order too; then
        whole sets decide.
 
@@ -215,28 +218,38 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     shared = index.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
     index = stored(in_bitmap(index, "token", key_bitmap(shared, "token", BITS), BITS).where("_hit").drop("_hit").distinct())
 
-    hubs = index.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("m"),
-        F.count("*").alias("c")).where("c > 1").select("token", "m.hub", "m.hub_n")
-    swap = F.col("node") > F.col("hub")
-    first = index.join(hubs, "token").where((F.col("node") != F.col("hub")) & sized(F.col("n"), F.col("hub_n"), rule)).select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
-        F.when(swap, F.col("hub_n")).otherwise(F.col("n")).alias("n_a"), F.when(swap, F.col("n")).otherwise(F.col("hub_n")).alias("n_b")).distinct()
-    found = components(cut(verified(stored(first), full, docs, rule, id_col, text_col)))
-
-    labelled = index.join(found, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+    open_, found = index, None
+    for turn in range(HUBS):
+        labelled = _labelled(open_, found)
+        hubs = labelled.groupBy("token").agg(
+            F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))).alias("m"),
+            F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token", "m.*", "c")
+        met = labelled.join(hubs, "token").where("node != hub")
+        swap = F.col("node") > F.col("hub")
+        pairs = stored(met.where((F.col("label") != F.col("hub_label")) & sized(F.col("n"), F.col("hub_n"), rule)).select(
+            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"),
+            F.when(swap, F.col("hub_n")).otherwise(F.col("n")).alias("n_a"),
+            F.when(swap, F.col("n")).otherwise(F.col("hub_n")).alias("n_b")).distinct())
+        links = cut(verified(pairs, full, docs, rule, id_col, text_col))
+        # a hub has met all it could link with, so it leaves the token
+        open_ = stored(met.where("c > 2").select("token", "node", "n"))
+        if turn and links.isEmpty():
+            break
+        found = components(links, found)
+
+    labelled = _labelled(open_, found)
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     open_ = stored(labelled.join(mixed, "token", "left_semi"))
-    folds = [f"f{i}" for i in range(LANES)]
-    side = in_bitmap(full.select("node", *(lane(F.col("sketch"), i).alias(c) for i, c in enumerate(folds))), "node", key_bitmap(
-        open_.select("node"), "node", BITS), BITS).where("_hit").drop("_hit").distinct()
+    words = [f"w{i}" for i in range(SKETCH)]
+    side = in_bitmap(full.select("node", *(F.col("sketch")[i].alias(c) for i, c in enumerate(words))), "node", key_bitmap(
+        open_.select("node"), "node", BITS), BITS).where("_hit").drop("_hit").dropDuplicates(["node"])
     open_ = open_.join(side, "node")
     x, y = (open_.select("token", F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("label").alias(f"l_{end}"),
-                         *(F.col(c).alias(f"{c}_{end}") for c in folds)) for end in "ab")
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in folds), F.lit(0))
+                         *(F.col(c).alias(f"{c}_{end}") for c in words)) for end in "ab")
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in words), F.lit(0))
     rest = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("l_a") != F.col("l_b"))
-                  & sized(F.col("n_a"), F.col("n_b"), rule) & (apart <= furthest(rule))).select("a", "b", "n_a", "n_b").distinct()
-    found = components(cut(verified(stored(rest), full, docs, rule, id_col, text_col)), found)
+                  & sized(F.col("n_a"), F.col("n_b"), rule) & (apart <= furthest(rule))).select("a", "b").distinct()
+    found = components(cut(verified(stored(rest), full, docs, rule, id_col, text_col, sketched=True)), found)
 
     label = F.coalesce("label", "node").alias("label")
     if key is None:
