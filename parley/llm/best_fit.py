@@ -197,8 +197,8 @@ def _pack(rows: DataFrame, capacity: int, parts: int, turn: int) -> DataFrame:
         lengths = pdf["length"].to_numpy(np.int64)
         bin_of, offset, left = best_fit_decreasing(lengths, capacity)
         gap = len(left) - lower_bound(lengths, capacity)
-        # without a gap only the emptiest sequence can gain, with one all that are not full
-        give = left > 0 if gap else np.arange(len(left)) == left.argmax()
+        # without a gap only the emptiest sequence can gain, with one those that lack a 64th or more
+        give = left * 64 >= capacity if gap else np.arange(len(left)) == left.argmax()
         base = (turn << 56) + (int(pdf["_part"].iloc[0]) << 32)
         return pdf.assign(sequence_id=base + bin_of, offset=offset, _open=give[bin_of] & (left[bin_of] > 0), _gap=np.int64(gap))
 
@@ -213,7 +213,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = 4096, bins_per_part: int =
     Rows are dealt to partitions of bounded size by a hash of the row, so no key is hot. Each
     partition runs best-fit decreasing and compares its count with a lower bound that any
     packing must obey. A partition that meets it is certified and keeps its sequences but the
-    emptiest one. The others give up all sequences that are not full. What is given up is mixed
+    emptiest one. The others give up all sequences that lack a 64th or more. What is given up is mixed
     over new partitions and packed again, until their tokens allow no fewer sequences or a round
     saves less than one in ``WORTH`` of those given up (of fewer than that: none). ``gap`` tells how
     many sequences the partition that a row was last packed in has beyond its bound; 0 is certified.
