@@ -25,7 +25,7 @@ FREQUENT, SEEN, SAMPLE = 1 << 18, 3, 16
 #: 64-bit words of the parity sketch.
 SKETCH = 16
 #: So many times every node of a token meets one hub before all that are left meet each other.
-HUBS = 3
+HUBS = 2
 BITS = 1 << 25
 
 
