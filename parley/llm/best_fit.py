@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +22,8 @@ from parley.session import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", _row long, sequence_id long, offset long, _part long, _open boolean, _gap long"
-#: Distinct white-space-free chunks a task remembers, and letters that are encoded at a time.
-REMEMBERED, STEP = 250_000, 8 << 20
+#: Distinct white-space-free chunks a task remembers, about 250 MB.
+REMEMBERED = 1_000_000
 #: The exchange goes on while a round saves at least one in so many of the sequences that take part.
 WORTH = 10_000
 #: The tokenizer's own pattern of pre-tokens (fixed value), with the lower-case letters, numbers
@@ -52,39 +51,16 @@ class ChunkEncoder:
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; texts are taken some at a time."""
-        out: list[bytes] = []
-        first = letters = 0
-        for i, text in enumerate(texts):
-            letters += len(text)
-            if letters > STEP:
-                out += self._encode(texts[first:i])
-                first, letters = i, len(text)
-        return out + self._encode(texts[first:])
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        """Distinct chunks of all plain texts are looked up once, and their ids gathered by place."""
-        plain = [_is_plain(t) for t in texts]
-        split = pc.ascii_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.string()))
-        coded = split.values.dictionary_encode()
-        known, place = self._of(coded.dictionary.cast(pa.binary()).to_pylist(), True), coded.indices.to_numpy()
-        ids = np.frombuffer(b"".join(known), "<u4")
-        count = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        start, n = (np.cumsum(count) - count)[place], count[place]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-        ends = (4 * upto)[split.offsets.to_numpy()].tolist()
-        return [flat[i:j] if p else b"".join(self._of(t.encode("utf-8", "replace").split(), False))
-                for t, p, i, j in zip(texts, plain, ends[:-1], ends[1:], strict=True)]
-
-    def _of(self, chunks: list[bytes], plain: bool) -> list[bytes]:
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
-        found = list(map(known.get, chunks))
-        if None in found:
-            self._learn({c for c, ids in zip(chunks, found, strict=True) if ids is None}, chunks, plain)
-            found = list(map(known.__getitem__, chunks))
-        return found
+        for text in texts:
+            plain = _is_plain(text)
+            chunks = (text.lower() if plain else text).encode("utf-8", "replace").split()
+            found = list(map(known.get, chunks))
+            if None in found:
+                self._learn({c for c, ids in zip(chunks, found, strict=True) if ids is None}, chunks, plain)
+                found = list(map(known.__getitem__, chunks))
+            yield b"".join(found)
 
     def _learn(self, missing: set[bytes], chunks: list[bytes], plain: bool) -> None:
         known = self.known
