@@ -28,7 +28,7 @@ _LETTER, _NUMBER, _SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0
 LATIN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+"
          rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Distinct pre-tokens a task remembers, and the longest that it does.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 #: Fragments of up to so many bytes are merged in a plain list. No rank reaches NEVER.
 SHORT, NEVER = 48, 1 << 60
 
@@ -156,7 +156,7 @@ class ByteBpe:
 
     def both_of(self, pre: str) -> tuple[str, bytes]:
         """A pre-token's ids joined by commas, and the bytes of those ids."""
-        ids = self.encode_pre_token(pre)
+        ids = list(chain.from_iterable(map(self.encode_fragment, self.fragments(pre.encode("utf-8", "replace")))))
         both = ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids))
         if len(pre) <= LONGEST:
             if len(self.both) >= REMEMBERED:
