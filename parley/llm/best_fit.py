@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm.byte_bpe import byte_letters
 from parley.llm.common import text_of
 from parley.llm.registry import query, table
 from parley.session import cut
@@ -47,8 +48,9 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that close a pre-token
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_letters().items()}  # the vocabulary's letter of each byte
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -73,12 +75,10 @@ class ChunkEncoder:
             known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, encoded, strict=True))
             return
         parts = {c: [p.encode() for p in _PRE_TOKENS.findall(c.decode())] for c in missing}
-        new = list({p for ps in parts.values() for p in ps if p not in known})
-        # one call for all: every pre-token ends with a token that says so
-        ids = np.array(self.tokenizer.encode(b" ".join(new).decode(), add_special_tokens=False).ids, "<u4")
-        cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-        data = ids.tobytes()
-        known.update((p, data[i:j]) for p, i, j in zip(new, cuts[:-1], cuts[1:], strict=True))
+        tokenize, letters, id_bytes = self.model.tokenize, self.letters, self.id_bytes
+        for p in {p for ps in parts.values() for p in ps if p not in known}:
+            # its normal form is the pre-token itself, so the model can be asked without the steps before it
+            known[p] = b"".join([id_bytes[t.id] for t in tokenize(p.decode("latin-1").translate(letters))])
         known.update((c, b"".join(map(known.__getitem__, ps))) for c, ps in parts.items())
 
 
