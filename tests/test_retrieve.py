@@ -91,3 +91,53 @@ def test_pruned_lists_hold_every_admitted_row(spark):
     want = [r["id"] for r in nodes.filter("channel_id = 'c1'").orderBy(F.col("started_at").desc(), "id").limit(6).collect()]
     got = [r["id"] for r in lists.filter("mode = 2 and channel_id = 'c1'").orderBy(F.col("started_at").desc(), "id").collect()]
     assert got == want
+
+
+def test_a_search_gives_k_rows_per_variant_and_no_second_cut(spark):
+    """What leaves the search is its result: no row per part, and no window over such rows."""
+    t = dt.datetime(2024, 1, 1, 10, 0, 0, 300)
+    nodes = spark.createDataFrame([(f"d{i}", "c", "t", t, [1.0, float(i % 4)]) for i in range(50)],
+                                  "id string, channel_id string, discussion_type string, started_at timestamp, embedding array<float>")
+    schema = "question_id long, variant_no int, vec array<float>, channel_ids array<string>, discussion_types array<string>, since timestamp"
+    asked = spark.createDataFrame([(1, 1, [1.0, 0.0], None, None, t.replace(microsecond=500)), (2, 1, [1.0, 0.0], None, None, t)], schema)
+    found = R.vector_topk(asked, nodes, k=3, part_rows=1)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    # a date is compared whole, ties go by id
+    assert sorted((r["question_id"], r["rank"], r["id"]) for r in found.collect()) == [(2, 1, "d0"), (2, 2, "d12"), (2, 3, "d16")]
+
+
+def test_expansion_equals_all_paths_in_order(spark):
+    """Hot labels, filters by channel and date, seeds that meet themselves: as when every path is listed."""
+    n, kinds = 60, ["question", "other"]
+    disc = [(f"d{i:02d}", f"c{i % 3}", kinds[i % 2], T0 + dt.timedelta(hours=(i * 7) % 20)) for i in range(n)]
+    topic = [(f"d{i:02d}", f"t{i % 7 if i % 5 else 9}") for i in range(n)]
+    entity = [(f"d{i:02d}", f"e{i}" if i % 4 else "hot") for i in range(n)]
+    cont = [("d05", "d04"), ("d09", "d05")]
+    pairs = [("t1", "t2"), ("t2", "t9")]
+    two = "src string, dst string"
+    graph = {"nodes_discussion": spark.createDataFrame(disc, "id string, channel_id string, discussion_type string, started_at timestamp"),
+             "edges_discusses": spark.createDataFrame(topic, two), "edges_mentions": spark.createDataFrame(entity, two),
+             "edges_continuation_of": spark.createDataFrame(cont, two), "edges_topic_cooccurs": spark.createDataFrame(pairs, two)}
+    asks = [(1, None, None, None), (2, ["c1", "c2"], None, None), (3, None, ["other"], T0 + dt.timedelta(hours=9)), (4, [], None, None), (5, ["c0"], ["question"], None)]
+    q = spark.createDataFrame(asks, "question_id long, channel_ids array<string>, discussion_types array<string>, since timestamp")
+    seeds = [(k, f"d{s:02d}") for k, *_ in asks for s in (0, 4, 5, 16, 11 + k)]
+    got = sorted(tuple(r) for r in R.expand(spark.createDataFrame(seeds, "question_id long, seed_id string"), graph, q, 6).select(
+        "question_id", "rank", "seed_id", "via", "id").collect())
+    labels = {"shared_topic": dict(topic), "shared_entity": dict(entity)}
+    near = {a: {b for p in pairs for b in p if a in p and b != a} for a in {t for p in pairs for t in p}}
+    paths = {(s, 1.0, "continuation", i) for a, b in cont for s, i in ((a, b), (b, a))}
+    for s, *_ in disc:
+        for i, *_ in disc:
+            paths |= {(s, w, via, i) for via, w in (("shared_topic", 0.6), ("shared_entity", 0.8)) if labels[via][s] == labels[via][i]}
+            if labels["shared_topic"][i] in near.get(labels["shared_topic"][s], ()):
+                paths.add((s, 0.4, "cooccurring_topic", i))
+    info, want = {d[0]: d[1:] for d in disc}, []
+    for k, channels, types, since in asks:
+        own = {s for x, s in seeds if x == k}
+        rows = sorted((-w, -info[i][2].timestamp(), i, s, via) for s, w, via, i in paths if s in own and i != s
+                      and (channels is None or info[i][0] in channels) and (types is None or info[i][1] in types)
+                      and (since is None or info[i][2] >= since))[:6]
+        want += [(k, r + 1, s, via, i) for r, (_, _, i, s, via) in enumerate(rows)]
+    assert got == sorted(want) and len({g[0] for g in got}) == 4
+    lists = R.best_lists(graph["edges_mentions"].select(F.col("dst").alias("entity"), F.col("src").alias("id")), graph["nodes_discussion"], ["entity"], 3, [2])
+    assert {"place", *R.CELL} <= set(lists.columns)  # questions meet only the lists of their own channels and types
