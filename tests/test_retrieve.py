@@ -141,3 +141,27 @@ def test_expansion_equals_all_paths_in_order(spark):
     assert got == sorted(want) and len({g[0] for g in got}) == 4
     lists = R.best_lists(graph["edges_mentions"].select(F.col("dst").alias("entity"), F.col("src").alias("id")), graph["nodes_discussion"], ["entity"], 3, [2])
     assert {"place", *R.CELL} <= set(lists.columns)  # questions meet only the lists of their own channels and types
+
+
+def test_blocks_are_packed_by_their_lengths(spark):
+    """A discussion's text is held once, not in the ranked rows of every question that finds it."""
+    nodes = spark.createDataFrame([("d1", "T", "c", "question", "neutral", True, T0)],
+                                  "id string, title string, channel_id string, discussion_type string, sentiment string, resolved boolean, started_at timestamp")
+    cands = spark.createDataFrame([(1, "d1", 0.9, False, 0.0)], "question_id long, id string, vec_sim double, anchor_hit boolean, expansion_score double")
+    q = spark.createDataFrame([(1, "factual", None)], "question_id long, intent string, preferred_types array<string>")
+    assert "summary" not in R.rank_candidates(cands, q, nodes, "2024-02-01 00:00:00").columns
+    evid = spark.createDataFrame([(k, f"d{i}", i, f"t{i}", "question", None, i % 2 == 0, T0) for k in (1, 2) for i in range(1, 7)],
+                                 "question_id long, id string, evidence_rank int, title string, discussion_type string, sentiment string, resolved boolean, started_at timestamp")
+    cores = spark.createDataFrame([(f"d{i}", "ch", ["a"], None, [], "s" * 40 * i) for i in range(1, 6)],
+                                  "id string, channel_name string, topics array<string>, entities array<string>, participants array<struct<rn:int,name:string,message_count:long>>, summary string")
+    bits = spark.createDataFrame([("d2", ["k"], "x")], "id string, key_points array<string>, summary string")
+    said = spark.createDataFrame([("d1", "m1", "u", T0, "hello é", 1), ("d5", "m2", "u", T0, "x", 1)],
+                                 "discussion_id string, id string, author_label string, created_at timestamp, content string, rn int")
+    texts = A.block_texts(cores, bits, said)
+    for budget in (60, 150, 1000):
+        packed = A.packed_texts(A.pack_evidence(evid, texts, 4, budget), texts, 4)
+        got = sorted((r["question_id"], r["evidence_rank"], r["with_raw"], r["text"]) for r in packed.collect())
+        whole = A.pack_context(A.render_blocks(evid, cores, bits, said, 4), budget)
+        assert got == sorted((r["question_id"], r["evidence_rank"], r["with_raw"], r["text"]) for r in whole.collect()) and got
+    for r in A.render_blocks(evid, cores, bits, said, 4).collect():
+        assert r["lean_tokens"] == -(-len(r["lean"]) * 10 // 34) and r["full_tokens"] == -(-len(r["full"]) * 10 // 34)
