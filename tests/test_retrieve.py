@@ -165,3 +165,17 @@ def test_blocks_are_packed_by_their_lengths(spark):
         assert got == sorted((r["question_id"], r["evidence_rank"], r["with_raw"], r["text"]) for r in whole.collect()) and got
     for r in A.render_blocks(evid, cores, bits, said, 4).collect():
         assert r["lean_tokens"] == -(-len(r["lean"]) * 10 // 34) and r["full_tokens"] == -(-len(r["full"]) * 10 // 34)
+
+
+def test_pairs_of_a_hot_type_are_dealt_to_tasks(spark):
+    """However few types there are, no cut holds more than so many pairs; the pairs are those of a plain join."""
+    nodes = spark.createDataFrame([(f"d{i}", f"c{i % 3}", "hot" if i % 5 else "rare", T0 + dt.timedelta(hours=i)) for i in range(90)],
+                                  "id string, channel_id string, discussion_type string, started_at timestamp")
+    q = spark.createDataFrame([(i, "hot", ["c1"] if i % 2 else None, ["rare"] if i % 7 == 3 else None, T0 + dt.timedelta(hours=60) if i % 3 == 0 else None)
+                               for i in range(40)], "question_id long, discussion_type string, channel_ids array<string>, discussion_types array<string>, since timestamp")
+    got = R.admitted_pairs(q, nodes, "discussion_type", most=200)
+    joined = q.join(nodes, "discussion_type")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.hard_filter(joined).select("question_id", "id").collect()))
+    per_task = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(per_task) > 4 and max(per_task) < sum(per_task) / 2
+    assert R.admitted_pairs(q.limit(0), nodes, "discussion_type").count() == 0
