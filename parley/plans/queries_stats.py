@@ -45,8 +45,8 @@ def retain(fx):
 
 @query("call_detail", f"SELECT id, {sql_iso('started_at')} AS started_at, system_prompt, user_prompt, response FROM fx_calls WHERE status = 'error'")
 def call_detail(fx):
-    ids = fx.calls.filter("status = 'error'").select("id")
-    return L.call_detail(fx.calls, ids).select("id", iso(F.col("started_at")).alias("started_at"), "system_prompt", "user_prompt", "response")
+    ids = fx.slim_calls.filter("status = 'error'").select("id")
+    return fx.with_prompts(L.call_detail(fx.slim_calls, ids)).select("id", iso(F.col("started_at")).alias("started_at"), "system_prompt", "user_prompt", "response")
 
 
 @query("clear", "SELECT count(*) AS deleted, 0 AS kept FROM fx_calls")
