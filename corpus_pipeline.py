@@ -21,6 +21,9 @@ from parley.session import shared_dir
 #: probability per letter (real text has about -2.5, letters of no learned language about -14).
 MIN_QUALITY, MIN_LANG_SCORE, MIN_LANG_FIT = 0.3, 0.5, -7.0
 
+#: Chunks that a task of the last stage remembers: executors that have run four stages have less room left than fresh ones.
+REMEMBERED = 250_000
+
 
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have."""
@@ -60,7 +63,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
     prepare(spark)
-    return best_fit_pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096))
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, remembered=REMEMBERED)
+    return best_fit_pack(pieces)
 
 
 #: Every stage returns no rows for none, keeps extra columns of any name, and takes a null text as empty: such

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.byte_bpe import byte_letters
-from parley.llm.common import text_of
+from parley.llm.common import hold_alone, text_of
 from parley.llm.registry import query, table
 from parley.session import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", _row long, sequence_id long, offset long, _part long, _open boolean, _gap long"
-#: Distinct white-space-free chunks a task remembers, about 250 MB.
+#: Distinct white-space-free chunks a task remembers, about 150 MB.
 REMEMBERED = 1_000_000
 #: The exchange goes on while a round saves at least one in so many of the sequences that take part.
 WORTH = 10_000
@@ -41,7 +41,8 @@ class ChunkEncoder:
     its chunks between ASCII white space, in order. Ids are kept as little-endian bytes.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,7 +67,7 @@ class ChunkEncoder:
 
     def _learn(self, missing: set[bytes], chunks: list[bytes], plain: bool) -> None:
         known = self.known
-        if len(known) + len(missing) > REMEMBERED:
+        if len(known) + len(missing) > self.remembered:
             known.clear()
             missing = set(chunks)
         if not plain:
@@ -82,9 +83,9 @@ class ChunkEncoder:
         known.update((c, b"".join(map(known.__getitem__, ps))) for c, ps in parts.items())
 
 
-@lru_cache(maxsize=2)
-def chunk_encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+@lru_cache(maxsize=1)
+def chunk_encoder(path: str, remembered: int = REMEMBERED) -> ChunkEncoder:
+    return ChunkEncoder(path, remembered)
 
 
 def _is_plain(text: str) -> bool:
@@ -97,12 +98,16 @@ def _is_plain(text: str) -> bool:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """The pieces of every document: its ids and ``end_id``, cut only where longer than ``capacity``."""
+                 text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """The pieces of every document: its ids and ``end_id``, cut only where longer than ``capacity``.
+
+    ``remembered`` chunks are known to a task at once, about 150 bytes each; fewer cost time alone.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(tokenizer_path)
+        hold_alone("best_fit", chunk_encoder.cache_clear)
+        encoder = chunk_encoder(tokenizer_path, remembered)
         for batch in batches:
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):

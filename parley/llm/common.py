@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: How the operator that last filled tables in this Python worker lets go of them.
+_FORGET: dict[str, Callable[[], None]] = {}
+
+
+def hold_alone(operator: str, forget: Callable[[], None]) -> None:
+    """Tell that ``operator`` fills tables in this Python worker, which stay from task to task.
+
+    Workers go on from job to job, so the tables of other operators are let go: a row of
+    operators needs the memory of the largest, not of all together.
+    """
+    others = [name for name in _FORGET if name != operator]
+    for name in others:
+        _FORGET.pop(name)()
+    if others:
+        pa.default_memory_pool().release_unused()
+    _FORGET[operator] = forget
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: columns are read as needed, and lost executors cost nothing."""
     spark = df.sparkSession

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from parley.llm.common import fold, text_of
+from parley.llm.common import fold, hold_alone, text_of
 from parley.llm.registry import query, table
 
 #: Rows of each language that a fit looks at, in expectation.
@@ -251,6 +251,11 @@ def _scorer(digest: str, path: str) -> list[Scorer]:
     return []
 
 
+def _let_go() -> None:
+    for held in (_scorer, trie, vocabulary):
+        held.cache_clear()
+
+
 def scorer(model: LangModel) -> Scorer:
     place = _scorer(hashlib.sha256(repr(model.langs).encode() + model.prob.tobytes()).hexdigest(), model.path)
     if not place:
@@ -299,6 +304,7 @@ def identify(docs: DataFrame, model: LangModel, text_col: str = "text", lang_col
     schema = StructType([*kept.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType()), StructField(fit_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_alone("lang_unigram", _let_go)
         known = scorer(model)
         for b in batches:
             texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
