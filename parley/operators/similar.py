@@ -20,6 +20,8 @@ from parley.session import cut
 CELL, BLOCK, PIVOTS = 2_000, 512, 4_096
 #: Angles are compared with this much room for rounding; products decide in the end.
 ROOM = 1e-6
+#: Hubs of all groups that are broadcast at a time, and numbers that their vectors hold at most, 12 MB.
+HUBS, HUB_NUMBERS = 8_192, 1_572_864
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -33,12 +35,13 @@ def _angles(products: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(products, -1.0, 1.0))
 
 
-def _with_cells(nodes: DataFrame, pivots: dict[str, np.ndarray], first: dict[str, int], spread: DataFrame | None, alpha: float) -> DataFrame:
+def _with_cells(nodes: DataFrame, pivots: dict[str, np.ndarray], first: dict[str, int], spread: DataFrame | None, alpha: float,
+                any_cell: bool = False) -> DataFrame:
     """Rows of ``nodes`` (grp, node, vec) with their nearest pivot, or with every cell that they may reach.
 
     Without ``spread``: (grp, node, vec, home, angle). With it, the cells (cell, lo, hi) that have
     members: a row per cell whose members may lie within ``alpha``, by the triangle bound, no later
-    than the row's own cell.
+    than the row's own cell unless it may be ``any_cell``.
     """
     spark = nodes.sparkSession
     reach = None
@@ -62,7 +65,9 @@ def _with_cells(nodes: DataFrame, pivots: dict[str, np.ndarray], first: dict[str
                     rows, cells = np.arange(len(mine)), home
                 else:
                     lo, hi = reach[:, first[g]: first[g] + len(pivots[g])]
-                    may = (angle >= lo) & (angle <= hi) & (np.arange(len(pivots[g])) <= home[:, None])
+                    may = (angle >= lo) & (angle <= hi)
+                    if not any_cell:
+                        may &= np.arange(len(pivots[g])) <= home[:, None]
                     rows, cells = np.nonzero(may)
                 part = b.take(pa.array(mine[rows]))
                 yield pa.RecordBatch.from_arrays(
@@ -128,6 +133,112 @@ def _inside(held: np.ndarray, nodes: list, forest: _Forest, theta: float) -> Ite
                 yield nodes[j], nodes[i], float(score[j])
 
 
+def _near_hubs(nodes: DataFrame, hubs: dict[str, tuple[list, np.ndarray]], theta: float) -> DataFrame:
+    """``nodes`` with ``hub``, the nearest hub of the group if it is within ``theta``, and its ``score``."""
+    shared = nodes.sparkSession.sparkContext.broadcast(hubs)
+    kind = to_arrow_type(nodes.schema["node"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches):
+            found, best = [None] * b.num_rows, np.zeros(b.num_rows)
+            for names, mine, score in _scores(b, shared.value):
+                at = score.argmax(axis=1)
+                best[mine] = score[np.arange(len(mine)), at]
+                for i, k in zip(mine.tolist(), at.tolist(), strict=True):
+                    if best[i] >= theta:
+                        found[i] = names[k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind), pa.array(best)], ["grp", "node", "vec", "hub", "score"])
+
+    node = nodes.schema["node"].dataType.simpleString()
+    return nodes.select("grp", "node", "vec").mapInArrow(run, f"grp string, node {node}, vec array<double>, hub {node}, score double")
+
+
+def _near_rest(inside: DataFrame, rest: dict[str, tuple[list, np.ndarray]], theta: float) -> DataFrame:
+    """A link (a, b, score) of each of the few ``rest`` with a node near it, for every batch of ``inside`` that has one."""
+    shared = inside.sparkSession.sparkContext.broadcast(rest)
+    kind = to_arrow_type(inside.schema["node"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches):
+            own, out = b.column(1).to_pylist(), []
+            for names, mine, score in _scores(b, shared.value):
+                at = score.argmax(axis=0)
+                out += [(own[mine[i]], names[k], float(score[i, k])) for k, i in enumerate(at.tolist()) if score[i, k] >= theta]
+            a, c, scores = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(c, kind), pa.array(scores, pa.float64())], ["a", "b", "score"])
+
+    node = inside.schema["node"].dataType.simpleString()
+    return inside.select("grp", "node", "vec").mapInArrow(run, f"a {node}, b {node}, score double")
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(range(at, min(at + rows, b.num_rows)))) for c in b.columns], b.schema.names)
+
+
+def _scores(b: pa.RecordBatch, hubs: dict[str, tuple[list, np.ndarray]]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Per group of a batch that has hubs: their names, the group's rows, and the products of both."""
+    groups = np.array(b.column(0).to_pylist(), object)
+    vectors = _matrix(b.column(2))
+    for g in sorted(set(groups.tolist()) & set(hubs)):
+        mine = np.flatnonzero(groups == g)
+        yield hubs[g][0], mine, vectors[mine] @ hubs[g][1].T
+
+
+def _gathered(nodes: DataFrame, most: int) -> dict[str, tuple[list, np.ndarray]]:
+    """At most ``most`` nodes as (names, vectors) of each group."""
+    rows = sorted(nodes.select("grp", "node", "vec").limit(most).collect(), key=lambda r: (r["grp"], r["node"]))
+    some = {g: list(x) for g, x in groupby(rows, lambda r: r["grp"])}
+    return {g: ([r["node"] for r in x], np.array([r["vec"] for r in x])) for g, x in some.items()}
+
+
+def _drawn(nodes: DataFrame, seed: int, n: int, most: int) -> dict[str, tuple[list, np.ndarray]]:
+    """About ``most`` of ``n`` nodes by hash."""
+    at = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 30))
+    return _gathered(nodes.where(at * F.lit(n) < F.lit(most << 30)), most + most // 8)
+
+
+def _forest(hubs: dict[str, tuple[list, np.ndarray]], theta: float) -> Iterator[tuple[str, list, np.ndarray, list[tuple], np.ndarray]]:
+    """Per group of a few nodes: names, vectors, links (by place) that connect them, and roots."""
+    for g, (names, held) in hubs.items():
+        forest = _Forest(len(names))
+        links = list(_inside(held, range(len(names)), forest, theta))
+        yield g, names, held, links, np.array([forest.root(i) for i in range(len(names))])
+
+
+def _joined(nodes: DataFrame, n: int, theta: float, hubs: int) -> tuple[DataFrame, DataFrame, DataFrame, int] | None:
+    """One large component of each group: links that connect it, its nodes, all other nodes and their number.
+
+    The largest component among some hubs is the start. Whatever is near one of its members is in
+    it too, by one link. Every round draws hubs from what has joined and shows them to the
+    rest alone, while that takes a quarter of the rest away or doubles what has joined. Drawing decides
+    about work, not about links: the rest meets all nodes afterwards, and nodes of one component need not meet.
+    """
+    links, shown = [], {}
+    for g, names, held, near, roots in _forest(_drawn(nodes, 11, n, hubs), theta):
+        size = np.bincount(roots)
+        top = np.flatnonzero(roots == size.argmax())
+        if len(top) > 1:
+            shown[g] = [names[i] for i in top.tolist()], held[top]
+            links += [(names[a], names[b], score) for a, b, score in near if roots[a] == size.argmax()]
+    if not shown:
+        return None
+    node = nodes.schema["node"].dataType.simpleString()
+    found = nodes.sparkSession.createDataFrame(links, f"a {node}, b {node}, score double")
+    rest, left, inside, turn = nodes, n, nodes.limit(0), 0
+    while True:
+        met = cut(_near_hubs(rest, shown, theta))
+        near = met.where("hub is not null")
+        found = found.unionByName(near.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"), "score"))
+        inside = inside.unionByName(near.select("grp", "node", "vec"))
+        rest = met.where("hub is null").select("grp", "node", "vec")
+        before, left, turn = left, rest.count(), turn + 1
+        if not left or ((before - left) * 4 < before and n - left < 2 * (n - before)):
+            return found, inside, rest, left
+        shown = _drawn(inside, 11 + turn, n - left, hubs)
+
+
 def similar_links(vectors: DataFrame, theta: float, cell: int = CELL, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """Links (a, b, score) inside groups that connect exactly the nodes whose cosine reaches ``theta``.
 
@@ -135,6 +246,9 @@ def similar_links(vectors: DataFrame, theta: float, cell: int = CELL, block: int
     pairs with the same connected components; their number is linear in what is compared.
 
     1. Equal vectors of a group become one: their nodes are linked with the least of them.
+       Of many nodes one large component of each group is gathered around hubs (``_joined``). From
+       here on only the others, the rest, are members of cells; nodes of the component just
+       visit. A rest of no more than the hubs is broadcast to them instead.
     2. Pivots are drawn by hash, one for about ``cell`` vectors and ``pivots`` at most, and
        broadcast. Every vector lives in the cell of its nearest pivot.
     3. A cell is cut into blocks of ``block`` members by the angle to its pivot, however full it is.
@@ -157,6 +271,16 @@ def similar_links(vectors: DataFrame, theta: float, cell: int = CELL, block: int
         return copies
     if groups > pivots:
         raise ValueError(f"{groups} groups are more than the {pivots} pivots that are broadcast")
+    hubs = min(HUBS, HUB_NUMBERS // max(1, nodes.select(F.max(F.size("vec"))).first()[0]))
+    around = _joined(nodes, n, theta, hubs) if n > hubs else None
+    if around is not None:
+        found, inside, nodes, n = around
+        copies = copies.unionByName(found)
+        if n <= hubs:
+            few = _gathered(nodes, hubs)
+            among = [(names[a], names[b], score) for _, names, _, near, _ in _forest(few, theta) for a, b, score in near]
+            return copies.unionByName(nodes.sparkSession.createDataFrame(among, found.schema)).unionByName(_near_rest(inside, few, theta))
+        inside = inside.join(nodes.select("grp").distinct(), "grp", "left_semi")
     every = max(cell, -(-n // max(1, pivots - groups)))
     # one pivot of each group for certain, the others by hash
     order = F.xxhash64("node", F.lit(7))
@@ -180,6 +304,11 @@ def similar_links(vectors: DataFrame, theta: float, cell: int = CELL, block: int
     meets = visits.join(blocks, "cell").where(
         ((F.col("cell") != F.col("home")) | (F.col("blk") < F.col("own")))
         & F.col("angle").between(F.col("lo") - alpha - ROOM, F.col("hi") + alpha + ROOM))
+    if around is not None:
+        # nodes of the large component are in no cell: they visit every block that they may reach
+        guests = _with_cells(inside, by_group, first, cells, alpha, any_cell=True).join(blocks, "cell").where(
+            F.col("angle").between(F.col("lo") - alpha - ROOM, F.col("hi") + alpha + ROOM))
+        meets = meets.select("cell", "blk", "node", "vec").unionByName(guests.select("cell", "blk", "node", "vec"))
     rows = homes.select("cell", "blk", F.lit(True).alias("member"), "node", "vec").unionByName(
         meets.select("cell", "blk", F.lit(False).alias("member"), "node", "vec"))
 

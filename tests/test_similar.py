@@ -112,3 +112,30 @@ def test_facts_are_keyed_anew(spark):
                         spark.createDataFrame([], "id string, name string"))
     assert {r["name"]: r["discussion_count"] for r in graph["nodes_topic"].collect()} == {"A": 2, "b": 1}
     assert [tuple(r) for r in graph["edges_interested_in"].select("src", "dst", "weight").orderBy("dst").collect()] == [("u", "A", 2), ("u", "b", 2)]
+
+
+@pytest.mark.parametrize(("hubs", "theta"), [(40, 0.95), (40, 0.8), (120, 0.9), (25, 0.99), (12, -1.0)])
+def test_links_around_hubs_connect_what_all_pairs_do(spark, monkeypatch, hubs, theta):
+    """More nodes than hubs: a large component is gathered first, the rest meets every node."""
+    rows = vectors(7)
+    monkeypatch.setattr(similar, "HUBS", hubs)
+    got = similar_links(spark.createDataFrame(rows, "grp string, node string, vec array<double>"), theta, 20, 8).collect()
+    unit = {n: np.array(v) / np.linalg.norm(v) for _, n, v in rows if v and any(v)}
+    group = {n: g or "" for g, n, v in rows if n in unit}
+    assert all(group[x.a] == group[x.b] and float(unit[x.a] @ unit[x.b]) >= theta - 1e-9 for x in got)
+    want = [(a, b) for a in unit for b in unit if a < b and group[a] == group[b] and float(unit[a] @ unit[b]) >= theta]
+    assert roots([(x.a, x.b) for x in got], unit) == roots(want, unit)
+
+
+def test_one_large_component_is_not_compared_in_blocks(spark, monkeypatch):
+    """Once hubs have gathered nearly all nodes, what is sent to blocks must not grow with their square."""
+    monkeypatch.setattr(similar, "HUBS", 64)
+    g = np.random.default_rng(3)
+    v = [("a", f"n{i}", (g.normal(size=6) * 0.2 + 1).tolist()) for i in range(900)] + [("a", "far", [-1.0] * 6)]
+
+    def blocks(*_, **__):
+        raise AssertionError("the large component was cut into cells")
+
+    monkeypatch.setattr(similar, "_with_cells", blocks)
+    got = similar_links(spark.createDataFrame(v, "grp string, node string, vec array<double>"), 0.9, 20, 8).collect()
+    assert len(set(roots([(x.a, x.b) for x in got], [n for _, n, _ in v]).values())) == 2
