@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def _unknown(keys: Column, allowed: list[str]) -> Column:
     return F.size(F.array_except(F.coalesce(keys, F.array()), F.array(*map(F.lit, allowed)))) > 0
 
 
-def validate_batches(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_batches(raw: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Split raw JSON documents (columns ``doc``, ``value``) into message rows and rejects.
 
     ``doc`` names a document and orders it among the others; ``pos`` orders all
@@ -32,7 +34,8 @@ def validate_batches(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A document is rejected whole: for broken JSON, an unknown key at any level, a
     missing id or text, a value of the wrong type, an unreadable time, or an empty
-    message list. So one bad document stops neither a read nor a stream.
+    message list. So one bad document stops neither a read nor a stream. ``keep`` stores message
+    rows and rejects in one table from which both are read, so that documents are parsed once.
     """
     docs = raw.select("doc", "value", F.from_json("value", BATCH).alias("b"))
     # each message again as its own text, so its keys can be checked
@@ -76,20 +79,22 @@ def validate_batches(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(bad_time, F.lit("unreadable time"))
     )
     judged = docs.withColumn("reason", reason)
-    quarantine = judged.filter("reason is not null").select("doc", "value", "reason")
-    rows = judged.filter("reason is null").select(
-        F.col("b.guild.id").alias("guild_id"), F.col("b.channel.id").alias("channel_id"),
-        F.col("b.channel.type").alias("channel_type"), "doc",
-        F.posexplode("b.messages").alias("n", "m"),
-    )
+    rows = judged.select(
+        "doc", F.when(F.col("reason").isNotNull(), F.col("value")).alias("value"), "reason", "b.guild", "b.channel",
+        F.when(F.col("reason").isNull(), F.col("b.messages")).alias("messages"),
+    ).select("doc", "value", "reason", "guild", "channel", F.posexplode_outer("messages").alias("n", "m"))
+    if keep is not None:
+        rows = keep(rows)
+    good = rows.filter("reason is null")
     pos = F.concat("doc", F.lit("#"), F.lpad(F.col("n").cast("string"), 12, "0"))
-    messages = rows.select(
-        F.col("m.id").alias("id"), "channel_id", "channel_type", "guild_id",
+    messages = good.select(
+        F.col("m.id").alias("id"), F.col("channel.id").alias("channel_id"), F.col("channel.type").alias("channel_type"),
+        F.col("guild.id").alias("guild_id"),
         F.col("m.author.id").alias("author_id"), F.col("m.content").alias("content"),
         normalize_ts(F.col("m.created_at")).alias("created_at"),
         "m.reply_to_message_id", "m.thread_id", "m.mentions", "m.attachments_count", pos.alias("pos"),
     )
-    return messages, quarantine
+    return messages, rows.filter("reason is not null").select("doc", "value", "reason")
 
 
 def read_batches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -115,3 +115,20 @@ def test_stages_save_as_they_go_and_name_the_failing_one(spark, tmp_path):
     assert state["messages"].filter("processed = 1 and content = 'hello there'").count() == 2
     done = staged_run(spark, folder, [("cluster", clusters), ("graph_write", broken)], skip_graph=True)
     assert list(done) == ["cluster"]
+
+
+def test_a_micro_batch_parses_its_documents_once(spark, tmp_path):
+    """Every table of a micro-batch and the quarantine come from one reading of the documents."""
+    from pyspark.sql import functions as F
+
+    doc = '{"guild":{"id":"g"},"channel":{"id":"c"},"messages":[{"id":"%s","author":{"id":"1"},"content":"a","created_at":"2024-01-01T00:00:00Z"}]}'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "docs.txt").write_text("\n".join([doc % "m1", doc % "m2", doc % "m1" + " ", "broken"]))
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: (read.add(1), v)[1]).asNondeterministic()
+    stream = spark.readStream.format("text").load(str(tmp_path / "in")).select(F.md5("value").alias("doc"), counted("value").alias("value"))
+    out = str(tmp_path / "out")
+    stream_ingest(stream, out, f"{out}-cp", lambda: "2024-02-01").trigger(availableNow=True).start().awaitTermination()
+    assert table_of(spark, out, "messages").count() == 2
+    assert spark.read.parquet(f"{out}/quarantine").count() == 1
+    assert read.value == 4
