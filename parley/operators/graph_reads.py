@@ -14,10 +14,11 @@ from parley.session import cut
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge once per end: node, other, type, src, dst. A loop counts once."""
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "type", "src", "dst")
-    back = edges.filter("src <> dst").select(
-        F.col("dst").alias("node"), F.col("src").alias("other"), "type", "src", "dst")
-    return out.unionByName(back)
+    out = F.struct(F.col("src").alias("node"), F.col("dst").alias("other"))
+    back = F.struct(F.col("dst").alias("node"), F.col("src").alias("other"))
+    # in place, so that edges are derived once and not once per end
+    ends = F.when(F.col("src") != F.col("dst"), F.array(out, back)).otherwise(F.array(out))
+    return edges.select(F.explode(ends).alias("_e"), "type", "src", "dst").select("_e.node", "_e.other", "type", "src", "dst")
 
 
 def graph_overview(
@@ -52,9 +53,13 @@ def graph_overview(
 def neighbors(graph: dict[str, DataFrame], nodes: DataFrame, limit: int = 40) -> DataFrame:
     """Up to ``limit`` (1..200) edges of each given node, by type and other end."""
     limit = max(1, min(limit, 200))
-    w = Window.partitionBy("node").orderBy("type", "other", "src")
-    hops = both_ways(all_edges(graph)).join(nodes.select("node"), "node", "left_semi")
-    return hops.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
+    # ends are moved and sorted once each: whether an edge leaves the node gives src and dst again,
+    # and of two edges between the same ends the one from the smaller end has the smaller src
+    hops = both_ways(all_edges(graph)).select("node", "other", "type", (F.col("src") == F.col("node")).alias("_out"))
+    w = Window.partitionBy("node").orderBy("type", "other", F.col("_out") != (F.col("node") < F.col("other")))
+    near = hops.join(nodes.select("node"), "node", "left_semi").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit)
+    return near.select("node", "other", "type", F.when(F.col("_out"), F.col("node")).otherwise(F.col("other")).alias("src"),
+                       F.when(F.col("_out"), F.col("other")).otherwise(F.col("node")).alias("dst"), "rn")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

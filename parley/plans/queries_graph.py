@@ -232,7 +232,7 @@ def graph_overview_nodes(fx):
 @query("neighbors", "SELECT node, other, type, src, dst FROM fx_hops QUALIFY row_number() OVER (PARTITION BY node ORDER BY type, other, src) <= 40")
 def neighbors(fx):
     """Neighbours of every node."""
-    return R.neighbors(fx.stored_graph, G.all_nodes(fx.stored_graph)).drop("rn")
+    return R.neighbors(fx.key_graph, G.node_keys(fx.key_graph)).drop("rn")
 
 
 @query("search_nodes", """
@@ -255,7 +255,7 @@ def node_by_domain_id(fx):
 
 @query("degrees", "SELECT node, count(*) AS degree FROM fx_hops GROUP BY 1")
 def degrees(fx):
-    return R.degrees(G.all_edges(fx.stored_graph))
+    return R.degrees(G.all_edges(fx.key_graph))
 
 
 @query("captions", "SELECT node, label, caption FROM fx_allnodes")
@@ -272,4 +272,4 @@ def label_vocab(fx):
 
 @query("node_size", "SELECT node, round(4 + 2 * sqrt(count(*)), 6) AS size FROM fx_hops GROUP BY 1")
 def node_sizes(fx):
-    return R.degrees(G.all_edges(fx.stored_graph)).select("node", F.round(node_size(F.col("degree")), 6).alias("size"))
+    return R.degrees(G.all_edges(fx.key_graph)).select("node", F.round(node_size(F.col("degree")), 6).alias("size"))
