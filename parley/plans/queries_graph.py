@@ -164,7 +164,8 @@ WITH t AS (SELECT t.discussion_id, CASE WHEN d.status = 'written' THEN 'new ' ||
 
 
 def _touched(fx, table):
-    return G.merge_touched(Stored(fx.facts), fx.stored_graph, Stored(_again(fx)), fx.channels, fx.guilds, [table])[1][table]
+    new = fx.key_facts(_again(fx), fx.ready.filter("status = 'written'"))
+    return G.merge_touched(fx.stored_facts, Stored(fx.key_graph), new, fx.channels, fx.guilds, [table])[1][table]
 
 
 @query("merge_touched", f"{_RETOLD} SELECT topic AS name, count(DISTINCT discussion_id) AS discussion_count FROM t GROUP BY 1")

@@ -47,3 +47,17 @@ def test_edges_both_ways_between_the_same_ends(spark, monkeypatch):
             hops = sorted((d if s == n else s, s, d) for s, d in pairs if n in (s, d))
             wanted += [(n, other, "T", s, d, i + 1) for i, (other, s, d) in enumerate(hops[:limit])]
         assert sorted(map(tuple, R.neighbors(edges, nodes, limit).collect())) == sorted(wanted), limit
+
+
+def test_merge_of_interests_derives_what_they_are_made_of(spark, written, monkeypatch):
+    cuts = []
+
+    def watched(df, real=G.cut):
+        cuts.append(df.columns)
+        return real(df)
+
+    monkeypatch.setattr(G, "cut", watched)
+    assert Q._touched(X.Fx(spark, SF), "edges_interested_in").count()
+    assert not any({"summary", "embedding"} & set(columns) for columns in written)
+    # touched topics, users and interests, and the rows that are put back
+    assert len(cuts) == 4
