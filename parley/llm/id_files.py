@@ -10,6 +10,7 @@ import uuid
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -38,10 +39,17 @@ STEP = 8 << 20
 OTHER_SPACE = "\t\n\x0b\x0c\r\x85\xa0"
 
 
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every span, one span after another."""
+    upto = np.cumsum(count)
+    return np.repeat(start - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class IdEncoder:
     """Ids of texts by the tokenizers library, as little-endian 32-bit integers, asked once per chunk.
 
-    In a text of Latin-1 without special tokens, single blanks part chunks that no token crosses.
+    In a text of Latin-1 without special tokens, single blanks part chunks that no token crosses,
+    and so do single newlines, which stay at the start of their chunk.
     New chunks go to the library as one line, whose ids are told apart by their bytes. Any other
     text goes there whole.
     """
@@ -58,37 +66,75 @@ class IdEncoder:
         vocab = self.tokenizer.get_vocab()
         self.size = np.zeros(1 + max(vocab.values()), np.int64)  # bytes of a token: a letter each
         self.size[list(vocab.values())] = list(map(len, vocab))
-        self.new: dict[str, bytes] = {}  # ids of words, each after a blank
-        self.old: dict[str, bytes] = {}
+        # where a word's ids, each after a blank, are in the array beside, and how many: start << 32 | count
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.new_ids = self.old_ids = np.zeros(0, "<u4")
+        self.kept = 0  # ids of words that are remembered
         self.marks: dict[str, bytes] = {}
 
     def of_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of_line(self, words: list[str]) -> list[bytes]:
-        """Ids of each word after a blank: in the line of all, a word ends where the bytes of its tokens do."""
-        data = self.of_library([" " + " ".join(words)])[0]
-        sizes = np.fromiter((1 + len(w) if w.isascii() else 1 + len(w.encode()) for w in words), np.int64, len(words))
-        ends = 4 * (np.searchsorted(np.cumsum(self.size[np.frombuffer(data, "<u4")]), np.cumsum(sizes)) + 1)
-        return [data[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def of_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks: those of the word, and those of the marks behind it, which no token joins to letters."""
-        words = [w if (w := c.rstrip(MARKS)).isalpha() else c for c in chunks]
-        self._learn({w for w in words if w not in self.new})
-        found = list(map(self.new.__getitem__, words))
-        for w in [w for w in words if len(w) > LONGEST]:
-            self.new.pop(w, None)
+    def of_line(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each after a blank or its own newline, and how many each has: in the line of all, a word ends where the bytes of its tokens do."""
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        ids = np.frombuffer(self.of_library([(" " + " ".join(words)).replace(" \n", "\n")])[0], "<u4")
+        each = pa.array(words, pa.string())
+        sizes = pc.binary_length(each).to_numpy().astype(np.int64) + pc.invert(pc.starts_with(each, "\n")).to_numpy(zero_copy_only=False)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(sizes)) + 1, prepend=0)
+
+    def of_chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all distinct chunks, and how many each has: those of the word, and those of the marks behind it, which no token joins to letters."""
+        word = pc.utf8_rtrim(chunks, MARKS)
+        word = pc.if_else(pc.utf8_is_alpha(pc.utf8_ltrim(word, "\n")), word, chunks)
+        rest = pc.subtract(pc.binary_length(chunks), pc.binary_length(word)).to_numpy()
+        coded = word.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.new.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        at[missing] = self._learn([words[i] for i in missing.tolist()])
+        marked = np.flatnonzero(rest)
+        marks = pa.array([c[-k:] for c, k in zip(chunks.take(pa.array(marked)).to_pylist(), rest[marked].tolist(), strict=True)], pa.string()).dictionary_encode()
+        of_marks = [self._mark(m) for m in marks.dictionary.to_pylist()]
+        n_marks = np.fromiter(map(len, of_marks), np.int64, len(of_marks)) // 4
+        start, count = np.zeros((len(chunks), 2), np.int64), np.zeros((len(chunks), 2), np.int64)
+        place, which = at[coded.indices.to_numpy()], marks.indices.to_numpy()
+        start[:, 0], count[:, 0] = place >> 32, place & 0xFFFFFFFF
+        start[marked, 1], count[marked, 1] = len(self.new_ids) + (np.cumsum(n_marks) - n_marks)[which], n_marks[which]
+        found = np.concatenate([self.new_ids, np.frombuffer(b"".join(of_marks), "<u4")])[_spans(start.ravel(), count.ravel())]
+        self._forget()
+        return found, count.sum(1)
+
+    def _learn(self, missing: list[str]) -> np.ndarray:
+        """Where the ids of words are that this half does not know; short ones come first in the array."""
+        if not missing:
+            return np.zeros(0, np.int64)
+        at = np.fromiter(map(self.old.get, missing, repeat(-1)), np.int64, len(missing))
+        size = np.fromiter(map(len, missing), np.int64, len(missing))
+        kind = np.where(at >= 0, 0, np.where(size <= LONGEST, 1, 2))
+        order = np.argsort(kind, kind="stable")
+        words = [missing[i] for i in order.tolist()]
+        old = at[at >= 0]
+        fresh, count = self.of_line(words[len(old):])
+        n = np.concatenate([old & 0xFFFFFFFF, count])
+        start = len(self.new_ids) + np.cumsum(n) - n
+        places = start << 32 | n
+        self.new_ids = np.concatenate([self.new_ids, self.old_ids[_spans(old >> 32, n[:len(old)])], fresh])
+        short = len(missing) - int((kind == 2).sum())
+        self.kept = int(start[short]) if short < len(missing) else len(self.new_ids)
+        self.new.update(zip(words[:short], places[:short].tolist(), strict=True))
+        at[order] = places
+        return at
+
+    def _forget(self) -> None:
+        """Let go of the ids of long words, and of the older half when the newer one is full."""
+        if self.kept < len(self.new_ids):
+            self.new_ids = self.new_ids[:self.kept].copy()
         if len(self.new) > REMEMBERED // 2:  # this half becomes the old one, and the one before goes
-            self.old, self.new = self.new, {}
-        return [ids if len(w) == len(c) else ids + self._mark(c[len(w):]) for ids, w, c in zip(found, words, chunks, strict=True)]
-
-    def _learn(self, missing: set[str]) -> None:
-        known = {w: ids for w in missing if (ids := self.old.get(w)) is not None}
-        unknown = list(missing.difference(known))
-        self.new.update(known)
-        if unknown:
-            self.new.update(zip(unknown, self.of_line(unknown), strict=True))
+            self.old, self.old_ids, self.new, self.new_ids = self.new, self.new_ids, {}, np.zeros(0, "<u4")
+            self.kept = 0
 
     def _mark(self, marks: str) -> bytes:
         if marks not in self.marks:
@@ -100,11 +146,19 @@ class IdEncoder:
     def plain(self, text: str) -> bool:
         """Latin-1, no special token, and no blank beside white space or at an end."""
         try:
-            text.encode("latin-1")
+            if not text.isascii():
+                text.encode("latin-1")
         except UnicodeEncodeError:
             return False
         return not (self.special(text) or "  " in text or text[:1] == " " or text[-1:] == " "
-                    or any(" " + c in text or c + " " in text for c in OTHER_SPACE))
+                    or any(" " + c in text or c + " " in text for c in OTHER_SPACE if c in text))
+
+    def spaced(self, text: str) -> str:
+        """A plain text behind its first blank. Newlines get a blank before them if no other white space joins them: each is a token of its own."""
+        tail = text[text.index(" ") + 1:]
+        if "\n" not in tail or "\n\n" in tail or tail[-1] == "\n" or any(c in tail for c in OTHER_SPACE if c != "\n"):
+            return tail
+        return tail.replace("\n", " \n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; texts are taken some at a time."""
@@ -121,17 +175,16 @@ class IdEncoder:
         """Distinct chunks of all texts are looked up once; ids are gathered by their places."""
         plain = [" " in t and self.plain(t) for t in texts]
         heads = self.of_library([t[: t.index(" ")] if p else t for t, p in zip(texts, plain, strict=True)])
-        tails = pa.array([t[t.index(" ") + 1:] if p else None for t, p in zip(texts, plain, strict=True)], pa.string())
+        tails = pa.array([self.spaced(t) if p else None for t, p in zip(texts, plain, strict=True)], pa.string())
         split = pc.split_pattern(tails, " ")
         coded = split.values.dictionary_encode()
         if not len(coded):
             return heads
-        known, place = self.of_chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
-        ids = np.frombuffer(b"".join(known), "<u4")
-        count = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        start, n = (np.cumsum(count) - count)[place], count[place]
+        ids, size = self.of_chunks(coded.dictionary)
+        place = coded.indices.to_numpy()
+        n = size[place]
         upto = np.cumsum(n)
-        flat = ids[np.repeat(start - (upto - n), n) + np.arange(upto[-1])].tobytes()
+        flat = ids[_spans((np.cumsum(size) - size)[place], n)].tobytes()
         ends = (4 * np.concatenate([[0], upto]))[split.offsets.to_numpy()].tolist()
         return [head + flat[i:j] for head, i, j in zip(heads, ends[:-1], ends[1:], strict=True)]
 

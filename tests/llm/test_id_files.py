@@ -42,6 +42,19 @@ def test_encoder_forgets_and_goes_on(library, monkeypatch):
         assert not any(len(w) > 64 for w in [*own.new, *own.old])
 
 
+def test_lines_do_not_join_words(library):
+    """The last word of a line and the first of the next are looked up apart; other white space is left as it is."""
+    own = IdEncoder(PATH)
+    lines = ["a " + " ".join(f"w{i}.\nWas{j}, é{j}!\nÉ" for j in range(20)) for i in range(20)]
+    odd = ["a b\n\nc d\ne", "a b\nc\n", "a b\nc\td", "a b.\n\n", "a\nb c\nd", "a b\n's c\n..d", "x y\xa0z\nW", "a 漢\nb"]
+    for t, ids in zip([*lines, *odd], own.encode([*lines, *odd]), strict=True):
+        assert numbers(ids) == library.encode(t, add_special_tokens=False).ids, t
+    own = IdEncoder(PATH)
+    own.encode(lines)
+    assert "\nWas3" in own.new or "\nWas3," in own.new
+    assert not any("\n" in w[1:] for w in own.new)
+
+
 def test_query_is_the_library(spark, library):
     got = QUERIES["op11_id_files"](spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
