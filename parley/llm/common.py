@@ -78,21 +78,24 @@ def in_bitmap(df: DataFrame, column: str, bitmap: DataFrame, bits: int) -> DataF
 
 
 def without(docs: DataFrame, keys: dict[str, Column], dropped: DataFrame, repeated: DataFrame | None = None,
-            bits: int = 1 << 25) -> DataFrame:
+            bits: int = 1 << 25, probe: list[str] | None = None) -> DataFrame:
     """``docs`` less the rows whose keys are in ``dropped``; of keys in ``repeated`` one row stays.
 
     ``keys`` names expressions over ``docs``; the other two hold columns of those names. A bitmap
     of bounded size lets rows that are certainly not concerned pass where they lie. Only rows
-    that may be are shuffled and compared.
+    that may be are shuffled and compared. ``probe`` names the keys that the bitmap is made of, all
+    by default; the others are made of the rows alone that may be concerned.
     """
     names = list(keys)
+    probe = probe or names
     concerned = dropped.select(*names) if repeated is None else dropped.select(*names).unionByName(repeated.select(*names))
-    bitmap = key_bitmap(concerned.select(F.xxhash64(*names).alias("_key")), "_key", bits)
+    bitmap = key_bitmap(concerned.select(F.xxhash64(*probe).alias("_key")), "_key", bits)
     # the row travels as one struct, so that its columns may have any names
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *(c.alias(f"_k_{n}") for n, c in keys.items()))
-    marked = in_bitmap(rows.withColumn("_key", F.xxhash64(*(F.col(f"_k_{n}") for n in names))), "_key", bitmap, bits)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    marked = in_bitmap(docs.select(row, F.xxhash64(*(keys[n] for n in probe)).alias("_key")), "_key", bitmap, bits)
+    hit = marked.where("_hit").select("_row.*").select(row, *(c.alias(f"_k_{n}") for n, c in keys.items()))
     same = [F.col(f"_k_{n}").eqNullSafe(F.col(f"_d_{n}")) for n in names]
-    doubtful = marked.where("_hit").join(
+    doubtful = hit.join(
         dropped.select(*(F.col(n).alias(f"_d_{n}") for n in names)).distinct(), same, "left_anti")
     if repeated is not None:
         doubtful = doubtful.dropDuplicates([f"_k_{n}" for n in names])

@@ -18,9 +18,11 @@ def normalised(text_col: str) -> Column:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64,
-                filter_bits: int = 1 << 25, carry: dict[str, Column] | None = None) -> DataFrame:
+                filter_bits: int = 1 << 25, carry: dict[str, Column] | None = None, sha_col: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, and the ``carry`` expressions.
 
+    ``sha_col`` names one more column, if given: the full hash, null where step 2 made none.
+
     Texts are equal when they agree after white space is deleted. Of equal texts the row with
     the most characters stays, then the smallest id.
 
@@ -54,22 +56,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.count("*").alias("group_size"), F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").alias("i"))).alias("_best"))
     joined = survivors.join(groups, ["_len", "_full"]).select(
         "_id", F.col("_best.i").alias("keep_id"), "group_size",
-        (F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_chars") == -F.col("_best.c"))).alias("kept"),
+        (F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_chars") == -F.col("_best.c"))).alias("kept"), "_full",
         *(f"_c_{n}" for n in carry))
     alone = rows.where("_full is null").select(
-        "_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"),
+        "_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_full",
         *(f"_c_{n}" for n in carry))
     return joined.unionByName(alone).select(
-        F.col("_id").alias(id_col), "keep_id", "group_size", "kept", *(F.col(f"_c_{n}").alias(n) for n in carry))
+        F.col("_id").alias(id_col), "keep_id", "group_size", "kept", *(F.col(f"_c_{n}").alias(n) for n in carry),
+        *([F.col("_full").alias(sha_col)] if sha_col else []))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat id and text one stays."""
+    """The rows that stay, with all their columns; of rows that repeat id and text one stays.
+
+    Whole texts are normalised and hashed again only in rows whose id and length are those of a copy.
+    """
     keys = {"id": F.col(id_col), "sha": F.sha2(normalised(text_col), 256), "n": F.length(text_of(text_col))}
-    decided = cut(exact_dedup(docs, id_col, text_col, carry={"sha": keys["sha"], "n": keys["n"]}).where("group_size > 1")
+    decided = cut(exact_dedup(docs, id_col, text_col, carry={"n": keys["n"]}, sha_col="sha").where("group_size > 1")
                   .select(F.col(id_col).alias("id"), "sha", "n", "kept"))
     repeated = decided.where("kept").groupBy("id", "sha", "n").count().where("count > 1")
-    return without(docs, keys, decided.where("not kept"), repeated)
+    return without(docs, keys, decided.where("not kept"), repeated, probe=["id", "n"])
 
 
 SQL = r"""

@@ -3,7 +3,7 @@
 import random
 
 from parley.llm.components import components
-from parley.llm.exact_dedup import exact_dedup
+from parley.llm.exact_dedup import drop_copies, exact_dedup
 from parley.llm.jaccard_join import Rule, drop_near_copies, near_duplicates, shingles, sketch
 
 
@@ -100,3 +100,16 @@ def test_components_do_not_depend_on_the_frequent_shingles(spark, monkeypatch):
     usual = found()
     monkeypatch.setattr(J, "frequent_shingles", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     assert found() == usual and len({r[2] for r in usual}) < 60
+
+
+def test_rows_that_are_no_copies_are_not_hashed_again(spark):
+    """Rows pass by id and length; a row of a copy's id and length stays by its own text."""
+    rows = [(1, "a b  c"), (2, "a b c"), (2, "x y z"), (2, "x y z"), (3, "abc"), (3, "zzz"), (4, "y  z"), (None, "a b c"), (None, "q r s"), (5, None), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = drop_copies(docs)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b  c"), (2, "x y z"), (3, "zzz"), (4, "y  z"), (None, "q r s"), (6, " ")], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    passed, looked_at = (plan.children().apply(i).toString() for i in range(2))
+    assert "regexp_replace" not in passed and "sha2" not in passed
+    assert looked_at.index("regexp_replace") < looked_at.index("Filter")  # above the filter: of its rows alone
