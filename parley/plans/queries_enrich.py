@@ -179,7 +179,7 @@ def embedding_text(fx):
 def embed_discussions(fx):
     """Vector of the embedding text of every enriched discussion."""
     t = fx.enrichment.select("discussion_id", E.embedding_text(F.col("title"), F.col("summary"), F.col("topics")).alias("text"))
-    return embed(t, "text", hashing_embedder(DIM)).select("discussion_id", F.size("embedding").alias("dim"))
+    return embed(t, "text", hashing_embedder(DIM)).select("discussion_id", "embedding", F.size("embedding").alias("dim"))
 
 
 def _linked(fx):
