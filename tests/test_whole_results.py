@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from parley.functions.vectors import hashing_embedder
+from parley.functions.vectors import hashing_embedder, length, scaled_dot, unit
 from parley.operators import retrieve as R
 from parley.plans import QUERIES
 from parley.plans.fixtures import DIM
@@ -52,3 +53,13 @@ def test_keys_are_dealt_to_one_partition_each(spark):
         keys = R.spread_keys(spark, n)
         rows = spark.createDataFrame([(k,) for k in keys for _ in range(3)], "block int").repartition(n, "block")
         assert [len(p) for p in rows.rdd.glom().collect()] == [3] * n
+
+
+def test_lengths_are_found_once_per_vector(spark):
+    """A vector's length is no part of what is worked out per coordinate; cosines are those of unit vectors."""
+    df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 2.0]), (None, [1.0, 1.0])], "a array<float>, b array<float>")
+    got = df.select(unit(F.col("a")).alias("u"), scaled_dot(F.col("a"), length(F.col("a")), F.col("b"), length(F.col("b"))).alias("s")).collect()
+    assert [r["u"] for r in got] == [[0.6, 0.8], [0.0, 0.0], None] and [r["s"] for r in got] == [pytest.approx(0.6), 0.0, None]
+    plan = df.select(unit(F.col("a")).alias("u"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    inner = plan[plan.rindex("transform("):]
+    assert "sqrt" in plan and "sqrt" not in inner
